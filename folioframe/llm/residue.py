@@ -34,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_BITS = 21, 12
 #: Bits of 256 that may differ; texts of similarity 0.8 differ in about 39.
 MAX_HAMMING = 64
+#: So many verified pairs (narrow rows) may be broadcast; more are joined by shuffling.
+BROADCAST_PAIRS = 20_000
 
 NAME = r"[A-Za-z][A-Za-z0-9_.\- \n]{0,60}?"
 # Template syntaxes nothing else is written in; the group is the field's name.
@@ -254,13 +256,10 @@ def hashes(words: list[str]) -> np.ndarray:
     """Distinct 64-bit hashes of the five-word shingles; a shorter text is one shingle."""
     if len(_CRC) > 500_000:
         _CRC.clear()
-    crc = []
-    for w in words:
-        h = _CRC.get(w)
-        if h is None:
-            h = _CRC[w] = zlib.crc32(w.encode()) | (zlib.adler32(w.encode()) << 32)
-        crc.append(h)
-    a = np.array(crc, dtype=np.uint64)
+    for w in set(words).difference(_CRC):
+        b = w.encode()
+        _CRC[w] = zlib.crc32(b) | (zlib.adler32(b) << 32)
+    a = np.fromiter(map(_CRC.__getitem__, words), dtype=np.uint64, count=len(words))
     if len(a) == 0:
         return a
     if len(a) < SHINGLE:
@@ -365,8 +364,12 @@ def labelled(documents: DataFrame) -> DataFrame:
         a = reps.select("digest", "rep", "bits")
         b = frontier.select(F.col("digest").alias("from"), F.col("rep").alias("from_rep"), F.col("bits").alias("from_bits"), "kind")
         apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("from_bits")[i])) for i in range(4)), F.lit(0))
-        near = cand.join(a, "digest").join(b, "from").where(apart <= MAX_HAMMING)
-        pairs = near.join(texts, "rep").join(texts.select(F.col("rep").alias("from_rep"), F.col("text").alias("other")), "from_rep")
+        near = cut(cand.join(a, "digest").join(b, "from").where(apart <= MAX_HAMMING).select("digest", "kind", "rep", "from_rep"))
+        few = near.count() <= BROADCAST_PAIRS  # few pairs fetch their texts without moving the others
+        near = F.broadcast(near) if few else near
+        mine = texts.join(near, "rep")
+        other = texts.select(F.col("rep").alias("from_rep"), F.col("text").alias("other")).join(F.broadcast(near.select("from_rep").distinct()) if few else near.select("from_rep").distinct(), "from_rep")
+        pairs = mine.join(other, "from_rep")
         new = cut(_similar(pairs).groupBy("digest").agg(F.max("kind").alias("kind")))
         if new.isEmpty():
             break
