@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import ne
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,6 +60,8 @@ def form(line: str) -> str:
     if len(line) <= 70:
         if len(line) <= 40 and HEADING.match(line) and not line.split()[0][1:2].isupper():
             return "heading"
+        if sum(map(ne, line, line.lower())) < 4:  # capitals, counted without a loop
+            return "text"
         bare = NUMBERISH.sub(" ", line)
         upper, lower = sum(c.isupper() for c in bare), sum(c.islower() for c in bare)
         if upper >= 4 and upper >= 0.7 * (upper + lower) and not SPACELESS.search(bare) and max(map(len, bare.split()), default=0) >= 4:
@@ -278,9 +281,14 @@ TAIL = re.compile(rf"([^\W\d_]+(?:['’!|0-9][^\W_]+)*)\s*([{re.escape(HYPHENS)}
 HEAD = re.compile(r"^([^\W_]+(?:['’!|\-‐][^\W_]+)*)")
 
 
+def tail_of(line: str) -> re.Match | None:
+    """The last word of a line, with its hyphen mark."""
+    return TAIL.search(line, line.rfind(" ", 0, max(0, len(line) - 2)) + 1)
+
+
 def goes_on(line: str, nxt: str, lex: Lexicon) -> tuple[str, str] | None:
     """(first part, rest) of a word broken between two lines of running text, or None."""
-    m, h = TAIL.search(line), HEAD.match(nxt)
+    m, h = tail_of(line), HEAD.match(nxt)
     if not m or not h or not LETTER.match(h.group(1)):
         return None
     a, b = m.group(1), h.group(1)
@@ -324,7 +332,7 @@ def analyse(text: str, model: LineModel, lex: Lexicon) -> tuple[list[str], list[
                 joined[i] = body[k + 1]
                 cases.append((i, "hyphen"))
                 a, b = parts
-                end = TAIL.search(line).start()
+                end = tail_of(line).start()
                 fix = lex.correct(a + b)
                 if fix:  # the case lies in the line with the misread part
                     at = i if fix[1] < len(a) else body[k + 1]
@@ -393,10 +401,10 @@ def rebuild(text: str, model: LineModel, lex: Lexicon) -> str:
         piece = carry + fixed
         carry = ""
         if i in joined:
-            m = TAIL.search(fixed)
+            m = tail_of(fixed)
             a, b = m.group(1), HEAD.match(lines[joined[i]]).group(1)
             whole = next((w for x, _, w in fixes.get(i, ()) if x == -1), a + b)
-            tail = TAIL.search(piece)
+            tail = tail_of(piece)
             piece, carry = piece[: tail.start()], whole
         sep = " " if paragraphs[-1] and not (SPACELESS.search(paragraphs[-1][-1]) and SPACELESS.match(piece or " ")) and piece and not paragraphs[-1].endswith(" ") else ""
         paragraphs[-1] += sep + piece.rstrip() if not carry else sep + piece

@@ -75,7 +75,7 @@ LOWER_NEXT = re.compile(r"[^\s.]{4,}\.\s([Ͱ-Ͽἀ-῿])")
 GERMAN = re.compile(r"\b(?:der|die|das|den|dem|des|und|ein|eine|im|am|ist|von|mit|auf|zum|zur)\b")
 DIGITS = re.compile(r"\d+$")
 UPPER = re.compile(r"[A-Z0-9]+(?:$|[\s.,;:)])")
-TOKEN = re.compile(r"[^\s(（\[«“„\"'’‘]*$")
+BEFORE = frozenset("(（[«“„\"'’‘")
 SPACELESS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿가-힣]")
 
 
@@ -215,7 +215,10 @@ def line_units(line: str, at: int, low: bool, out: list[tuple[int, int]]) -> Non
             if not nxt.islower() or (low and GREEK.match(nxt)):
                 emit(j)
             continue
-        tok = TOKEN.search(line, begin, i).group().lower().lstrip(".")
+        k = i
+        while k > begin and line[k - 1] not in BEFORE and not line[k - 1].isspace():
+            k -= 1
+        tok = line[k:i].lower().lstrip(".")
         if not tok.isascii():
             tok = canonical(tok)
         greek_low = low and nxt.islower() and bool(GREEK.match(nxt))
