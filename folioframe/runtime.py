@@ -40,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core for work that costs far more than moving its rows.
+
+    Only an input that Spark reads in fewer partitions than the cluster has cores is moved: a small one, or one file that
+    cannot be split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_collect(df: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> list:
     """Collect a lookup whose size has a proven bound; more rows than that are an error, never a silent cut."""
     rows = df.take(limit + 1)
