@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .canonical import canonical
 from .residue import found as residue_found
 from .scans import HYPHENS, MARKER, form
 from .sentences import units
 
 PROFILE = 1200
-TRAIN_DOCUMENTS = 250
+TRAIN_DOCUMENTS = 120
 MAX_LANGUAGES = 1000
 #: A sentence leaves its text's language only with this relative margin and this many letters.
 MARGIN, LETTERS = 0.06, 10
@@ -271,7 +272,7 @@ def _identify(texts: DataFrame, profiles: Profiles, whole: bool) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in SEGMENTS.split(", ")])
 
-    return texts.mapInArrow(run, SEGMENTS)
+    return spread(texts).mapInArrow(run, SEGMENTS)
 
 
 def document_segments(documents: DataFrame, profiles: Profiles) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, spread
 from .canonical import canonical
 from .sentences import units
 
@@ -306,7 +306,7 @@ def seeds(documents: DataFrame) -> DataFrame:
 
     layout = F.coalesce(F.col("layout") == "scan", F.lit(False)) if "layout" in documents.columns else F.lit(False)
     rows = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", layout.alias("scan"))
-    return rows.mapInArrow(run, SEEDS)
+    return spread(rows).mapInArrow(run, SEEDS)
 
 
 def _bands(df: DataFrame, probe: bool) -> DataFrame:

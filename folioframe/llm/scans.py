@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_collect, cut
+from ..runtime import bounded_collect, cut, spread
 from .canonical import canonical
 
 LEXICON_SHARE = 2e-6
@@ -236,7 +236,7 @@ def vocabulary(documents: DataFrame, envelopes: DataFrame) -> DataFrame:
 
     clean = documents.where("coalesce(layout, '') <> 'scan' and text is not null").select("text", F.lit(False).alias("scan"))
     both = clean.unionByName(scanned_texts(documents, envelopes).select("text", F.lit(True).alias("scan")))
-    return both.mapInArrow(run, "word string, n_clean long, n_scan long").where("length(word) between 1 and 60").groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+    return spread(both).mapInArrow(run, "word string, n_clean long, n_scan long").where("length(word) between 1 and 60").groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
 
 
 def learn(documents: DataFrame, envelopes: DataFrame) -> tuple[dict[str, int], set[tuple[str, str]], LineModel]:
@@ -372,7 +372,7 @@ def line_cases(documents: DataFrame, envelopes: DataFrame, learned: tuple | None
                 out += [(src, i, no, kind) for no, kind in set(analyse(text, m, lex)[2])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.string())], ["src", "id", "line_no", "kind"])
 
-    return scanned_texts(documents, envelopes).mapInArrow(run, "src string, id long, line_no int, kind string").distinct()
+    return spread(scanned_texts(documents, envelopes)).mapInArrow(run, "src string, id long, line_no int, kind string").distinct()
 
 
 def rebuild(text: str, model: LineModel, lex: Lexicon) -> str:
@@ -426,4 +426,4 @@ def repaired(documents: DataFrame, envelopes: DataFrame, learned: tuple | None =
             new = [rebuild(t, m, lex) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], ["src", "id", "text"])
 
-    return scanned_texts(documents, envelopes).mapInArrow(run, "src string, id long, text string").distinct()
+    return spread(scanned_texts(documents, envelopes)).mapInArrow(run, "src string, id long, text string").distinct()

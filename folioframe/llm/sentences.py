@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..runtime import spread
 from .canonical import ZERO_WIDTH, canonical
 
 # Abbreviations after which a sentence goes on, by language, without their full stop.
@@ -266,7 +267,7 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", with
             cols = [pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())] + [pa.array(texts, pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(cols, [key, "start_pos", "end_pos"] + ["unit"] * with_text)
 
-    return df.select(df[key].cast("long").alias(key), text).mapInArrow(run, f"{key} long, start_pos int, end_pos int" + ", unit string" * with_text)
+    return spread(df.select(df[key].cast("long").alias(key), text)).mapInArrow(run, f"{key} long, start_pos int, end_pos int" + ", unit string" * with_text)
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the byte-level vocabularies cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,4 +37,4 @@ def with_counts(df: DataFrame, text: str = "text", path: str = VOCABULARY) -> Da
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(len(cols)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int32())], [*b.schema.names[:-1], "n_tokens"])
 
-    return df.select(*cols, text).mapInArrow(run, schema)
+    return spread(df.select(*cols, text)).mapInArrow(run, schema)
