@@ -9,21 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def timed(rows: DataFrame, time: str, late: str | None) -> DataFrame:
+    """With `late`, the time as a timestamp under a watermark (a time without a zone counts as the session's)."""
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else rows
+
+
 def windowed(events: DataFrame, size: str = "1 hour", late: str | None = None) -> DataFrame:
     """(window_start, event_type, n) over event time; with `late` a watermark bounds the state of a stream."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = timed(events, "ts", late)
     return rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """(user_id, session_start, session_end, n): a user's events without a pause of `gap`."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = timed(events, "ts", late)
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
 def deduplicated(rows: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     """Rows delivered again within `late` are dropped, with state bounded by the watermark."""
-    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return timed(rows, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def limited(requests: DataFrame, calls: int = 15, seconds: float = 60.0) -> DataFrame:
