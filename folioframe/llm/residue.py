@@ -37,21 +37,21 @@ MAX_HAMMING = 64
 #: So many verified pairs (narrow rows) may be broadcast; more are joined by shuffling.
 BROADCAST_PAIRS = 20_000
 
-NAME = r"[A-Za-z][A-Za-z0-9_.\- \n]{0,60}?"
+NAME = r"[A-Za-z][A-Za-z0-9_.\-‐¬⸗= \n]{0,60}?"
 # Template syntaxes nothing else is written in; the group is the field's name.
 FIELDS = [
     rf"\{{%[-\s]*(?:block|if|for|include|set|extends|end\w*)?\s*({NAME})\s*[-\s]*%\}}",
     rf"<%[=\-]?\s*({NAME})\s*%>",
-    r"<\s*([A-Z][A-Z_\s]*?)\s+GOES\s+HERE\s*>",
-    r"%%\s*([A-Z][A-Z_\s\-]*?)\s*%%",
-    r"@@\s*([A-Z][A-Z_\s\-]*?)\s*@@",
+    r"<\s*([A-Z][A-Z_\s\-‐¬⸗=]*?)\s+GOES\s+HERE\s*>",
+    r"%%\s*([A-Z][A-Z_\s\-‐¬⸗=]*?)\s*%%",
+    r"@@\s*([A-Z][A-Z_\s\-‐¬⸗=]*?)\s*@@",
     rf"%\(\s*({NAME})\s*\)[sdif]",
     rf"\$\{{\s*({NAME})\s*\}}",
     rf"#\{{\s*({NAME})\s*\}}",
     r"\[\s*INSERT\s+([^\[\]]{1,60}?)\s+HERE\s*\]",
     r"\[\s*[Yy]our\s+([^\[\]]{1,60}?)\s+here\s*\]",
-    r"(?<!\w)__([A-Z][A-Z_\s]*?)__(?!\w)",
-    r"(?<![A-Za-z])XX_([A-Z][A-Z_\s]*?)_XX(?![A-Za-z])",
+    r"(?<![A-Za-z0-9_])__([A-Z][A-Z_\s\-‐¬⸗=]*?)__(?![A-Za-z0-9_])",
+    r"(?<![A-Za-z])XX_([A-Z][A-Z_\s\-‐¬⸗=]*?)_XX(?![A-Za-z])",
     rf"&lt;\s*({NAME})\s*&gt;",
 ]
 # Syntaxes that editors use for brackets of their own, too.
@@ -161,7 +161,7 @@ def compiled() -> dict[str, object]:
 
 def field_name(raw: str) -> str:
     """A field's name whatever its case, joints and line breaks."""
-    return re.sub(r"[\s_\-.]+", "", raw).lower()
+    return re.sub(r"[\s_\-.‐¬⸗=]+", "", raw).lower()
 
 
 def fields_in(text: str) -> tuple[list[str], list[str]]:
@@ -174,7 +174,7 @@ def fields_in(text: str) -> tuple[list[str], list[str]]:
     for p in c["ambiguous"]:
         for m in p.finditer(text):
             raw = m.group(1).strip()
-            compact = re.sub(r"[\s\-]+", "", raw)
+            compact = re.sub(r"[\s\-‐¬⸗=]+", "", raw)
             if re.fullmatch(r"[A-Z][A-Z0-9_]{2,}", compact) or re.fullmatch(r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+", compact):
                 sure.append(field_name(raw))
             else:

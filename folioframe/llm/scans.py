@@ -33,6 +33,8 @@ LEXICON_SHARE = 2e-6
 TRAIN_TEXTS = 2000
 #: A confusion is learned from at least this many different words …
 CONFUSION_WORDS = 3
+#: … and at least this share of all words a confusion could explain, …
+CONFUSION_SHARE = 0.0005
 #: … and a correction must be this many times as frequent as what was read.
 CORRECTION_RATIO = 5
 STATES = ("header", "page_number", "body", "break")
@@ -236,7 +238,7 @@ def vocabulary(documents: DataFrame, envelopes: DataFrame) -> DataFrame:
 
     clean = documents.where("coalesce(layout, '') <> 'scan' and text is not null").select("text", F.lit(False).alias("scan"))
     both = clean.unionByName(scanned_texts(documents, envelopes).select("text", F.lit(True).alias("scan")))
-    return spread(both).mapInArrow(run, "word string, n_clean long, n_scan long").where("length(word) between 1 and 60").groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+    return spread(both).mapInArrow(run, "word string, n_clean long, n_scan long").where(F.col("word").rlike(r"\p{L}") & (F.length("word") <= 60)).groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
 
 
 def learn(documents: DataFrame, envelopes: DataFrame) -> tuple[dict[str, int], set[tuple[str, str]], LineModel]:
@@ -262,7 +264,9 @@ def learn(documents: DataFrame, envelopes: DataFrame) -> tuple[dict[str, int], s
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([tally[p] for p in pairs], pa.int64())], ["meant", "read", "n"])
 
     odd = vocab.where("n_clean = 0 and n_scan > 0 and length(word) >= 4").select("word").mapInArrow(run, "meant string, read string, n long")
-    pairs = odd.groupBy("meant", "read").agg(F.sum("n").alias("n")).where(F.col("n") >= CONFUSION_WORDS)
+    pairs = cut(odd.groupBy("meant", "read").agg(F.sum("n").alias("n")))
+    explained = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
+    pairs = pairs.where(F.col("n") >= max(CONFUSION_WORDS, CONFUSION_SHARE * explained))
     confusions = {(r["meant"], r["read"]) for r in bounded_collect(pairs)}
     texts = scanned_texts(documents, envelopes)
     size = max(1, texts.count())
