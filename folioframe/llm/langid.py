@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ MAX_LANGUAGES = 1000
 MARGIN, LETTERS = 0.06, 10
 
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W\d_](?:[^\W\d_]|[̀-ًͯ-ٰٟัิ-ฺ็-๎'’])*")
+LENGTH, SUMS = itemgetter(1), itemgetter(2)
 BRACKETED = re.compile(r"\([^()\n]*\)|（[^（）\n]*）|\[[^\[\]\n]*\]")
 
 
@@ -151,26 +153,23 @@ class Profiles:
 
     def sentence(self, unit: str) -> tuple[str | None, float, int]:
         """(language, relative margin, letters) of one sentence."""
-        sums: dict[str, list] = {}
         memo, word = self.memo, self.word
-        for w in TOKEN.findall(unit.lower()):
-            s, n, vec, _ = memo.get(w) or word(w)
-            if s in sums:
-                have = sums[s]
-                have[0] += n
-                have[1] = [a + b for a, b in zip(have[1], vec)] if len(vec) > 1 else vec  # noqa: B905
-            else:
-                sums[s] = [n, vec]
-        if not sums:
+        infos = [memo.get(w) or word(w) for w in TOKEN.findall(unit.lower())]
+        if not infos:
             return None, 0.0, 0
-        s, (n, vec) = max(sums.items(), key=lambda x: x[1][0])
-        langs = self.scripts.get(s, ())
-        if not langs:
-            return None, 0.0, n
-        if len(langs) == 1:
-            return langs[0], 1.0, n
+        scripts = {i[0] for i in infos}
+        if len(scripts) > 1:  # the script of most letters
+            letters: Counter = Counter()
+            for s, n, _, _ in infos:
+                letters[s] += n
+            main = letters.most_common(1)[0][0]
+            infos = [i for i in infos if i[0] == main]
+        n, langs = sum(map(LENGTH, infos)), self.scripts.get(infos[0][0], ())
+        if len(langs) < 2:
+            return (langs[0], 1.0, n) if langs else (None, 0.0, n)
+        vec = list(map(sum, zip(*map(SUMS, infos))))  # noqa: B905
         best, second = sorted(vec)[:2]
-        return langs[vec.index(best) if isinstance(vec, tuple) else list(vec).index(best)], (second - best) / second if second else 0.0, n
+        return langs[vec.index(best)], (second - best) / second if second else 0.0, n
 
     def distance(self, words: Counter) -> dict[str, float]:
         """Classical out-of-place distances of a longer stretch, by its own n-gram ranks, per n-gram."""
