@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 EXCLUSION = 0.9
 #: … and at least this share of the new name's values in a form that the old name's values have.
 FORM_SHARE = 0.3
+#: An unknown container is a missing one renamed if the base knows at least this share of its fields.
+RESEMBLANCE = 0.3
 
 OBS = "file_id long, what string, path string, name string, kind string, form string, occ int, n long, cands array<struct<base:string,missing:boolean,similar:boolean>>"
 
@@ -102,13 +104,20 @@ class Layout:
                 return 0.0
         if self.kind[path] == "array":
             es = self.entries(value)
-            keys = [k for e in es for k in e]
+            fields = [f for e in es for f in e.items()]
             if isinstance(value, dict) and len(es) < len(value):
                 return 0.0
         else:
-            keys = list(value) if isinstance(value, dict) else []
-        known = sum(any(k == b or "".join(words_of(k)) == "".join(words_of(b)) for b in inner) for k in keys)
-        return known / len(keys) if len(keys) else 0.0
+            fields = list(value.items()) if isinstance(value, dict) else []
+        at = path if self.kind[path] == "object" else path + "[]"
+        deep = [p for p in self.children.get(at, {}).values() if self.inner.get(p)]
+
+        def known(k: str, v: object) -> bool:
+            if any(k == b or "".join(words_of(k)) == "".join(words_of(b)) for b in inner):
+                return True
+            return isinstance(v, dict | list) and any(self.resembles(v, p) >= 0.5 for p in deep)  # a container told by its own fields
+
+        return sum(known(k, v) for k, v in fields) / len(fields) if fields else 0.0
 
 
 def parse(text: object) -> dict | None:
@@ -129,7 +138,7 @@ def containers(lay: Layout, path: str, obj: dict) -> dict[str, str]:
     kids = lay.children.get(path, {})
     free = {leaf: p for leaf, p in kids.items() if leaf not in obj and p in lay.inner}
     found: dict[str, str] = {}
-    scored = sorted(((s, n, leaf) for n, v in obj.items() if n not in kids and isinstance(v, str | dict | list) for leaf, p in free.items() if (s := lay.resembles(v, p)) >= 0.5), reverse=True)
+    scored = sorted(((s, n, leaf) for n, v in obj.items() if n not in kids and isinstance(v, str | dict | list) for leaf, p in free.items() if (s := lay.resembles(v, p)) >= RESEMBLANCE), reverse=True)
     for _, n, leaf in scored:
         if n not in found and leaf not in found.values():
             found[n] = leaf

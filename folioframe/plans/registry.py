@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import extract, genre, jobs, layout, markers, nested, render, template
+from ..operators import assemble, extract, genre, jobs, layout, markers, nested, render, template
 from ..runtime import table
 from ..streaming import batch as streams
 from .training import ELEMENTS, FILES
@@ -314,6 +314,22 @@ SELECT env_id, file_idx, round(CASE WHEN n < 3 THEN 0.5 ELSE greatest(0, least(1
     q["record_json"] = (lambda s, d: env(s, d).where("metadata is not null").select("env_id", F.from_json(F.to_json("metadata"), "filename string, page_count int, mode string").alias("m")).select("env_id", "m.filename", "m.page_count", "m.mode").distinct(), "SELECT DISTINCT env_id, metadata.filename AS filename, metadata.page_count AS page_count, metadata.mode AS mode FROM envelopes WHERE metadata IS NOT NULL")
     q["content_status"] = (lambda s, d: docs(s, d).select("doc_id", render.status(F.col("text")).alias("status")), f"SELECT doc_id, CASE WHEN text IS NULL OR {s_strip('text')} = '' THEN 'empty' WHEN starts_with(text, 'Error:') OR starts_with(text, 'Error generating markdown:') OR text = 'No pages found in document.' THEN 'error' ELSE 'ok' END AS status FROM documents")
     q["event_windows"] = (event_windows, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+    tops = "list_sort(list_transform(list_filter(q.blocks, lambda b: len(b.layout.bounding_poly.vertices) > 0 AND b.text IS NOT NULL AND b.text <> ''), lambda b: {'top': coalesce(list_min(list_transform(b.layout.bounding_poly.vertices, lambda v: v.y)), 0) / coalesce(nullif(q.dimension.height, 0), 1), 't': b.text}))"
+    q["block_text"] = (lambda s, d: assemble.block_text(env(s, d)), f"WITH {FILES} SELECT DISTINCT env_id, file_idx, array_to_string(list_transform(pages, lambda q, i: (CASE WHEN i > 1 THEN chr(10) || chr(10) || '----- Page ' || i || ' -----' || chr(10) || chr(10) ELSE '' END) || coalesce(array_to_string(list_transform({tops}, lambda x: x.t || ' '), ''), '')), '') AS text FROM f WHERE pages IS NOT NULL")
+    plain = markers.PAGE.replace("(", "(?:")
+    hit = "list_filter(coalesce(f.document_data.pages, []), lambda p: p.page_number = CAST(n AS INTEGER))"
+    one = f"CASE WHEN len({hit}) > 0 THEN {content.replace('p.', hit + '[-1].')} END"
+    q["batch_markdown"] = (lambda s, d: assemble.batch_markdown(env(s, d)), f"""SELECT DISTINCT env_id, array_to_string(list_transform(files, lambda f, k: '## ' || coalesce(f.metadata.filename, 'File ' || k) || chr(10) || 'Total Pages: ' || coalesce(CAST(f.metadata.page_count AS VARCHAR), 'Unknown') || chr(10) || chr(10) ||
+  array_to_string(list_transform(regexp_extract_all(coalesce(f.text, ''), '{markers.PAGE}', 1), lambda n, i: '### Page ' || n || chr(10) || coalesce(chr(10) || coalesce({one}, nullif({s_strip(f"string_split_regex(coalesce(f.text, ''), '{plain}')[i + 1]")}, '')) || chr(10), '')), chr(10)) || chr(10) || '---' || chr(10)), chr(10)) AS markdown FROM envelopes WHERE files IS NOT NULL""")
+    q["conversion_routes"] = (lambda s, d: env(s, d).select("env_id", assemble.conversion_route(F.col("text"), F.col("files"), F.col("document_data")).alias("route")).distinct(), "SELECT DISTINCT env_id, CASE WHEN files IS NOT NULL AND coalesce(contains(text, '--- Chunk '), false) AND coalesce(len(list_filter(files, lambda f: f.document_data IS NOT NULL)) > 0, false) THEN 'hybrid' WHEN files IS NOT NULL THEN 'files' WHEN document_data IS NOT NULL THEN 'academic' WHEN coalesce(text, '') <> '' THEN 'text' ELSE 'none' END AS route FROM envelopes")
+    q["previews"] = (lambda s, d: assemble.previews(env(s, d), 2000).select("env_id", F.length("text").alias("n_chars"), "was_truncated", "status"), f"SELECT env_id, CAST(length(text) AS INTEGER) AS n_chars, length(text) > 2000 AS was_truncated, CASE WHEN {s_strip('text')} = '' THEN 'empty' WHEN starts_with(text, 'Error:') OR starts_with(text, 'Error generating markdown:') OR text = 'No pages found in document.' THEN 'error' ELSE 'ok' END AS status FROM ({q['document_text'][1]})")
+    q["assembled_files"] = (lambda s, d: assemble.assembled(env(s, d)), f"WITH {FILES}{ELEMENTS}, u AS (SELECT DISTINCT {KEY}, elem_idx, {s_strip('e.text')} AS t FROM e WHERE elem_level = 'paragraph') SELECT env_id, file_idx, string_agg(t, chr(10) || chr(10) ORDER BY page_idx, elem_idx) AS text, count(DISTINCT page_idx) AS n_pages, CAST(count(*) AS INTEGER) AS n_paragraphs, CAST(length(string_agg(t, chr(10) || chr(10) ORDER BY page_idx, elem_idx)) AS INTEGER) AS n_chars FROM u WHERE t <> '' GROUP BY ALL")
+    q["line_clusters"] = (lambda s, d: assemble.line_clusters(env(s, d)).select(*PAGE, F.size("centres").alias("n_clusters"), r(F.element_at("centres", 1)).alias("first_centre")), f"""WITH {POSITIONED}, ce AS (SELECT {KEY}, list_reduce(list_transform(list_sort(list(x)), lambda q: {{'c': [q], 's': q, 'n': 1}}), lambda a, b: CASE WHEN abs(b.s - a.s / a.n) <= 50 THEN {{'c': list_append(a.c[1:len(a.c) - 1], (a.s + b.s) / (a.n + 1)), 's': a.s + b.s, 'n': a.n + 1}} ELSE {{'c': list_append(a.c, b.s), 's': b.s, 'n': 1}} END).c AS c FROM l GROUP BY ALL)
+SELECT {KEY}, CAST(len(c) AS INTEGER) AS n_clusters, round(c[1], 6) AS first_centre FROM ce""")
+    q["content_types"] = (lambda s, d: assemble.content_type(genre.line_lengths(docs(s, d), "doc_id"), "doc_id"), f"SELECT doc_id, CASE WHEN cv < 0.3 AND avg_length < 60 THEN 'poetry' ELSE 'prose' END AS content_type FROM ({q['line_length_stats'][1]})")
+    q["page_chunks"] = (lambda s, d: nested.pages(env(s, d)).groupBy("env_id", "file_idx", F.floor(F.col("page_idx") / 10).cast("int").alias("chunk_no")).agg(F.count("*").alias("n_pages")), f"WITH {FILES} SELECT env_id, file_idx, CAST(floor(page_idx / 10) AS INTEGER) AS chunk_no, count(*) AS n_pages FROM (SELECT DISTINCT {KEY} FROM p) GROUP BY ALL")
+    q["confidence_gates"] = (lambda s, d: elements_table(s, d).groupBy("elem_type").agg(F.count_if(F.col("confidence") >= 0.5).alias("kept"), F.count_if(F.coalesce(F.col("confidence") < 0.5, F.lit(True))).alias("dropped")), "SELECT elem_type, count_if(confidence >= 0.5) AS kept, count_if(coalesce(confidence < 0.5, true)) AS dropped FROM (SELECT DISTINCT * EXCLUDE (loaded_at, recognized_at) FROM positioned_elements) GROUP BY ALL")
+    q["failed_pages_semi"] = (lambda s, d: table(s, d, "chunk_runs").select("run_id", "job_id", "page_from", "page_to", "status").distinct().join(table(s, d, "ocr_jobs").where("finished_at is null").select("job_id"), "job_id", "left_semi"), "SELECT DISTINCT run_id, job_id, page_from, page_to, status FROM chunk_runs WHERE job_id IN (SELECT job_id FROM ocr_jobs WHERE finished_at IS NULL)")
     return q
 
 
