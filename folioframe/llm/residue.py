@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, spread
 from .canonical import canonical
+from .scans import HYPHENS, form
 from .sentences import units
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -132,6 +133,7 @@ PAGE_TRIGGERS = (
     "permission requests expired moved withdrawn removed deleted maintenance longer wrong problem traceback exception failed gefunden verfügbar introuvable indisponible trovata spostato rimosso disponibile найден недоступ удал βρέθηκε διαθέσιμ 找不到 不存在 无法 "
     "見つかりません 削除 تعذر ไม่พบ skript скрипт сценари σενάρια 脚本 腳本 スクリプト سكر สคริปต์ جافا cannot could closed invalid loading gone conflict conversion الصفحة الخادم เซิร์ฟเวอร์ available"
 ).split() + ["took too long"]
+PARTS = re.compile(r"(?<=[.!?。！？])\s+")
 NAV = re.compile(r"^[^.!?。]{1,40}(?:\s+[|–—·•>/]\s+[^.!?。|–—·•>]{1,30}){1,}$")
 
 
@@ -183,7 +185,10 @@ def fields_in(text: str) -> tuple[list[str], list[str]]:
 
 
 def is_filler(unit: str) -> bool:
-    """Whether a sentence unit is filler in place of content."""
+    """Whether a sentence unit, or a sentence run into it, is filler in place of content."""
+    parts = PARTS.split(unit)
+    if len(parts) > 1:
+        return any(map(is_filler, parts))
     low = unit.lower()
     words = re.findall(r"[^\W\d_]+", low)
     if len(words) >= 4 and sum(w in LOREM for w in words) >= 0.85 * len(words) and any(w in LOREM_MARKS for w in words):
@@ -222,7 +227,10 @@ def label(text: str, scan: bool = False) -> tuple[str, bool, list[str], list[str
     hits = {v for _, v in c["triggers"].iter(text.lower())}
     if not hits or (True not in hits and not may_be_page(text)):
         return "", False, sure, doubtful
-    flat = re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", text) if scan else text
+    flat = text
+    if scan:  # running titles and page numbers stand between the lines of a sentence
+        body = "\n".join(x for x in text.split("\n") if form(x.strip()) not in ("caps", "capsnum", "number"))
+        flat = re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", re.sub(rf"(?<=[^\W\d_])[{re.escape(HYPHENS)}][ \t]*\n[ \t]*", "", body))
     us = [flat[a:z] for a, z in units(flat)]
     filler = [is_filler(u) for u in us]
     if any(filler):

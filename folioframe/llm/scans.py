@@ -64,7 +64,7 @@ def form(line: str) -> str:
             return "heading"
         if sum(map(ne, line, line.lower())) < 4:  # capitals, counted without a loop
             return "text"
-        bare = NUMBERISH.sub(" ", line)
+        bare = NUMBERISH.sub(" ", line, count=2)  # a title has a page number, not a row of them
         upper, lower = sum(c.isupper() for c in bare), sum(c.islower() for c in bare)
         if upper >= 4 and upper >= 0.7 * (upper + lower) and not SPACELESS.search(bare) and max(map(len, bare.split()), default=0) >= 4:
             return "capsnum" if len(bare.strip()) < len(line.strip()) - 1 else "caps"
