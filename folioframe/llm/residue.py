@@ -349,6 +349,17 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.select("digest", "kind", "text", "other").mapInArrow(run, "digest long, kind string")
 
 
+def _verified(cand: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, kind) of the candidates that Hamming distance and shingle similarity confirm."""
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("from_bits")[i])) for i in range(4)), F.lit(0))
+    near = cut(cand.where(apart <= MAX_HAMMING).select("digest", "kind", "rep", "from_rep"))
+    few = near.count() <= BROADCAST_PAIRS  # few pairs fetch their texts without moving the others
+    near = F.broadcast(near) if few else near
+    others = near.select("from_rep").distinct()
+    other = texts.select(F.col("rep").alias("from_rep"), F.col("text").alias("other")).join(F.broadcast(others) if few else others, "from_rep")
+    return _similar(texts.join(near, "rep").join(other, "from_rep")).groupBy("digest").agg(F.max("kind").alias("kind"))
+
+
 def labelled(documents: DataFrame) -> DataFrame:
     """(doc_id, kind) of all residue texts."""
     rows = cut(seeds(documents))
@@ -364,26 +375,23 @@ def labelled(documents: DataFrame) -> DataFrame:
     carried, frontier = None, reached
     table = _bands(reps.where("label is null"), probe=False)
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    while True:
+    a = reps.select("digest", "rep", "bits")
+    while frontier is not None:
         probes = _bands(frontier, probe=True).select(F.col("digest").alias("from"), "key")
-        cand = table.join(probes, "key").select("digest", "from").distinct()
-        if carried is not None:
-            cand = cand.join(carried, "digest", "left_anti")
-        a = reps.select("digest", "rep", "bits")
         b = frontier.select(F.col("digest").alias("from"), F.col("rep").alias("from_rep"), F.col("bits").alias("from_bits"), "kind")
-        apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("from_bits")[i])) for i in range(4)), F.lit(0))
-        near = cut(cand.join(a, "digest").join(b, "from").where(apart <= MAX_HAMMING).select("digest", "kind", "rep", "from_rep"))
-        few = near.count() <= BROADCAST_PAIRS  # few pairs fetch their texts without moving the others
-        near = F.broadcast(near) if few else near
-        mine = texts.join(near, "rep")
-        other = texts.select(F.col("rep").alias("from_rep"), F.col("text").alias("other")).join(F.broadcast(near.select("from_rep").distinct()) if few else near.select("from_rep").distinct(), "from_rep")
-        pairs = mine.join(other, "from_rep")
-        new = cut(_similar(pairs).groupBy("digest").agg(F.max("kind").alias("kind")))
-        if new.isEmpty():
-            break
-        carried = new.select("digest") if carried is None else cut(carried.unionByName(new.select("digest")))
-        reached = reached.select("digest", "kind").unionByName(new)
-        frontier = new.join(reps.select("digest", "rep", "n_shingles", "bits"), "digest")
+        grown = None
+        # first one labelled text a bucket, which reaches most of a large group of alike texts; then all, for the rest
+        for some in (probes.groupBy("key").agg(F.min("from").alias("from")), probes):
+            cand = table.join(some, "key").select("digest", "from").distinct()
+            if carried is not None:
+                cand = cand.join(carried, "digest", "left_anti")
+            new = cut(_verified(cand.join(a, "digest").join(b, "from"), texts))
+            if new.isEmpty():
+                continue
+            carried = new.select("digest") if carried is None else cut(carried.unionByName(new.select("digest")))
+            reached = reached.select("digest", "kind").unionByName(new)
+            grown = new if grown is None else grown.unionByName(new)
+        frontier = None if grown is None else grown.join(reps.select("digest", "rep", "n_shingles", "bits"), "digest")
     # every text of a reached class; texts with a label of their own keep it
     spread = rows.where("kind = ''").select("doc_id", "digest").join(reached.select("digest", "kind"), "digest").select("doc_id", "kind")
     return direct.unionByName(rows_ids).unionByName(spread).groupBy("doc_id").agg(F.max("kind").alias("kind"))

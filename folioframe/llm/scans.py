@@ -43,7 +43,7 @@ HYPHENS = "-‐¬⸗=­"
 MARKER = re.compile(r"^-{3,}\s.*\s-{3,}$")
 NUMBER = re.compile(r"^[^\w)]*(?:(?:pp?|pag|page|s|seite|σ|σελ|с|стр|ص)\.?\s*)?(?=[0-9lIOoSBZ|!]*[0-9])[0-9lIOoSBZ|!]{1,5}[^\w):,;!?]*$|^[^\w)]*(?:pp?\.\s*)?[lIOo|]{2,3}[^\w.!?:,;)]*$|^\(\s*\d{1,4}\s*\)$", re.I)
 ROMAN = re.compile(r"^[^\w)]*(?:pp?\.?\s*)?(?=[mdclxvi])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|x[l1]|[l1]?x{0,3})(?:ix|iv|v?[i1]{0,3})[^\w):,;!?]*$")
-HEADING = re.compile(r"^(?:[^\W\d_]|[̀-ͯะ-๎])+\.?\s+(?:[IVXLCDM1l]{1,8}|\d{1,3})\.?$")
+HEADING = re.compile(r"^(?:[^\W\d_]|[!|̀-ͯะ-๎])+\.?\s+(?:[IVXLCDM1l]{1,8}\.?|\d{1,3})$")
 NUMBERISH = re.compile(r"(?:\bpp?\.\s*)?[\[(·–—\-\s]*\b(?:[0-9lIOoSBZ|!]*\d[0-9lIOoSBZ|!]*|[mdclxvi]{1,15})\b[\])·–—\-.\s]*")
 WORD = re.compile(r"[^\W_]+(?:['’!|\-‐][^\W_]+)*")
 SPACELESS = re.compile("[฀-๿぀-ヿ㐀-鿿]")
@@ -60,7 +60,7 @@ def form(line: str) -> str:
     if len(line) <= 24 and (NUMBER.match(line) or ROMAN.match(line)):
         return "number"
     if len(line) <= 70:
-        if len(line) <= 40 and HEADING.match(line) and not line.split()[0][1:2].isupper():
+        if len(line) <= 40 and HEADING.match(line) and not line[0].islower() and not line.split()[0][1:2].isupper():
             return "heading"
         if sum(map(ne, line, line.lower())) < 4:  # capitals, counted without a loop
             return "text"
