@@ -127,6 +127,8 @@ def canonical(text: str | None) -> str | None:
             return unicodedata.normalize("NFC", "".join(c if keep.match(c) else swap[target].get(ord(c), c) for c in w))
 
         text = p["word"].sub(one, text)
+        if not unicodedata.is_normalized("NFC", text):  # a replaced letter composes with marks past its word
+            text = unicodedata.normalize("NFC", text)
     return text
 
 
