@@ -107,31 +107,37 @@ def canonical(text: str | None) -> str | None:
     """The text in its consistent form; unstable segments are rewritten in place."""
     if not text or is_canonical(text):
         return text
-    p, (odd, swap) = patterns(), tables()
+    p, (odd, _) = patterns(), tables()
     if p["odd"].search(text):
         text = text.translate(odd)
     if not unicodedata.is_normalized("NFC", text):
         text = p["unstable"].sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
         if not unicodedata.is_normalized("NFC", text):  # a starter that composes backwards over a longer stretch
             text = unicodedata.normalize("NFC", text)
-    if p["mixed"].search(text):
+    for _ in range(5):  # a replaced letter may tip another word's tie
+        if not p["mixed"].search(text):
+            break
         totals = [len(p["letters"][s].findall(text)) for s in SCRIPTS]
-
-        def one(m: re.Match) -> str:
-            w = m.group()
-            if not p["mixed"].search(w):
-                return w
-            n = [(len(p["letters"][s].findall(w)), totals[i], -i) for i, s in enumerate(SCRIPTS)]
-            target = SCRIPTS[n.index(max(n))]
-            keep = p["letters"][target]
-            return unicodedata.normalize("NFC", "".join(c if keep.match(c) else swap[target].get(ord(c), c) for c in w))
-
-        text = p["word"].sub(one, text)
-        if not unicodedata.is_normalized("NFC", text):  # a replaced letter composes with marks past its word
-            text = unicodedata.normalize("NFC", text)
+        new = p["word"].sub(lambda m, totals=totals: unmixed(m.group(), totals), text)
+        if not unicodedata.is_normalized("NFC", new):  # a replaced letter composes with marks past its word
+            new = unicodedata.normalize("NFC", new)
+        if new == text:
+            break
+        text = new
     return text
 
 
+def unmixed(word: str, totals: list[int]) -> str:
+    """A word with its letters of other scripts replaced by look-alikes of its own; ties go by the text's letters."""
+    p, (_, swap) = patterns(), tables()
+    if not p["mixed"].search(word):
+        return word
+    n = [(len(p["letters"][s].findall(word)), totals[i], -i) for i, s in enumerate(SCRIPTS)]
+    target = SCRIPTS[n.index(max(n))]
+    keep = p["letters"][target]
+    return unicodedata.normalize("NFC", "".join(c if keep.match(c) else swap[target].get(ord(c), c) for c in word))
+
+
 def needs_change(text: str | None) -> bool:
     """Whether a text's own characters have to change to be in the consistent form."""
     return bool(text) and not is_canonical(text)
