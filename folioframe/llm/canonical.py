@@ -127,11 +127,16 @@ def canonical(text: str | None) -> str | None:
     return text
 
 
+@lru_cache(200_000)
+def is_mixed(word: str) -> bool:
+    return bool(patterns()["mixed"].search(word))
+
+
 def unmixed(word: str, totals: list[int]) -> str:
     """A word with its letters of other scripts replaced by look-alikes of its own; ties go by the text's letters."""
-    p, (_, swap) = patterns(), tables()
-    if not p["mixed"].search(word):
+    if not is_mixed(word):
         return word
+    p, (_, swap) = patterns(), tables()
     n = [(len(p["letters"][s].findall(word)), totals[i], -i) for i, s in enumerate(SCRIPTS)]
     target = SCRIPTS[n.index(max(n))]
     keep = p["letters"][target]

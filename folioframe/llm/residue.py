@@ -126,8 +126,8 @@ FURNITURE = [
 ]
 FILLER_TRIGGERS = (
     "lorem ipsum tempor mollit pariatur quisque tbd asdf qwert dummy placeholder sample filler blindtext platzhalter beispieltext fülltext remplissage faux-texte fictif segnaposto fittizio riempimento заполнител рыбный γεμίσματος κράτησης δείγματος υποκατάστασης δοκιμαστικό 占位 佔位 填充 示例 入ります ダミー "
-    "ข้อความตัวอย่าง ข้อความจำลอง ข้อความแทน ข้อความสมมติ tempor amet goes follow appear come "
-).split()
+    "ข้อความตัวอย่าง ข้อความจำลอง ข้อความแทน ข้อความสมมติ goes appear "
+).split() + ["xx xx", "to follow", "to come", "foo bar", "test test", "blah", "здесь будет", "εδώ θα", "title here", "text here", "نص بديل", "نص تجريبي", "نص مؤقت", "نص افتراضي", "นี่คือ"]
 PAGE_TRIGGERS = (
     "script java cookie browser error fehler erreur errore ошибк σφάλμα 错误 錯誤 エラー خطأ ข้อผิดพลาด http found gateway forbidden unauthor timeout time-out unavailable denied "
     "permission requests expired moved withdrawn removed deleted maintenance longer wrong problem traceback exception failed gefunden verfügbar introuvable indisponible trovata spostato rimosso disponibile найден недоступ удал βρέθηκε διαθέσιμ 找不到 不存在 无法 "
@@ -247,13 +247,13 @@ def label(text: str, scan: bool = False) -> tuple[str, bool, list[str], list[str
 
 
 def tokens(text: str) -> list[str]:
-    """Words for shingles: navigation lines dropped, paths and digits masked; a character each in spaceless scripts."""
+    """Words for shingles: navigation lines dropped, paths masked; a character each in spaceless scripts. Digits count as 0."""
     c = compiled()
     kept = [ln for ln in text.split("\n") if not NAV.match(ln.strip())] if len(text) < 2000 else [text]
     flat = "\n".join(kept).lower()
     if "/" in flat:
         flat = c["path"].sub(" path ", flat)
-    return c["word"].findall(c["digits"].sub("0", flat))
+    return c["word"].findall(flat)
 
 
 _CRC: dict[str, int] = {}
@@ -265,7 +265,7 @@ def hashes(words: list[str]) -> np.ndarray:
     if len(_CRC) > 500_000:
         _CRC.clear()
     for w in set(words).difference(_CRC):
-        b = w.encode()
+        b = compiled()["digits"].sub("0", w).encode()
         _CRC[w] = zlib.crc32(b) | (zlib.adler32(b) << 32)
     a = np.fromiter(map(_CRC.__getitem__, words), dtype=np.uint64, count=len(words))
     if len(a) == 0:
