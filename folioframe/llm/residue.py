@@ -380,9 +380,10 @@ def labelled(documents: DataFrame) -> DataFrame:
         probes = _bands(frontier, probe=True).select(F.col("digest").alias("from"), "key")
         b = frontier.select(F.col("digest").alias("from"), F.col("rep").alias("from_rep"), F.col("bits").alias("from_bits"), "kind")
         grown = None
+        # the rows of buckets that hold a labelled text: the tables are read once
+        hits = cut(table.join(probes.groupBy("key").agg(F.min("from").alias("first")), "key"))
         # first one labelled text a bucket, which reaches most of a large group of alike texts; then all, for the rest
-        for some in (probes.groupBy("key").agg(F.min("from").alias("from")), probes):
-            cand = table.join(some, "key").select("digest", "from").distinct()
+        for cand in (hits.select("digest", F.col("first").alias("from")).distinct(), hits.select("digest", "key").join(probes, "key").select("digest", "from").distinct()):
             if carried is not None:
                 cand = cand.join(carried, "digest", "left_anti")
             new = cut(_verified(cand.join(a, "digest").join(b, "from"), texts))
