@@ -157,9 +157,9 @@ def split_totals(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_renumber(s: SparkSession, d: str) -> DataFrame:
-    p = nested.pages(env(s, d)).select(*PAGE, "page_number")
+    p = nested.pages(env(s, d)).select(*PAGE)
     chunk, within = F.floor(F.col("page_idx") / markers.MAX_PAGES).cast("int"), F.col("page_idx") % markers.MAX_PAGES
-    return p.select(*PAGE, chunk.alias("chunk_idx"), markers.renumbered(chunk, within).cast("int").alias("new_number"), "page_number")
+    return p.select(*PAGE, chunk.alias("chunk_idx"), markers.renumbered(chunk, within).cast("int").alias("new_number"))
 
 
 def confidence_summary(s: SparkSession, d: str) -> DataFrame:
@@ -279,7 +279,7 @@ SELECT env_id, file_idx, string_agg(markdown, chr(10) ORDER BY page_idx) AS mark
     q["rate_limit_schedule"] = (lambda s, d: jobs.request_slots(table(s, d, "chunk_runs")), "SELECT job_id, run_id, CAST(floor(n / 15) AS INTEGER) AS slot, CAST(floor(n / 15) * 60 AS INTEGER) AS start_second FROM (SELECT job_id, run_id, row_number() OVER (PARTITION BY job_id ORDER BY run_id) - 1 AS n FROM (SELECT DISTINCT job_id, run_id FROM chunk_runs))")
     q["retry_plan"] = (lambda s, d: table(s, d, "chunk_runs").select("run_id", jobs.recoverable(F.col("error_text")).alias("recoverable"), jobs.backoff(F.col("attempt")).alias("wait_s")).distinct(), "SELECT DISTINCT run_id, coalesce(regexp_matches(lower(error_text), 'timeout|temporary|connection|network|unavailable|retry|rate limit'), false) AS recoverable, least(power(2.0, attempt), 60.0) AS wait_s FROM chunk_runs")
     q["read_modes"] = (lambda s, d: table(s, d, "raw_exports").select("file_id", jobs.read_mode(F.octet_length("payload") * 2000).alias("mode"), jobs.chunk_pages(F.octet_length("payload").cast("long") * 20000).alias("pages")).distinct(), "SELECT DISTINCT file_id, CASE WHEN b * 2000 < 5242880 THEN 'standard' WHEN b * 2000 < 52428800 THEN 'chunked' ELSE 'streaming' END AS mode, CASE WHEN b * 20000 > 104857600 THEN 5 WHEN b * 20000 > 52428800 THEN 7 ELSE 10 END AS pages FROM (SELECT file_id, CAST(strlen(payload) AS BIGINT) AS b FROM raw_exports)")
-    q["page_renumber"] = (page_renumber, f"WITH {FILES} SELECT DISTINCT {KEY}, CAST(floor(page_idx / 15) AS INTEGER) AS chunk_idx, page_idx + 1 AS new_number, p.page_number AS page_number FROM p")
+    q["page_renumber"] = (page_renumber, f"WITH {FILES} SELECT DISTINCT {KEY}, CAST(floor(page_idx / 15) AS INTEGER) AS chunk_idx, page_idx + 1 AS new_number FROM p")
     q["adjusted_markers"] = (lambda s, d: marked(s, d).where("text is not null").select("env_id", markers.adjust_markers(F.col("text"), F.lit(15), 1).alias("text")), "SELECT DISTINCT env_id, '----- Page 16 -----' || chr(10) || chr(10) || '--- Chunk 2 (Pages 16-30) ---' || chr(10) || chr(10) || " + "replace(" * 14 + "text" + "".join(f", '----- Page {p} -----', '----- Page {p + 15} -----')" for p in range(2, 16)) + " AS text FROM envelopes WHERE text IS NOT NULL")
     q["confidence_summary"] = (lambda s, d: confidence_summary(s, d).withColumn("avg_confidence", r("avg_confidence", 9)), f"WITH {FILES}{ELEMENTS}, u AS (SELECT DISTINCT {KEY}, elem_idx, e FROM e WHERE elem_level = 'block') SELECT env_id, file_idx, round(avg(nullif(e.layout.confidence, 0)), 9) AS avg_confidence, coalesce(array_to_string(list_sort(list(DISTINCT page_idx) FILTER (WHERE e.layout.confidence = 0)), ','), '') AS pages_with_errors FROM u GROUP BY ALL")
     q["median_token_height"] = (token_heights, f"WITH {FILES}{ELEMENTS}, t AS (SELECT {KEY}, list_sort(list(h)) AS hs FROM (SELECT DISTINCT {KEY}, elem_idx, e, e.layout.bounding_poly.vertices[3].y - e.layout.bounding_poly.vertices[1].y AS h FROM e WHERE elem_level = 'token') WHERE h > 0 GROUP BY ALL) SELECT {KEY}, coalesce(hs[CAST(floor(len(hs) / 2) AS BIGINT) + 1], 12.0) AS font_size FROM (SELECT DISTINCT {KEY} FROM p) LEFT JOIN t USING (env_id, file_idx, page_idx)")
@@ -311,7 +311,7 @@ SELECT env_id, file_idx, round(CASE WHEN n < 3 THEN 0.5 ELSE greatest(0, least(1
     q["template_keys"] = (lambda s, d: env(s, d).select("env_id", F.sha2(F.concat_ws("|", F.col("metadata.filename"), F.col("metadata.page_count").cast("string"), F.col("metadata.mode")), 256).alias("cache_key")).distinct(), "SELECT DISTINCT env_id, sha256(concat_ws('|', metadata.filename, CAST(metadata.page_count AS VARCHAR), metadata.mode)) AS cache_key FROM envelopes")
     q["file_headings"] = (lambda s, d: env(s, d).select("env_id", F.posexplode("files").alias("i", "f")).select("env_id", "i", F.concat(F.lit("## "), F.coalesce("f.metadata.filename", F.concat(F.lit("File "), (F.col("i") + 1).cast("string")))).alias("heading"), F.concat(F.lit("Total Pages: "), F.coalesce(F.col("f.metadata.page_count").cast("string"), F.lit("Unknown"))).alias("pages")).distinct(), "SELECT DISTINCT env_id, CAST(i - 1 AS INTEGER) AS i, '## ' || coalesce(f.metadata.filename, 'File ' || i) AS heading, 'Total Pages: ' || coalesce(CAST(f.metadata.page_count AS VARCHAR), 'Unknown') AS pages FROM (SELECT env_id, unnest(files) AS f, unnest(range(1, len(files) + 1)) AS i FROM envelopes)")
     q["anchored_text"] = (anchors, "SELECT doc_id, left(text, 10) || right(text, 10) AS joined, CASE WHEN text = '' THEN '' ELSE left(text, 10) || ' ' || right(text, 10) END AS spaced FROM documents WHERE text IS NOT NULL")
-    q["record_json"] = (lambda s, d: env(s, d).where("metadata is not null").select("env_id", F.from_json(F.to_json("metadata"), "filename string, page_count int, mode string").alias("m")).select("env_id", "m.filename", "m.page_count", "m.mode").distinct(), "SELECT DISTINCT env_id, metadata.filename AS filename, metadata.page_count AS page_count, metadata.mode AS mode FROM envelopes WHERE metadata IS NOT NULL")
+    q["record_json"] = (lambda s, d: env(s, d).where("metadata is not null").select("env_id", F.from_json(F.to_json("metadata"), "filename string, page_count int, mode string").alias("m")).select("env_id", "m.filename", F.col("m.page_count").cast("double").alias("page_count"), "m.mode").distinct(), "SELECT DISTINCT env_id, metadata.filename AS filename, CAST(metadata.page_count AS DOUBLE) AS page_count, metadata.mode AS mode FROM envelopes WHERE metadata IS NOT NULL")
     q["content_status"] = (lambda s, d: docs(s, d).select("doc_id", render.status(F.col("text")).alias("status")), f"SELECT doc_id, CASE WHEN text IS NULL OR {s_strip('text')} = '' THEN 'empty' WHEN starts_with(text, 'Error:') OR starts_with(text, 'Error generating markdown:') OR text = 'No pages found in document.' THEN 'error' ELSE 'ok' END AS status FROM documents")
     q["event_windows"] = (event_windows, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
     tops = "list_sort(list_transform(list_filter(q.blocks, lambda b: len(b.layout.bounding_poly.vertices) > 0 AND b.text IS NOT NULL AND b.text <> ''), lambda b: {'top': coalesce(list_min(list_transform(b.layout.bounding_poly.vertices, lambda v: v.y)), 0) / coalesce(nullif(q.dimension.height, 0), 1), 't': b.text}))"

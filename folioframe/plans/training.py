@@ -35,7 +35,7 @@ def queries() -> dict[str, Query]:
         "p1_alternatives": _alternatives,
         "p7_found": lambda s, d: nested.nodes(env(s, d)).select(*nested.KEYS),
         "p7_variants": lambda s, d: nested.nodes(env(s, d)).groupBy("elem_level", "variant").agg(F.count("*").alias("n_nodes")),
-        "p7_pages": lambda s, d: nested.pages(env(s, d)).drop("variant"),
+        "p7_pages": lambda s, d: nested.pages(env(s, d)).drop("variant").withColumn("page_number", F.col("page_number").cast("double")),
         "p7_elements": lambda s, d: nested.elements(env(s, d)).drop("vertices", "variant"),
         "p7_vertices": lambda s, d: nested.vertices(env(s, d)),
     }
@@ -66,7 +66,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT DISTINCT env_id, file_idx, page_idx, 'page' AS elem_level, CAST(-1 AS INTEGER) AS elem_idx, CAST(-1 AS INTEGER) AS vertex_idx FROM p
 UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, CAST(-1 AS INTEGER) FROM e
 UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, 'vertex', elem_idx, vertex_idx FROM v""",
-        "p7_pages": f"WITH {FILES} SELECT DISTINCT env_id, file_idx, page_idx, p.page_number AS page_number, p.dimension.width AS width, p.dimension.height AS height, p.text AS text FROM p",
+        "p7_pages": f"WITH {FILES} SELECT DISTINCT env_id, file_idx, page_idx, CAST(p.page_number AS DOUBLE) AS page_number, p.dimension.width AS width, p.dimension.height AS height, p.text AS text FROM p",
         "p7_elements": f"WITH {FILES}{ELEMENTS} SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, e.text AS text, e.layout.text AS layout_text, e.layout.confidence AS confidence FROM e",
         "p7_vertices": f"WITH {FILES}{ELEMENTS}{VERTICES} SELECT DISTINCT env_id, file_idx, page_idx, elem_idx, vertex_idx, v.x AS x, v.y AS y FROM v",
     }
