@@ -10,8 +10,8 @@ Profiles are fitted on a bounded sample of labelled documents (`TRAIN_DOCUMENTS`
 without the sample's sentences that the first profiles place elsewhere.
 
 Sentences are found by the sentence operator; running titles, page numbers and headings are left out, lines of scans are
-joined first.  A segment is a longest run of sentences in one language; a sentence too short or too close between two
-languages to tell joins its neighbours.  Confidence is the relative margin of the second-best language's distance.
+joined first.  A segment is a longest run of sentences in one language; a sentence too close between two languages to tell
+joins its neighbours, and so does a short one in the script of its neighbours or of a lone word or letter (a name, a mark).  Confidence is the relative margin of the second-best language's distance.
 
 Defined results: null and empty texts and texts without letters have no language and give no rows; ids that are null are
 left out; repeated rows give their rows once; codes come from `lang_codes` only.
@@ -32,14 +32,16 @@ from pyspark.sql import functions as F
 from ..runtime import spread
 from .canonical import canonical
 from .residue import found as residue_found
-from .scans import HYPHENS, MARKER, form
+from .scans import HYPHENS, MARKER, SPACELESS, form
 from .sentences import units
 
 PROFILE = 1200
 TRAIN_DOCUMENTS = 120
 MAX_LANGUAGES = 1000
-#: A sentence leaves its text's language only with this relative margin and this many letters.
+#: A sentence leaves its text's language only with this relative margin and, in a script of the run before it, this many letters.
 MARGIN, LETTERS = 0.06, 10
+#: A character of Chinese and Japanese tells as much as so many letters.
+HAN_LETTERS = 3
 
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]|[^\W\d_](?:[^\W\d_]|[̀-ًͯ-ٰٟัิ-ฺ็-๎'’])*")
 LENGTH, SUMS = itemgetter(1), itemgetter(2)
@@ -182,6 +184,16 @@ class Profiles:
         own = ranked(count_grams(Counter({w: n for w, n in words.items() if script_of(w[0]) == s})), 400)
         return {lang: sum(abs(r - self.ranks[lang][g]) if g in self.ranks[lang] else PROFILE for g, r in own.items()) / max(1, len(own)) for lang in self.scripts.get(s, ())}
 
+    def short(self, unit: str, lang: str, n: int, beside: str) -> bool:
+        """Whether a sentence of under LETTERS letters is too short to be told from the language `beside` it."""
+        toks = TOKEN.findall(unit.lower())
+        if sum(map(len, toks)) < 2:
+            return True
+        script = Counter(script_of(w[0]) for w in toks for _ in w).most_common(1)[0][0]
+        if lang in self.scripts.get(script, ()) and beside not in self.scripts[script]:
+            return len(toks) < 2 and not SPACELESS.match(toks[0])
+        return n * (HAN_LETTERS if script == "han" else 1) < LETTERS
+
     def segments(self, us: list[str]) -> list[tuple[str, float, int]]:
         """(language, confidence, sentences) of the longest runs of sentences in one language."""
         told = [self.sentence(u) for u in us]
@@ -192,17 +204,10 @@ class Profiles:
         if not weight:
             return []
         main = weight.most_common(1)[0][0]
-        clear: list[str | None] = []
-        for lang, margin, n in told:
-            if lang is None or n < LETTERS:
-                clear.append(None)
-            elif lang == main or margin >= MARGIN:
-                clear.append(lang)
-            else:
-                clear.append(None)
         runs: list[list] = []
-        for lang, (_, margin, n) in zip(clear, told, strict=True):
-            if lang is None:
+        for u, (lang, margin, n) in zip(us, told, strict=True):
+            beside = runs[-1][0] if runs else main
+            if lang is None or lang != main and margin < MARGIN or n < LETTERS and self.short(u, lang, n, beside):
                 if runs:
                     runs[-1][3] += 1
                 continue

@@ -39,6 +39,14 @@ def test_segments(profiles):
     assert profiles.segments([]) == [] and profiles.segments(["123"]) == []
 
 
+def test_short_sentences_of_another_script(profiles):
+    greek = ["Ὁ γραμματεὺς ἀντιγράφει τὴν ἐπιστολήν.", "Ὁ διδάσκαλος ἀναγιγνώσκει τὸ παλαιὸν βιβλίον.", "Ὁ ποιητὴς περιγράφει τὸν λόγον."]
+    cut = lambda us: [(lang == "zh", n) for lang, _, n in profiles.segments(us)]
+    assert cut([greek[0], "书页宽15.7厘米。", greek[1], "谁比较了破损的书页？", greek[2]]) == [(False, 1), (True, 1), (False, 1), (True, 1), (False, 1)]
+    # a lone word or letter is a name or a mark
+    assert [n for _, _, n in profiles.segments([greek[0], "X.", greek[1], "Wolf.", "页。", greek[2]])] == [6]
+
+
 def test_language_rows(spark, tables, profiles):
     text = "The reader copies the letter to the council. The scribe restores the old reading."
     df = docs(spark, [(1, "en", "running", text), (2, None, "running", text), (2, None, "running", text), (3, "EN", "scan", text), (4, "en", "web", text + " Le lecteur décrit la ligne manquante."), (5, None, "web", ""), (6, None, "web", None), (None, "la", "web", text), (7, None, "web", "404 Not Found")])
