@@ -21,8 +21,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A rename needs the old name missing in at least this share of the objects that have the new name.
 EXCLUSION = 0.9
@@ -281,17 +284,163 @@ def alternatives(obs: DataFrame) -> DataFrame:
     return obs.where("what = 'form'").groupBy("name", kind.alias("json_kind")).agg(F.sum("n").alias("n_values"))
 
 
+#: A value as it came: its kind, its JSON, and the branch of its kind (objects and arrays in `json` alone).
+BRANCH = "struct<kind:string,json:string,text:string,number:double,boolean:boolean>"
+PAGE_LISTS = ("blocks", "paragraphs", "lines", "tokens")
+PAGE = (
+    "struct<page_idx:int,page_number:bigint,dimension:string,text:string,blocks:array<string>,paragraphs:array<string>,lines:array<string>,tokens:array<string>,"
+    f"branches:map<string,{BRANCH}>,extra:map<string,string>>"
+)
 CONFORMED = (
     "file_id long, is_complete boolean, shape string, file_idx int, text string, timestamp string, timestamp_number double, filename string, mode string, process_date string, "
-    "page_count long, page_count_string string, file_index long, total_files long, chunks long, n_pages int, document_text string, extra map<string,string>"
+    "page_count long, page_count_string string, file_index long, total_files long, chunks long, n_pages int, document_text string, extra map<string,string>, "
+    f"batch_text string, batch_timestamp string, batch_total_files long, file_count long, total_chunks long, pages array<{PAGE}>, branches map<string,{BRANCH}>"
 )
+COLUMNS = [c.split()[0] for c in re.split(r", (?=\w+ )", CONFORMED)]
+_FILE = ("text", "timestamp", "metadata", "document_data", "document_data.text", "document_data.pages")
+_META = ("filename", "page_count", "file_index", "total_files", "chunks")
+_PAGES = tuple(f"document_data.pages[].{n}" for n in ("page_number", "dimension", "text", *PAGE_LISTS))
+#: Base paths that have a column; any other base field comes out in `extra`.
+PLACED = {
+    "single": {*_FILE, *_PAGES, *(f"metadata.{n}" for n in (*_META, "mode", "process_date", "file_count", "total_chunks"))},
+    "batch": {"text", "metadata", "files", *(f"metadata.{n}" for n in ("mode", "process_date", "file_count", "total_files", "total_chunks", "timestamp")), *(f"files[].{n}" for n in (*_FILE, *_PAGES, *(f"metadata.{m}" for m in _META)))},
+}
+
+
+def whole(v: object) -> int | None:
+    """A whole number, also one written as text, that a long can hold."""
+    try:
+        n = v if isinstance(v, int) and not isinstance(v, bool) else int(v.strip()) if isinstance(v, str) and re.fullmatch(r"[+-]?\d+", v.strip()) else float(str(v).strip())
+        return int(n) if n == int(n) and abs(n) < 2**63 else None
+    except (ValueError, OverflowError):
+        return None
+
+
+def iso(v: object) -> str | None:
+    """A time as ISO text, also one given as a number of seconds."""
+    if isinstance(v, int | float) and not isinstance(v, bool):
+        try:
+            return pd.Timestamp(v, unit="s").isoformat()
+        except (ValueError, OverflowError):
+            return None
+    return v if isinstance(v, str) else None
+
+
+def dumped(v: object) -> str:
+    return json.dumps(v, ensure_ascii=False)
+
+
+def plain(v: object) -> str | None:
+    """A text, or the JSON of another value."""
+    return v if v is None or isinstance(v, str) else dumped(v)
+
+
+def opened(v: object) -> object:
+    """A container, also one kept as JSON text."""
+    if isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
+        try:
+            return json.loads(v)
+        except (ValueError, RecursionError):
+            return v
+    return v
+
+
+def places(v: object) -> list:
+    """The entries of a collection in their places, whatever it is kept in."""
+    v = opened(v)
+    return v if isinstance(v, list) else list(v.values()) if isinstance(v, dict) else []
+
+
+def branch(v: object) -> dict:
+    k = kind_of(v)
+    number = None
+    if k == "number":
+        try:
+            number = float(v)
+        except OverflowError:  # in `json` alone
+            pass
+    return {"kind": k, "json": dumped(v), "text": v if k == "string" else None, "number": number, "boolean": v if k == "boolean" else None}
+
+
+class Conformer:
+    """Payloads as rows: each value in its column, in a typed branch where it is in conflict with the base, or in `extra`."""
+
+    def __init__(self, base: list[tuple], names: dict[tuple[str, str], str]):
+        self.layouts, self.names = _layouts(base), names
+
+    def fields(self, shape: str, lay: Layout, path: str, o: object, extra: dict, branches: dict) -> dict:
+        """The base fields of an object by their base names."""
+        o = opened(o)
+        if not isinstance(o, dict):
+            return {}
+        kids, moved, got = lay.children.get(path, {}), containers(lay, path, o), {}
+        for n, v in sorted(o.items(), key=lambda x: x[0] not in kids):  # base names come before other names
+            leaf = n if n in kids else moved.get(n) or self.names.get((path.rpartition(".")[2], n))
+            if leaf not in kids or leaf in got or kids[leaf] not in PLACED.get(shape, ()):
+                extra[f"{path}.{n}".lstrip(".")] = dumped(v)
+                continue
+            got[leaf] = v
+            k, want = kind_of(v), lay.kind[kids[leaf]]
+            if k not in ("null", want) or want == "number" and k == "number" and whole(v) is None:
+                branches[kids[leaf]] = branch(v)
+        return got
+
+    def entries(self, path: str, value: object, extra: dict) -> list[tuple[int, dict]]:
+        """The objects of a collection with their places; other entries, but null, go to `extra`."""
+        out = []
+        for i, e in enumerate(places(value)):
+            if isinstance(opened(e), dict):
+                out.append((i, e))
+            elif e is not None:
+                extra[f"{path}[{i}]"] = dumped(e)
+        return out
+
+    def page(self, shape: str, lay: Layout, path: str, i: int, o: object) -> dict:
+        extra: dict[str, str] = {}
+        branches: dict[str, dict] = {}
+        got = self.fields(shape, lay, path, o, extra, branches)
+        lists = {n: [dumped(e) for e in places(got[n])] if isinstance(opened(got.get(n)), list | dict) else None for n in PAGE_LISTS}
+        return {"page_idx": i, "page_number": whole(got.get("page_number")), "dimension": None if got.get("dimension") is None else dumped(opened(got["dimension"])), "text": plain(got.get("text")), **lists, "branches": branches, "extra": extra or None}
+
+    def rows(self, fid: int | None, text: object) -> list[tuple]:
+        obj = parse(text)
+        if obj is None:
+            return [(fid, False) + (None,) * (len(COLUMNS) - 2)]
+        shape = shape_of(self.layouts, obj)
+        lay = self.layouts.get(shape) or Layout([])
+        shared: dict[str, str] = {}
+        common: dict[str, dict] = {}
+        root = self.fields(shape, lay, "", obj, shared, common)
+        top = self.fields(shape, lay, "metadata", root.get("metadata"), shared, common)
+        batch = shape == "batch"
+        parts = [(i + 1, e) for i, e in self.entries("files", root.get("files"), shared)] if batch else []
+        out = []
+        for i, entry in parts or [(0, None)]:
+            extra, branches = dict(shared), dict(common)
+            at = "files[]." if entry is not None else ""
+            part = self.fields(shape, lay, "files[]", entry, extra, branches) if at else root
+            meta = self.fields(shape, lay, at + "metadata", part.get("metadata"), extra, branches) if at else top
+            doc = self.fields(shape, lay, at + "document_data", part.get("document_data"), extra, branches)
+            at += "document_data.pages"
+            found = self.entries(at, doc.get("pages"), extra)
+            pages = [self.page(shape, lay, at + "[]", k, e) for k, e in found] if isinstance(opened(doc.get("pages")), list | dict) else None
+            ts, pc = part.get("timestamp", top.get("timestamp")), meta.get("page_count")
+            out.append((
+                fid, True, shape, i, plain(part.get("text")), iso(ts), branch(ts)["number"], plain(meta.get("filename")), plain(top.get("mode")), plain(top.get("process_date")),
+                whole(pc), pc if isinstance(pc, str) else None, whole(meta.get("file_index")), whole(meta.get("total_files", top.get("total_files"))), whole(meta.get("chunks")),
+                None if pages is None else len(pages), plain(doc.get("text")), extra or None,
+                plain(root.get("text")) if batch else None, iso(top.get("timestamp")) if batch else None, whole(top.get("total_files")) if batch else None, whole(top.get("file_count")), whole(top.get("total_chunks")), pages, branches or None,
+            ))
+        return out
 
 
 def conform(raw: DataFrame, schema_fields: DataFrame, obs: DataFrame | None = None) -> DataFrame:
-    """All payloads in one table, a row per file: canonical values, and the typed branch of a value in conflict beside them.
+    """All payloads in one table, a row per file: canonical values, pages nested, and typed branches of values in conflict.
 
-    A number given as text comes out canonical as a number with its text in the `_string` branch; a time given as a number
-    of seconds comes out as ISO text with the number in its branch; fields the base lacks are kept in `extra` as JSON.
+    A number given as text comes out canonical as a number, a time given as a number of seconds as ISO text; every value
+    that is not of its base kind, or no whole number that a long holds, is kept as it came in `branches` by its base path.
+    Elements of pages, inside which nothing is compared, come out as JSON, one string each.  Everything the base lacks is
+    kept in `extra` as JSON, fields of a page in the page's own `extra`.
     """
     obs = observe(raw, schema_fields) if obs is None else obs
     base = base_rows(schema_fields)
@@ -300,65 +449,16 @@ def conform(raw: DataFrame, schema_fields: DataFrame, obs: DataFrame | None = No
         raise ValueError("more than 20,000 renamed fields")
     names = {(r["parent"], r["name"]): r["base_leaf"] for r in rows}
 
-    def whole(v: object) -> int | None:
-        try:
-            return int(float(str(v).strip()))
-        except (ValueError, OverflowError):
-            return None
-
-    def iso(v: object) -> str | None:
-        if isinstance(v, int | float) and not isinstance(v, bool):
-            try:
-                return pd.Timestamp(v, unit="s").isoformat()
-            except (ValueError, OverflowError):
-                return None
-        return v if isinstance(v, str) else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        layouts = _layouts(base)
-        for pdf in batches:
-            out = []
-            for fid, text in zip(pdf["file_id"], pdf["payload"], strict=True):
-                obj = parse(text)
-                fid = None if pd.isna(fid) else int(fid)
-                if obj is None:
-                    out.append((fid, False) + (None,) * 16)
-                    continue
-                shape = shape_of(layouts, obj)
-                lay = layouts[shape]
-                extra: dict[str, str] = {}
-
-                def fields(path: str, o: object, lay: Layout = lay, extra: dict = extra) -> dict:
-                    if isinstance(o, str) and o[:1] == "{":
-                        o = parse(o)
-                    if not isinstance(o, dict):
-                        return {}
-                    kids, moved, got = lay.children.get(path, {}), containers(lay, path, o), {}
-                    for n, v in o.items():
-                        leaf = n if n in kids else moved.get(n) or names.get((path.rpartition(".")[2], n))
-                        if leaf in kids and leaf not in got:
-                            got[leaf] = v
-                        else:
-                            extra[f"{path}.{n}".lstrip(".")] = json.dumps(v, ensure_ascii=False)
-                    return got
-
-                root = fields("", obj)
-                top = fields("metadata", root.get("metadata"))
-                if shape == "batch":
-                    parts = [(i + 1, fields("files[]", e), "files[].") for i, e in enumerate(lay.entries(root.get("files")))]
-                else:
-                    parts = [(0, root, "")]
-                for i, part, at in parts or [(0, root, "")]:
-                    meta = fields(at + "metadata", part.get("metadata")) if at else top
-                    doc = fields(at + "document_data", part.get("document_data"))
-                    ts, pc = part.get("timestamp", top.get("timestamp")), meta.get("page_count")
-                    out.append((
-                        fid, True, shape, i, part.get("text"), iso(ts), float(ts) if kind_of(ts) == "number" else None, meta.get("filename"), top.get("mode"), top.get("process_date"),
-                        whole(pc), pc if isinstance(pc, str) else None, whole(meta.get("file_index")), whole(meta.get("total_files", top.get("total_files"))), whole(meta.get("chunks")),
-                        len(lay.entries(doc.get("pages"))) if doc.get("pages") is not None else None, doc.get("text"), dict(extra) or None,
-                    ))
-            text_at = (2, 4, 5, 7, 8, 9, 11, 16)
-            out = [tuple(v if i not in text_at or v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for i, v in enumerate(r)) for r in out]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CONFORMED.split(", ")], dtype=object)
-
-    return raw.select("file_id", "payload").mapInPandas(run, CONFORMED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Conformer(base, names)
+        for b in batches:
+            out = [r for fid, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in model.rows(fid, text)]
+            items = lambda m: None if m is None else list(m.items())
+            for r in out:
+                for p in r[COLUMNS.index("pages")] or ():
+                    p["branches"], p["extra"] = items(p["branches"] or None), items(p["extra"])
+            cols = [[items(r[i]) if c in ("extra", "branches") else r[i] for r in out] for i, c in enumerate(COLUMNS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], COLUMNS)
+
+    kinds = to_arrow_schema(StructType.fromDDL(CONFORMED))
+    return raw.select(F.col("file_id").cast("long").alias("file_id"), "payload").mapInArrow(run, CONFORMED)

@@ -70,3 +70,25 @@ def test_alternatives(spark):
     raw, base, _ = run(spark, [GOOD, changed(timestamp=7)])
     kinds = {(r["name"], r.json_kind): r.n_values for r in drift.alternatives(drift.observe(raw, base)).collect()}
     assert kinds["timestamp", "string"] == kinds["timestamp", "number"] == 1
+
+
+def test_table_keeps_every_value(spark):
+    page = {"page_number": "1", "blocks": [{"text": "b", "odd": 1}, None], "stamp": {"x": 1}}
+    payloads = [
+        changed(document_data={"text": "a", "pages": [page, None, {"page_number": 2, "blocks": "none"}, 5]}, metadata={"filename": "a_1.pdf", "page_count": 2.5}, timestamp={"at": 1}),
+        {"text": "whole batch", "metadata": {}, "files": [{"text": "c", "timestamp": 5, "metadata": {"filename": ["f"]}, "more": 1}, None, {"text": "d", "timestamp": None, "metadata": {}, "more": 2}]},
+    ]
+    raw, base, _ = run(spark, payloads)
+    single, *files = drift.conform(raw, base).orderBy("file_id", "file_idx").collect()
+    assert [p.page_idx for p in single.pages] == [0, 2] and [json.loads(b) for b in single.pages[0].blocks] == page["blocks"]
+    assert single.pages[0].page_number == 1 and single.pages[0].branches["document_data.pages[].page_number"].text == "1" and json.loads(single.pages[0].extra["document_data.pages[].stamp"]) == {"x": 1}
+    assert single.pages[1].branches["document_data.pages[].blocks"].text == "none" and single.extra["document_data.pages[3]"] == "5"
+    assert single.page_count is None and single.branches["metadata.page_count"].number == 2.5 and json.loads(single.branches["timestamp"].json) == {"at": 1}
+    assert [(r.file_idx, r.text, r.batch_text, r.extra["files[].more"]) for r in files] == [(1, "c", "whole batch", "1"), (3, "d", "whole batch", "2")]
+    assert files[0].timestamp_number == 5 and json.loads(files[0].branches["files[].metadata.filename"].json) == ["f"]
+
+
+def test_base_fields_without_a_column(spark):
+    raw, base, _ = run(spark, [changed(note="n")])
+    more = spark.createDataFrame([("single", "note", "string", True)], base.schema)
+    assert json.loads(drift.conform(raw, base.unionByName(more)).first().extra["note"]) == "n"
