@@ -34,7 +34,7 @@ FORM_SHARE = 0.3
 #: An unknown container is a missing one renamed if the base knows at least this share of its fields.
 RESEMBLANCE = 0.3
 
-OBS = "file_id long, what string, path string, name string, kind string, form string, occ int, n long, cands array<struct<base:string,missing:boolean,similar:boolean>>"
+OBS = "file_id long, what string, shape string, path string, name string, kind string, form string, occ int, n long, cands array<struct<base:string,missing:boolean,similar:boolean>>"
 
 
 def kind_of(v: object) -> str:
@@ -181,7 +181,7 @@ def fuse(lay: Layout, obj: dict) -> tuple[set[tuple[str, str]], list[tuple], Cou
                     unknown.append((path, None, None, None, occ, [{"base": p, "missing": True, "similar": False}]))
                 continue
             v = values[leaf]
-            forms[(leaf, form_of(v))] += 1
+            forms[(p, form_of(v))] += 1
             k = kind_of(v)
             if k not in ("null", lay.kind[p]):
                 certain.add(("retyped", p))
@@ -225,15 +225,16 @@ def observe(raw: DataFrame, schema_fields: DataFrame) -> DataFrame:
                 obj = parse(text)
                 if obj is None or pd.isna(fid):
                     continue
-                lay = layouts.get(shape_of(layouts, obj))
+                shape = shape_of(layouts, obj)
+                lay = layouts.get(shape)
                 if lay is None:
                     continue
                 certain, unknown, seen = fuse(lay, obj)
-                forms.update(seen)
-                out += [(int(fid), what, p, None, None, None, None, 1, None) for what, p in certain]
-                out += [(int(fid), "unknown" if n else "missing", path, n, k, f, occ, 1, cands) for path, n, k, f, occ, cands in unknown]
-            out += [(None, "form", None, leaf, None, f, None, n, None) for (leaf, f), n in forms.items()]
-            yield pd.DataFrame(out, columns=["file_id", "what", "path", "name", "kind", "form", "occ", "n", "cands"], dtype=object)
+                forms.update({(shape, *k): n for k, n in seen.items()})
+                out += [(int(fid), what, shape, p, None, None, None, None, 1, None) for what, p in certain]
+                out += [(int(fid), "unknown" if n else "missing", shape, path, n, k, f, occ, 1, cands) for path, n, k, f, occ, cands in unknown]
+            out += [(None, "form", shape, p, p.rpartition(".")[2], None, f, None, n, None) for (shape, p, f), n in forms.items()]
+            yield pd.DataFrame(out, columns=["file_id", "what", "shape", "path", "name", "kind", "form", "occ", "n", "cands"], dtype=object)
 
     return raw.select("file_id", "payload").mapInPandas(run, OBS)
 
@@ -257,18 +258,24 @@ def aliases(obs: DataFrame) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("parent", "name", F.col("base").alias("base_leaf"))
 
 
+def resolved(obs: DataFrame) -> DataFrame:
+    """The unknown fields with the base path they stand for, null for added ones."""
+    key = ["file_id", "path", "occ"]
+    unknown = obs.where("what = 'unknown'").select(*key, "shape", "name", "kind", "cands", _leaf("path").alias("parent")).join(aliases(obs), ["parent", "name"], "left")
+    hit = F.get(F.filter("cands", lambda c: c["missing"] & (F.element_at(F.split(c["base"], r"\."), -1) == F.col("base_leaf"))), F.lit(0))["base"]
+    unknown = unknown.withColumn("base", hit)
+    # one new name per missing field of an object; a second candidate counts as added
+    first = Window.partitionBy(*key, "base").orderBy("name")
+    return unknown.withColumn("r", F.dense_rank().over(first)).withColumn("base", F.when(F.col("r") == 1, F.col("base"))).drop("r")
+
+
 def changes(raw: DataFrame, schema_fields: DataFrame, obs: DataFrame | None = None) -> DataFrame:
     """Every change of every payload: distinct (file_id, field_path, change_kind)."""
     obs = observe(raw, schema_fields) if obs is None else obs
     base = raw.sparkSession.createDataFrame([(s, p, k) for s, p, k, _ in base_rows(schema_fields)], "shape string, base string, base_kind string").select("base", "base_kind").distinct()
     certain = obs.where("what in ('renamed', 'retyped')").select("file_id", F.col("path").alias("field_path"), F.col("what").alias("change_kind"))
     key = ["file_id", "path", "occ"]
-    unknown = obs.where("what = 'unknown'").select(*key, "name", "kind", "cands", _leaf("path").alias("parent")).join(aliases(obs), ["parent", "name"], "left")
-    hit = F.get(F.filter("cands", lambda c: c["missing"] & (F.element_at(F.split(c["base"], r"\."), -1) == F.col("base_leaf"))), F.lit(0))["base"]
-    unknown = unknown.withColumn("base", hit)
-    # one new name per missing field of an object; a second candidate counts as added
-    first = Window.partitionBy(*key, "base").orderBy("name")
-    unknown = unknown.withColumn("r", F.dense_rank().over(first)).withColumn("base", F.when(F.col("r") == 1, F.col("base"))).drop("r")
+    unknown = resolved(obs)
     renamed = unknown.where("base is not null").join(base, "base")
     added = unknown.where("base is null").select("file_id", F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name")).alias("field_path"), F.lit("added").alias("change_kind"))
     retyped = renamed.where("kind <> 'null' and kind <> base_kind").select("file_id", F.col("base").alias("field_path"), F.lit("retyped").alias("change_kind"))
@@ -279,9 +286,11 @@ def changes(raw: DataFrame, schema_fields: DataFrame, obs: DataFrame | None = No
 
 
 def alternatives(obs: DataFrame) -> DataFrame:
-    """The tags of each base field: value kinds that occur and how often, over all payloads."""
+    """The tags of each base path of a shape: value kinds that occur and how often, over all payloads, whatever the field's name."""
     kind = F.expr("case substr(form, 1, 2) when 's:' then 'string' when 'n:' then 'number' when 'o:' then 'object' when 'a:' then 'array' else form end")
-    return obs.where("what = 'form'").groupBy("name", kind.alias("json_kind")).agg(F.sum("n").alias("n_values"))
+    named = obs.where("what = 'form'").select("shape", F.col("path").alias("field_path"), kind.alias("json_kind"), "n")
+    moved = resolved(obs).where("base is not null").select("shape", F.col("base").alias("field_path"), F.col("kind").alias("json_kind"), F.lit(1).cast("long").alias("n"))
+    return named.unionByName(moved).groupBy("shape", "field_path", _leaf("field_path").alias("name"), "json_kind").agg(F.sum("n").alias("n_values"))
 
 
 #: A value as it came: its kind, its JSON, and the branch of its kind (objects and arrays in `json` alone).

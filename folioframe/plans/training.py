@@ -24,7 +24,7 @@ def _conform(s: SparkSession, d: str) -> DataFrame:
 
 
 def _alternatives(s: SparkSession, d: str) -> DataFrame:
-    return drift.alternatives(drift.observe(table(s, d, "raw_exports"), table(s, d, "schema_fields")))
+    return drift.alternatives(cut(drift.observe(table(s, d, "raw_exports"), table(s, d, "schema_fields"))))
 
 
 def queries() -> dict[str, Query]:

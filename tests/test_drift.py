@@ -92,3 +92,12 @@ def test_base_fields_without_a_column(spark):
     raw, base, _ = run(spark, [changed(note="n")])
     more = spark.createDataFrame([("single", "note", "string", True)], base.schema)
     assert json.loads(drift.conform(raw, base.unionByName(more)).first().extra["note"]) == "n"
+
+
+def test_alternatives_by_path(spark):
+    batch = {"text": "b", "metadata": {}, "files": [{"text": 3, "timestamp": "t", "metadata": {}}]}
+    renamed = [{**without(GOOD, "timestamp"), "time_stamp": 5}] * 2
+    raw, base, _ = run(spark, [GOOD, batch, *renamed])
+    got = {(r["shape"], r.field_path, r.json_kind): r.n_values for r in drift.alternatives(drift.observe(raw, base)).collect()}
+    assert got["batch", "text", "string"] == got["batch", "files[].text", "number"] == 1 and got["single", "document_data.text", "string"] == 3
+    assert got["single", "timestamp", "string"] == 1 and got["single", "timestamp", "number"] == 2
