@@ -2,9 +2,10 @@
 
 A bottom-up tree automaton gives every vertex, polygon, layout, element and page a state from the states of its
 children.  The run of the automaton over one record, its *shape tree*, holds only small state names, so records are
-de-duplicated and exploded at that size.  Each state is a structural variant; `variant_table` routes the elements of one
-variant into a table that has just the columns the variant guarantees, while `pages`, `elements` and `vertices` keep the
-common supertype keys and the parent links `(env_id, file_idx, page_idx, elem_level, elem_idx, vertex_idx)`.
+de-duplicated and exploded at that size.  Each state is a structural variant; `variant_table` routes the nodes of one
+variant into a table that has just the columns the variant guarantees and `subtypes` holds all of these in one, while
+`records`, `files`, `pages`, `elements`, `polygons` (of all four levels) and `vertices` (of blocks) keep the common
+supertype keys and the parent links `(env_id, file_idx, page_idx, elem_level, elem_idx, vertex_idx)`.
 
 Defined results: a null array or struct is an absent child and gives no rows; a null entry of an array keeps its
 place in the numbering and gives no row; a null coordinate gives a vertex row; empty tables give empty tables; rows
@@ -75,19 +76,23 @@ def with_files(df: DataFrame) -> DataFrame:
     return df.select("env_id", F.explode(F.concat(own, entries)).alias("file")).select("env_id", "file.file_idx", "file.pages")
 
 
-def shape_trees(df: DataFrame) -> DataFrame:
-    """Run the automaton: one distinct row per file with the states of its pages, elements and block vertices."""
+def shape_trees(df: DataFrame, polygons: tuple[str, ...] = ("blocks",)) -> DataFrame:
+    """Run the automaton: one distinct row per file with the states of its pages, elements and the vertices of `polygons`."""
 
     def page(p: Column) -> Column:
         levels = [F.transform(p[arr], element_state).alias(level) for level, arr in LEVELS]
-        vertices = F.transform(p["blocks"], lambda b: F.transform(b["layout"]["bounding_poly"]["vertices"], vertex_state)).alias("vertex")
+        corners = [F.coalesce(F.transform(p[arr], lambda b: F.transform(b["layout"]["bounding_poly"]["vertices"], vertex_state)), F.array()) for arr in polygons]
+        vertices = F.concat(*corners).alias("vertex")
         return F.struct(page_state(p).alias("page"), *levels, vertices)
 
     return with_files(df).select("env_id", "file_idx", F.transform("pages", page).alias("pages")).distinct()
 
 
-def nodes(df: DataFrame) -> DataFrame:
-    """All nodes of all records: the six key columns and the node's `variant` (its automaton state)."""
+def nodes(df: DataFrame, polygons: tuple[str, ...] = ("blocks",)) -> DataFrame:
+    """All nodes of all records: the six key columns and the node's `variant` (its automaton state).
+
+    With `polygons` of more than one level the vertices' `elem_idx` only tells them apart, it is no place: for counts.
+    """
 
     def row(level: str, e: Column, v: Column, state: Column) -> Column:
         return F.struct(F.lit(level).alias("elem_level"), e.cast("int").alias("elem_idx"), v.cast("int").alias("vertex_idx"), state.alias("variant"))
@@ -96,7 +101,7 @@ def nodes(df: DataFrame) -> DataFrame:
         return row(level, i, none, state)
 
     none = F.lit(-1)
-    pages = shape_trees(df).select("env_id", "file_idx", F.posexplode("pages").alias("page_idx", "s")).where("s.page is not null")
+    pages = shape_trees(df, polygons).select("env_id", "file_idx", F.posexplode("pages").alias("page_idx", "s")).where("s.page is not null")
     rows = [F.array(row("page", none, none, F.col("s.page")))]
     rows += [F.coalesce(F.transform(F.col("s")[level], partial(element_row, level)), F.array()) for level, _ in LEVELS]
     corners = F.transform(F.col("s.vertex"), lambda vs, b: F.coalesce(F.transform(vs, lambda s, v: row("vertex", b, v, s)), F.array()))
@@ -134,8 +139,67 @@ def vertices(df: DataFrame) -> DataFrame:
     return b.select("env_id", "file_idx", "page_idx", "elem_idx", F.posexplode("vertices").alias("vertex_idx", "v")).where("v is not null").select("env_id", "file_idx", "page_idx", "elem_idx", "vertex_idx", "v.x", "v.y")
 
 
+def polygons(df: DataFrame) -> DataFrame:
+    """Vertex table of the polygons of all four levels, linked to their element by its level and place."""
+    e = elements(df).select("env_id", "file_idx", "page_idx", "elem_level", "elem_idx", F.posexplode("vertices").alias("vertex_idx", "v"))
+    return e.where("v is not null").select("env_id", "file_idx", "page_idx", "elem_level", "elem_idx", "vertex_idx", "v.x", "v.y", vertex_state(F.col("v")).alias("variant"))
+
+
+META = ("filename", "page_count", "chunks", "file_index", "total_files", "total_chunks", "timestamp", "mode", "file_count", "process_date")
+
+
+def _own(df: DataFrame) -> list[Column]:
+    """The record's own text, time and metadata; null where the table has no such column."""
+    kinds = {"text": "string", "timestamp": "string", "metadata": f"struct<{','.join(f'{n}:string' for n in META)}>"}
+    if "files" in df.columns:
+        kinds |= {f.name: f.dataType for f in df.schema["files"].dataType.elementType.fields if f.name in kinds}
+    return [F.col(n) if n in df.columns else F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+
+
+def _flat_meta(meta: str) -> list[Column]:
+    return [F.col(meta).isNotNull().alias("has_metadata")] + [F.col(f"{meta}.{n}").alias("metadata_timestamp" if n == "timestamp" else n) for n in META]
+
+
+def records(df: DataFrame) -> DataFrame:
+    """Record table: the record's own text, time and metadata, and whether it is a batch."""
+    r = df.select("env_id", F.col("files").isNotNull().alias("is_batch"), F.col("document_data").isNotNull().alias("has_document"), *_own(df))
+    return r.select("env_id", "is_batch", "has_document", "text", "timestamp", *_flat_meta("metadata")).distinct()
+
+
+def files(df: DataFrame) -> DataFrame:
+    """File table: 0 for a single record (or a record's own document_data), 1, 2, … for the entries of a batch."""
+    own = df.where("document_data is not null or files is null").select("env_id", F.lit(0).alias("file_idx"), *_own(df), "document_data")
+    e = df.select("env_id", F.posexplode("files").alias("i", "f")).where("f is not null")
+    entries = e.select("env_id", (F.col("i") + 1).cast("int").alias("file_idx"), "f.text", "f.timestamp", "f.metadata", "f.document_data")
+    cols = ["env_id", "file_idx", "text", "timestamp", *_flat_meta("metadata"), F.col("document_data").isNotNull().alias("has_document"), F.col("document_data.text").alias("document_text")]
+    return own.select(*cols).unionByName(entries.select(*cols)).distinct()
+
+
+def subtypes(df: DataFrame) -> DataFrame:
+    """The typed subtype tables in one: every page, element and vertex with its keys, its parent's level, its variant, and
+    just the columns of that variant filled."""
+    blank = {n: F.lit(None).cast(k).alias(n) for n, k in (("page_number", "int"), ("width", "double"), ("height", "double"), ("text", "string"), ("layout_text", "string"), ("confidence", "double"), ("x", "double"), ("y", "double"))}
+    none = F.lit(-1)
+
+    def rows(t: DataFrame, level: Column, parent: Column, elem: Column, vertex: Column, *have: str) -> DataFrame:
+        text = F.nullif(F.col("text"), F.lit("")).alias("text") if "text" in have else blank["text"]
+        cols = [text if n == "text" else F.col(n) if n in have else c for n, c in blank.items()]
+        return t.select("env_id", "file_idx", "page_idx", level.alias("elem_level"), elem.alias("elem_idx"), vertex.alias("vertex_idx"), parent.alias("parent_level"), "variant", *cols)
+
+    page = rows(pages(df), F.lit("page"), F.lit("file"), none, none, "page_number", "width", "height", "text")
+    element = rows(elements(df), F.col("elem_level"), F.lit("page"), F.col("elem_idx"), none, "text", "layout_text", "confidence")
+    vertex = rows(polygons(df), F.lit("vertex"), F.col("elem_level"), F.col("elem_idx"), F.col("vertex_idx"), "x", "y")
+    return page.unionByName(element).unionByName(vertex)
+
+
 def variant_table(df: DataFrame, variant: str) -> DataFrame:
-    """Subtype table of one element variant: the supertype keys and only the columns that variant guarantees."""
+    """Subtype table of one variant: the supertype keys and only the columns that variant guarantees."""
+    if variant in ("xy", "x", "y", "none"):
+        return subtypes(df).where((F.col("elem_level") == "vertex") & (F.col("variant") == variant)).select(*KEYS, "parent_level", *(c for c in "xy" if c in variant and variant != "none"))
+    if variant.count("-") != 2:
+        parts = variant.split("+")
+        keep = [*KEYS[:3], "page_number", *["width", "height"] * ("dim" in parts), *["text"] * ("text" in parts)]
+        return pages(df).where(F.col("variant") == variant).select(*keep)
     text, layout, polygon = variant.split("-")
     keep = ["env_id", "file_idx", "page_idx", "elem_level", "elem_idx"]
     keep += ["text"] * (text == "text") + ["layout_text"] * (layout != "bare") + ["confidence"] * (layout in ("scored", "zeroscored"))

@@ -27,6 +27,14 @@ def _alternatives(s: SparkSession, d: str) -> DataFrame:
     return drift.alternatives(cut(drift.observe(table(s, d, "raw_exports"), table(s, d, "schema_fields"))))
 
 
+COUNTS = ("page_count", "chunks", "file_index", "total_files", "total_chunks", "file_count")
+
+
+def _doubles(df: DataFrame) -> DataFrame:
+    """Counts that can be null as doubles."""
+    return df.withColumns({n: F.col(n).cast("double") for n in COUNTS})
+
+
 def queries() -> dict[str, Query]:
     env = lambda s, d: table(s, d, "envelopes")
     return {
@@ -34,10 +42,14 @@ def queries() -> dict[str, Query]:
         "p1_table": _conform,
         "p1_alternatives": _alternatives,
         "p7_found": lambda s, d: nested.nodes(env(s, d)).select(*nested.KEYS),
-        "p7_variants": lambda s, d: nested.nodes(env(s, d)).groupBy("elem_level", "variant").agg(F.count("*").alias("n_nodes")),
+        "p7_variants": lambda s, d: nested.nodes(env(s, d), tuple(arr for _, arr in nested.LEVELS)).groupBy("elem_level", "variant").agg(F.count("*").alias("n_nodes")),
         "p7_pages": lambda s, d: nested.pages(env(s, d)).drop("variant").withColumn("page_number", F.col("page_number").cast("double")),
         "p7_elements": lambda s, d: nested.elements(env(s, d)).drop("vertices", "variant"),
         "p7_vertices": lambda s, d: nested.vertices(env(s, d)),
+        "p7_polygons": lambda s, d: nested.polygons(env(s, d)).drop("variant"),
+        "p7_records": lambda s, d: _doubles(nested.records(env(s, d))),
+        "p7_files": lambda s, d: _doubles(nested.files(env(s, d))),
+        "p7_subtypes": lambda s, d: nested.subtypes(env(s, d)).withColumn("page_number", F.col("page_number").cast("double")),
     }
 
 
@@ -59,6 +71,12 @@ VERTICES = """, v AS (
   FROM (SELECT env_id, file_idx, page_idx, elem_idx, unnest(list_transform(e.layout.bounding_poly.vertices, lambda x, i: {'v': x, 'i': i})) AS h FROM e WHERE elem_level = 'block') WHERE h.v IS NOT NULL
 )"""
 
+POLYGONS = """, v AS (
+  SELECT env_id, file_idx, page_idx, elem_level, elem_idx, CAST(h.i - 1 AS INTEGER) AS vertex_idx, h.v AS v
+  FROM (SELECT env_id, file_idx, page_idx, elem_level, elem_idx, unnest(list_transform(e.layout.bounding_poly.vertices, lambda x, i: {'v': x, 'i': i})) AS h FROM e) WHERE h.v IS NOT NULL
+)"""
+META = "m IS NOT NULL AS has_metadata, " + ", ".join(f"CAST(m.{n} AS DOUBLE) AS {n}" if n in COUNTS else f"m.{n} AS {'metadata_timestamp' if n == 'timestamp' else n}" for n in nested.META)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -69,4 +87,12 @@ UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, 'vertex', elem_idx, vertex
         "p7_pages": f"WITH {FILES} SELECT DISTINCT env_id, file_idx, page_idx, CAST(p.page_number AS DOUBLE) AS page_number, p.dimension.width AS width, p.dimension.height AS height, p.text AS text FROM p",
         "p7_elements": f"WITH {FILES}{ELEMENTS} SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, e.text AS text, e.layout.text AS layout_text, e.layout.confidence AS confidence FROM e",
         "p7_vertices": f"WITH {FILES}{ELEMENTS}{VERTICES} SELECT DISTINCT env_id, file_idx, page_idx, elem_idx, vertex_idx, v.x AS x, v.y AS y FROM v",
+        "p7_polygons": f"WITH {FILES}{ELEMENTS}{POLYGONS} SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, vertex_idx, v.x AS x, v.y AS y FROM v",
+        "p7_records": f"SELECT DISTINCT env_id, files IS NOT NULL AS is_batch, document_data IS NOT NULL AS has_document, text, timestamp, {META} FROM (SELECT *, metadata AS m FROM envelopes)",
+        "p7_files": f"""WITH g AS (
+  SELECT env_id, CAST(0 AS INTEGER) AS file_idx, text, timestamp, metadata AS m, document_data AS d FROM envelopes WHERE document_data IS NOT NULL OR files IS NULL
+  UNION ALL
+  SELECT env_id, CAST(h.i AS INTEGER), h.f.text, h.f.timestamp, h.f.metadata, h.f.document_data
+  FROM (SELECT env_id, unnest(list_transform(files, lambda x, i: {{'f': x, 'i': i}})) AS h FROM envelopes) WHERE h.f IS NOT NULL
+) SELECT DISTINCT env_id, file_idx, text, timestamp, {META}, d IS NOT NULL AS has_document, d.text AS document_text FROM g""",
     }

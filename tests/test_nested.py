@@ -47,3 +47,20 @@ def test_variants_and_typed_tables(spark):
 def test_empty_table(spark):
     df = frame(spark, [])
     assert nested.nodes(df).count() == nested.elements(df).count() == nested.pages(df).count() == 0
+
+
+def test_every_level_has_its_tables(spark):
+    p = page(page_number=3, text="t", dimension=(1.0, 2.0), blocks=[elem("a", QUAD)], paragraphs=[elem("p", QUAD[:1])], lines=[elem("", [None, (5.0, 6.0)])], tokens=[elem("k", [(None, None)])])
+    batch = [("own", "time", None, ("x", [p])), None, ("only text", None, None, None)]
+    df = frame(spark, [(1, None, batch), (1, None, batch), (2, ("d", [p]), None)])
+    got = {(r.elem_level, r.elem_idx, r.vertex_idx, r.x, r.y) for r in nested.polygons(df).where("env_id = 1").collect()}
+    assert got == {("block", 0, i, *v) for i, v in enumerate(QUAD)} | {("paragraph", 0, 0, 0.0, 0.0), ("line", 0, 1, 5.0, 6.0), ("token", 0, 0, None, None)}
+    rows = {(r.env_id, r.file_idx): (r.text, r.timestamp, r.has_document, r.document_text) for r in nested.files(df).collect()}
+    assert rows == {(1, 1): ("own", "time", True, "x"), (1, 3): ("only text", None, False, None), (2, 0): (None, None, True, "d")}
+    assert {(r.env_id, r.is_batch) for r in nested.records(df).collect()} == {(1, True), (2, False)}
+    typed = nested.subtypes(df).where("env_id = 1")
+    assert typed.count() == 1 + 4 + 7 and typed.where("elem_level = 'vertex' and parent_level = 'token' and variant = 'none'").count() == 1
+    assert [(r.text, r.confidence, r.width) for r in typed.where("elem_level = 'line'").collect()] == [(None, 0.9, None)]
+    assert nested.variant_table(df, "xy").columns[-2:] == ["x", "y"] and nested.variant_table(df, "xy").where("env_id = 1").count() == 5
+    assert [r.page_number for r in nested.variant_table(df, "dim+text+block+paragraph+line+token").collect()] == [3, 3]
+    assert nested.nodes(df, tuple(a for _, a in nested.LEVELS)).where("env_id = 1 and elem_level = 'vertex'").count() == 7
