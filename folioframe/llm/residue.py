@@ -135,6 +135,8 @@ PAGE_TRIGGERS = (
 ).split() + ["took too long"]
 PARTS = re.compile(r"(?<=[.!?。！？])\s+")
 NAV = re.compile(r"^[^.!?。]{1,40}(?:\s+[|–—·•>/]\s+[^.!?。|–—·•>]{1,30}){1,}$")
+#: What every navigation line holds.
+NAV_MARK = re.compile(r"\s[|–—·•>/]\s")
 
 
 @lru_cache(1)
@@ -209,15 +211,28 @@ def unit_kind(unit: str) -> str:
 
 
 def may_be_page(text: str) -> bool:
-    """False where a text cannot be a page of messages: too long for it, or a quarter of it is one line of content."""
-    if len(text) > 10_000:
-        return False
+    """False where a text cannot be a page of messages: a quarter of it is one line of content."""
     longest = max(text.split("\n"), key=len)
     if 4 * len(longest) < len(text) or len(longest.split()) <= 4:
         return True
     return any(unit_kind(longest[a:z]) != "content" for a, z in units(longest))
 
 
+def page_kind(us: list[str]) -> str:
+    """error or script where the units are messages but for a quarter of their length or but for short lines, else ''."""
+    left, short = 0.25 * sum(map(len, us)), True
+    kinds = set()
+    for u in sorted(us, key=len, reverse=True):  # the longest first: content shows soon
+        k = unit_kind(u)
+        kinds.add(k)
+        if k == "content":
+            left -= len(u)
+            short = short and len(u.split()) <= 4 and not u.rstrip().endswith((".", "。", "·"))
+            if left < 0 and not short:
+                return ""
+    return "script" if "script" in kinds else "error" if "error" in kinds else ""
+
+
 def label(text: str, scan: bool = False) -> tuple[str, bool, list[str], list[str]]:
     """(kind, whether the whole text is of that kind, sure field names, doubtful field names)."""
     sure, doubtful = fields_in(text)
@@ -235,21 +250,14 @@ def label(text: str, scan: bool = False) -> tuple[str, bool, list[str], list[str
     filler = [is_filler(u) for u in us]
     if any(filler):
         return "filler", all(filler), sure, doubtful
-    if len(us) > 40:  # a page of messages is short in units; this many hold content
-        return "", False, sure, doubtful
-    kinds = [unit_kind(u) for u in us]
-    if "error" in kinds or "script" in kinds:
-        loud = sum(len(u) for u, k in zip(us, kinds, strict=True) if k != "content")
-        short = all(k != "content" or len(u.split()) <= 4 and not u.rstrip().endswith((".", "。", "·")) for u, k in zip(us, kinds, strict=True))
-        if short or loud >= 0.75 * sum(map(len, us)):
-            return ("script" if "script" in kinds else "error"), True, sure, doubtful
-    return "", False, sure, doubtful
+    kind = page_kind(us)
+    return kind, bool(kind), sure, doubtful
 
 
 def tokens(text: str) -> list[str]:
     """Words for shingles: navigation lines dropped, paths masked; a character each in spaceless scripts. Digits count as 0."""
     c = compiled()
-    kept = [ln for ln in text.split("\n") if not NAV.match(ln.strip())] if len(text) < 2000 else [text]
+    kept = [ln for ln in text.split("\n") if not NAV.match(ln.strip())] if NAV_MARK.search(text) else [text]
     flat = "\n".join(kept).lower()
     if "/" in flat:
         flat = c["path"].sub(" path ", flat)

@@ -154,3 +154,13 @@ def test_carried_label(spark, monkeypatch):
         rows.append((r.doc_id, kind, whole, names, doubtful, r.doc_id * 1000, len(h), residue.simhash(h)))
     monkeypatch.setattr(residue, "seeds", lambda d: spark.createDataFrame(rows, residue.SEEDS))
     assert {(r.doc_id, r.kind) for r in residue.labelled(df).collect()} == {(1, "error"), (2, "error"), (3, "placeholder"), (5, "error")}
+
+
+def test_labels_at_every_length():
+    trace = "Traceback (most recent call last):\n" + "\n".join(f'File "/srv/reader/view_{i}.py", line {i + 3}, in render' for i in range(60)) + "\nValueError: no such page"
+    log = "\n".join(f"Error 502: Bad Gateway\nThe server sent an invalid response at {i}." for i in range(400))
+    assert len(log) > 10_000 and residue.label(trace)[:2] == residue.label(log)[:2] == ("error", True)
+    content = "The scribe restores the old reading of the letter and sends the copy to the council.\n" * 200
+    assert residue.label("Error 502: Bad Gateway\n" + content)[0] == ""
+    nav = "Home | Search | Help\n"
+    assert residue.tokens(nav + content) == residue.tokens(content) and residue.tokens(nav + content[:90]) == residue.tokens(content[:90])
