@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from re import _constants as sre
+from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +83,8 @@ FILLERS = [
     r"(?:هذا\s+)?(?:نص (?:بديل|تجريبي|مؤقت|افتراضي|نائب)).{0,60}$",
     r"(?:นี่คือ)?(?:ข้อความ(?:ตัวอย่าง|จำลอง|แทน|สมมติ|ตัวยึด)).{0,60}$",
 ]
+#: Those of short words repeated, whose literals many texts hold: they are looked for anywhere in the text first.
+REPEATED = FILLERS[:3]
 THING = r"(?:page|document|volume|edition|item|link|resource|text layer|text|layout result|viewer|scan|server|site|reading room|gateway|upstream|session|request(?:ed)?|service|image|url|address|file|reader|application|catalogue|collection)"
 # Units of error pages, from the unit's start (case-folded).
 ERRORS = [
@@ -124,32 +128,76 @@ FURNITURE = [
     r"(?:reference|incident|request id|code|trace|ref\.?)\W*[\w\-]*\d[\w\-]*\W*$",
     r"番号\d+のページ.{0,20}$",
 ]
-FILLER_TRIGGERS = (
-    "lorem ipsum tempor mollit pariatur quisque tbd asdf qwert dummy placeholder sample filler blindtext platzhalter beispieltext fülltext remplissage faux-texte fictif segnaposto fittizio riempimento заполнител рыбный γεμίσματος κράτησης δείγματος υποκατάστασης δοκιμαστικό 占位 佔位 填充 示例 入ります ダミー "
-    "ข้อความตัวอย่าง ข้อความจำลอง ข้อความแทน ข้อความสมมติ goes appear "
-).split() + ["xx xx", "to follow", "to come", "foo bar", "test test", "blah", "здесь будет", "εδώ θα", "title here", "text here", "نص بديل", "نص تجريبي", "نص مؤقت", "نص افتراضي", "นี่คือ"]
-PAGE_TRIGGERS = (
-    "script java cookie browser error fehler erreur errore ошибк σφάλμα 错误 錯誤 エラー خطأ ข้อผิดพลาด http found gateway forbidden unauthor timeout time-out unavailable denied "
-    "permission requests expired moved withdrawn removed deleted maintenance longer wrong problem traceback exception failed gefunden verfügbar introuvable indisponible trovata spostato rimosso disponibile найден недоступ удал βρέθηκε διαθέσιμ 找不到 不存在 无法 "
-    "見つかりません 削除 تعذر ไม่พบ skript скрипт сценари σενάρια 脚本 腳本 スクリプト سكر สคริปต์ جافا cannot could closed invalid loading gone conflict conversion الصفحة الخادم เซิร์ฟเวอร์ available"
-).split() + ["took too long"]
 PARTS = re.compile(r"(?<=[.!?。！？])\s+")
 NAV = re.compile(r"^[^.!?。]{1,40}(?:\s+[|–—·•>/]\s+[^.!?。|–—·•>]{1,30}){1,}$")
 #: What every navigation line holds.
 NAV_MARK = re.compile(r"\s[|–—·•>/]\s")
 
 
+def literals(pattern: str) -> list[list[frozenset[str]]]:
+    """What a text must hold to match a pattern: of one of the alternatives, a literal out of each set."""
+
+    def size(words: frozenset[str]) -> int:
+        return min(len(w) if w.isascii() else 2 * len(w) for w in words)
+
+    def needs(seq: Iterable) -> list[frozenset[str]]:
+        out, run = [], {""}
+
+        def flush() -> None:
+            nonlocal run
+            out.append(frozenset(run))
+            run = {""}
+
+        for op, av in seq:
+            chars = {chr(v) for _, v in av} if op is sre.IN and all(o is sre.LITERAL for o, _ in av) else set()
+            if op is sre.LITERAL:
+                run = {r + chr(av) for r in run}
+            elif chars and len(chars) * len(run) <= 16:
+                run = {r + ch for r in run for ch in chars}
+            elif op is sre.AT:
+                continue
+            else:
+                if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and av[0] and len(av[2]) == 1 and av[2][0][0] is sre.LITERAL:
+                    run = {r + chr(av[2][0][1]) * av[0] for r in run}
+                flush()
+                if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and av[0]:
+                    out.extend(needs(av[2]))
+                elif op is sre.SUBPATTERN:
+                    out.extend(needs(av[3]))
+                elif op is sre.BRANCH:
+                    ways = [max(needs(w), key=size, default=None) for w in av[1]]
+                    if None not in ways:
+                        out.append(frozenset().union(*ways))
+        flush()
+        return [words for words in out if size(words) >= 2]
+
+    tree = parser.parse(pattern)
+    ways = tree[0][1][1] if len(tree) == 1 and tree[0][0] is sre.BRANCH else [tree]
+    return [needs(w) for w in ways]
+
+
+def may_match(hits: set[str], ways: list[list[frozenset[str]]]) -> bool:
+    """Whether some pattern's literals are all among the hits."""
+    return any(not any(map(hits.isdisjoint, way)) for way in ways)
+
+
 @lru_cache(1)
 def compiled() -> dict[str, object]:
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for w in FILLER_TRIGGERS + PAGE_TRIGGERS:
-        automaton.add_word(w, w in FILLER_TRIGGERS)
+    fill = [way for p in FILLERS if p not in REPEATED for way in literals(p)] + [[frozenset(LOREM_MARKS)]]
+    page = [way for p in ERRORS + DEMANDS for way in literals(p)]
+    repeated = [(literals(p), re.compile(p.replace("$", ""), re.S)) for p in REPEATED]
+    for w in frozenset().union(*(words for way in fill + page + [way for ways, _ in repeated for way in ways] for words in way)):
+        automaton.add_word(w, w)
     automaton.make_automaton()
     join = lambda ps: re.compile("(?:" + "|".join(f"(?:{p})" for p in ps) + ")", re.S)
     return {
         "triggers": automaton,
+        "fill": fill,
+        "page": page,
+        "repeated": repeated,
         "sign": re.compile(r"[{}<%@$#&\[]|__|XX_"),
         "fields": [re.compile(p) for p in FIELDS],
         "ambiguous": [re.compile(p) for p in AMBIGUOUS],
@@ -239,17 +287,22 @@ def label(text: str, scan: bool = False) -> tuple[str, bool, list[str], list[str
     if sure:
         return "placeholder", False, sure, doubtful
     c = compiled()
-    hits = {v for _, v in c["triggers"].iter(text.lower())}
-    if not hits or (True not in hits and not may_be_page(text)):
-        return "", False, sure, doubtful
     flat = text
     if scan:  # running titles and page numbers stand between the lines of a sentence
         body = "\n".join(x for x in text.split("\n") if form(x.strip()) not in ("caps", "capsnum", "number"))
         flat = re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", re.sub(rf"(?<=[^\W\d_])[{re.escape(HYPHENS)}][ \t]*\n[ \t]*", "", body))
+    low = flat.lower()
+    hits = {v for _, v in c["triggers"].iter(low)}
+    fill = may_match(hits, c["fill"]) or any(may_match(hits, ways) and p.search(low) for ways, p in c["repeated"])
+    page = may_match(hits, c["page"]) and may_be_page(flat)
+    if not fill and not page:
+        return "", False, sure, doubtful
     us = [flat[a:z] for a, z in units(flat)]
-    filler = [is_filler(u) for u in us]
+    filler = [is_filler(u) for u in us] if fill else []
     if any(filler):
         return "filler", all(filler), sure, doubtful
+    if not page:
+        return "", False, sure, doubtful
     kind = page_kind(us)
     return kind, bool(kind), sure, doubtful
 

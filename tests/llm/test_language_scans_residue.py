@@ -164,3 +164,11 @@ def test_labels_at_every_length():
     assert residue.label("Error 502: Bad Gateway\n" + content)[0] == ""
     nav = "Home | Search | Help\n"
     assert residue.tokens(nav + content) == residue.tokens(content) and residue.tokens(nav + content[:90]) == residue.tokens(content[:90])
+
+
+def test_no_pattern_is_gated_away():
+    filler = ["TBC TBC TBC.", "TBA, TBA.", "Example text", "Your summary here", "The caption here", "Texte d'exemple", "Faux texte", "Testo di prova", "Testo di esempio", "Заполняющий текст", "Пример текста", "此处填写书名", "此处输入内容", "ここに本文を入力", "xx-xx-xx.",
+              "Velit esse cillum dolore.", "Nulla vitae massa sed.", "Ut labore et dolore.", "Magna aliqua ut enim."]
+    pages = ["Rate limit reached", "The server is down", "Method not allowed", "Not acceptable"]
+    assert [t for t in filler if residue.label(t)[0] != "filler"] == [] and [t for t in pages if residue.label(t)[:2] != ("error", True)] == []
+    assert all(way for p in residue.FILLERS + residue.ERRORS + residue.DEMANDS for way in residue.literals(p))
