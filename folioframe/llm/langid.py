@@ -3,8 +3,9 @@
 A language's profile ranks its n-grams (one to four characters, words padded) by frequency.  A text's distance to a
 language is the out-of-place sum: how far each of the text's n-grams lies from its place in the profile, `PROFILE` for an
 n-gram the profile lacks.  Within one sentence nearly all n-grams occur once and tie for the first place, so a sentence's
-sum is taken word by word and each word's is kept; whole segments are ranked by their own counts.  Only the languages
-written in the text's script are compared.
+sum is taken word by word from the profile's ranks and each word's is kept; a segment's language is that of its sentences.
+Only a file's main language in a close call is told by the file's own ranks.  Only the languages written in the text's
+script are compared.
 
 Profiles are fitted on a bounded sample of labelled documents (`TRAIN_DOCUMENTS` per language), twice: the second time
 without the sample's sentences that the first profiles place elsewhere.
