@@ -6,8 +6,10 @@ rewritten, with the stable character before it as boundary context, and spliced
 
 Consistent form: NFC; full-width letters and digits narrowed (full-width punctuation stays); zero-width characters
 removed; every space but U+0020 and line breaks turned into U+0020; a Latin, Greek or Cyrillic letter in a word
-otherwise written in another of these scripts replaced by its look-alike of that script (without a look-alike it stays).
-A word's script is that of most of its letters; on a tie that of most of the text's letters, then Latin, Greek, Cyrillic.
+otherwise written in another of these scripts replaced by its look-alike of that script.  A word's script is that of most of
+its letters; on a tie that of most of the text's letters, then Latin, Greek, Cyrillic.  A letter without a look-alike (also
+behind its marks) comes out as the letter of that script whose name begins with the same sound, so that every result is
+in the consistent form.
 
 Defined results: null gives null, empty gives empty; repeated rows give their rows again.
 """
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Look-alike letters as Latin, Greek, Cyrillic; a dash where a script has none.
+# Look-alike letters as Latin, Greek, Cyrillic, the closest first; a dash where a script has none.
 LOOKALIKES = (
-    "AΑА BΒВ C-С EΕЕ HΗН IΙІ J-Ј KΚК MΜМ NΝ- OΟО PΡР S-Ѕ TΤТ XΧХ YΥУ ZΖ- "
-    "aαа c-с eεе iιі j-ј kκк nη- oοо pρр s-ѕ tτт uυ- vν- wω- xχх yγу lι- mμм"
+    "AΑА BΒВ CϹС EΕЕ FϜ- G-Ԍ HΗН IΙІ I-Ӏ JͿЈ KΚК MΜМ NΝ- OΟО PΡР QϘԚ S-Ѕ TΤТ V-Ѵ W-Ԝ XΧХ YΥУ YΥҮ ZΖ- -ΓГ -ΠП -ΦФ -ΛЛ -ΘѲ -ΞѮ -ΨѰ -ΩѠ "
+    "aαа cϲс d-ԁ eεе fϝ- h-һ iιі jϳј kκк l-ӏ lι- nη- oοо pρр qϙԛ r-г s-ѕ tτт uυ- vνѵ w-ԝ wω- xχх yγу yγү µμ- mμм bβв bβЬ -θѳ -ξѯ -πп -φф -ψѱ -ωѡ -λл -δб cςс"
 )
 ZERO_WIDTH = "᠎​‌‍⁠⁡⁢⁣⁤﻿"
 SPACES = "\t\x0b\x0c\x1f\x85\xa0  -   　"
@@ -47,12 +49,20 @@ def ranges(points: list[int]) -> str:
     return "".join(out)
 
 
-@lru_cache(1)
-def patterns() -> dict[str, object]:
-    """Character classes from the Unicode database, built once per process."""
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def patterns(text: str = "") -> dict[str, object]:
+    """Character classes from the Unicode database for a text; a class without the upper planes is searched faster."""
+    return _patterns(0x30000 if ASTRAL.search(text) else 0x10000)
+
+
+@lru_cache(2)
+def _patterns(top: int) -> dict[str, object]:
+    """The classes up to a code point, built once per process."""
     of: dict[str, list[int]] = {s: [] for s in SCRIPTS}
     unstable, tails = [], set()
-    for cp in range(0x20, 0x30000):
+    for cp in range(0x20, top):
         ch = chr(cp)
         d = unicodedata.decomposition(ch)
         if d and d[0] != "<" and " " in d:
@@ -70,7 +80,6 @@ def patterns() -> dict[str, object]:
     return {
         "unstable": re.compile(f"[^{ranges(unstable)}]?[{ranges(unstable)}]+"),
         "odd": re.compile(f"[{ZERO_WIDTH}{SPACES}{ranges(list(NARROW))}]"),
-        "any": {s: re.compile(f"[{c}]") for s, c in cls.items()},
         "mixed": re.compile("|".join(f"[{cls[s]}][{mark}]*[{other[s]}]" for s in SCRIPTS)),
         "word": re.compile(f"[{''.join(cls.values())}{mark}]+"),
         "letters": {s: re.compile(f"[{c}]") for s, c in cls.items()},
@@ -96,51 +105,96 @@ def is_canonical(text: str) -> bool:
     """The quick check: nothing in the text needs to change."""
     if text.isascii():
         return not any(c in text for c in "\t\x0b\x0c\x1f")
-    p = patterns()
+    p = patterns(text)
     if not unicodedata.is_normalized("NFC", text) or p["odd"].search(text):
         return False
-    # a word can only be mixed where a second script occurs at all
-    return sum(1 for s in SCRIPTS if p["any"][s].search(text)) < 2 or not p["mixed"].search(text)
+    return not has_mixed(text, p)
+
+
+def has_mixed(text: str, p: dict) -> bool:
+    """Whether a word mixes scripts; it can only where a second script occurs at all."""
+    seen = 0
+    for s in SCRIPTS:
+        seen += bool(p["letters"][s].search(text))
+        if seen == 2:
+            return bool(p["mixed"].search(text))
+    return False
 
 
 def canonical(text: str | None) -> str | None:
     """The text in its consistent form; unstable segments are rewritten in place."""
-    if not text or is_canonical(text):
+    if not text or text.isascii() and is_canonical(text):
         return text
-    p, (odd, _) = patterns(), tables()
-    if p["odd"].search(text):
+    p, (odd, _) = patterns(text), tables()
+    if text.isascii() or p["odd"].search(text):
         text = text.translate(odd)
     if not unicodedata.is_normalized("NFC", text):
         text = p["unstable"].sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
         if not unicodedata.is_normalized("NFC", text):  # a starter that composes backwards over a longer stretch
             text = unicodedata.normalize("NFC", text)
-    for _ in range(5):  # a replaced letter may tip another word's tie
-        if not p["mixed"].search(text):
-            break
-        totals = [len(p["letters"][s].findall(text)) for s in SCRIPTS]
-        new = p["word"].sub(lambda m, totals=totals: unmixed(m.group(), totals), text)
-        if not unicodedata.is_normalized("NFC", new):  # a replaced letter composes with marks past its word
-            new = unicodedata.normalize("NFC", new)
-        if new == text:
-            break
-        text = new
+    while has_mixed(text, p):  # ends: every round leaves fewer letters outside their words' scripts
+        new = unmix(text, p)
+        text = new if unicodedata.is_normalized("NFC", new) else unicodedata.normalize("NFC", new)  # marks past a word
     return text
 
 
-@lru_cache(200_000)
-def is_mixed(word: str) -> bool:
-    return bool(patterns()["mixed"].search(word))
+def unmix(text: str, p: dict) -> str:
+    """The text with its mixed words rewritten, all by the same totals of letters."""
+    totals, out, done = [], [], 0
+    for m in p["mixed"].finditer(text):
+        if m.start() < done:
+            continue
+        a = m.start()
+        while a > done and p["word"].match(text[a - 1]):
+            a -= 1
+        z = p["word"].match(text, a).end()
+        n = [len(p["letters"][s].findall(text, a, z)) for s in SCRIPTS]
+        if sorted(n)[1] == max(n) and not totals:
+            totals = [len(p["letters"][s].findall(text)) for s in SCRIPTS]
+        target = max(range(3), key=lambda i: (n[i], totals[i] if totals else 0, -i))
+        out += [text[done:a], rewritten(text[a:z], SCRIPTS[target], p)]
+        done = z
+    return "".join(out) + text[done:]
+
+
+def rewritten(word: str, script: str, p: dict) -> str:
+    """A word with all its letters in one script."""
+    _, swap = tables()
+    keep = p["letters"][script]
+
+    def one(c: str) -> str:
+        if keep.match(c) or not p["word"].match(c) or unicodedata.combining(c):
+            return c
+        base, *marks = unicodedata.normalize("NFD", c)
+        to = swap[script].get(ord(c))
+        return to or (swap[script].get(ord(base)) or sounding(base, script)) + "".join(marks)
+
+    return unicodedata.normalize("NFC", "".join(map(one, word)))
+
+
+def sound(letter: str) -> str:
+    """The sound that a letter's name begins with: of EF and BE the consonant."""
+    name = unicodedata.name(letter, "LETTER O").partition(" LETTER ")[2].partition(" WITH ")[0] or "O"
+    last = name.split()[-1]
+    return last[1] if len(last) == 2 and last[0] == "E" and last[1] not in "AEIOU" else last[0]
+
+
+@lru_cache(1)
+def sounds() -> dict[tuple[str, str, bool], str]:
+    """(script, sound, whether small) → the script's first letter of that sound."""
+    out: dict[tuple[str, str, bool], str] = {}
+    for script, points in zip(SCRIPTS, ((0x41, 0x5A, 0x61, 0x7A), (0x391, 0x3A9, 0x3B1, 0x3C9), (0x410, 0x42F, 0x430, 0x44F)), strict=True):
+        for a, z in (points[:2], points[2:]):
+            for c in map(chr, range(a, z + 1)):
+                if c.isalpha():
+                    out.setdefault((script, sound(c), c.islower()), c)
+    return out
 
 
-def unmixed(word: str, totals: list[int]) -> str:
-    """A word with its letters of other scripts replaced by look-alikes of its own; ties go by the text's letters."""
-    if not is_mixed(word):
-        return word
-    p, (_, swap) = patterns(), tables()
-    n = [(len(p["letters"][s].findall(word)), totals[i], -i) for i, s in enumerate(SCRIPTS)]
-    target = SCRIPTS[n.index(max(n))]
-    keep = p["letters"][target]
-    return unicodedata.normalize("NFC", "".join(c if keep.match(c) else swap[target].get(ord(c), c) for c in word))
+def sounding(letter: str, script: str) -> str:
+    """The letter of a script that sounds like another one; O where none does."""
+    small = not letter.isupper()
+    return sounds().get((script, sound(letter), small)) or sounds()[script, "O", small]
 
 
 def needs_change(text: str | None) -> bool:

@@ -20,14 +20,13 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from operator import ne
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_collect, cut, spread
-from .canonical import canonical
+from .canonical import ASTRAL, canonical, ranges
 
 LEXICON_SHARE = 2e-6
 TRAIN_TEXTS = 2000
@@ -48,6 +47,8 @@ NUMBERISH = re.compile(r"(?:\bpp?\.\s*)?[\[(·–—\-\s]*\b(?:[0-9lIOoSBZ|!]*\d
 WORD = re.compile(r"[^\W_]+(?:['’!|\-‐][^\W_]+)*")
 SPACELESS = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 LETTER = re.compile(r"[^\W\d_]")
+#: Capital letters, with and without those of the upper planes: the smaller class is searched faster.
+CAPITALS, ALL_CAPITALS = (re.compile(f"[{ranges([c for c in range(top) if chr(c).lower() != chr(c)])}]") for top in (0x10000, 0x20000))
 ENDS = re.compile(r"[.!?;·。！？؟:…][\"'»”’)\]」』）]*$")
 
 
@@ -62,7 +63,7 @@ def form(line: str) -> str:
     if len(line) <= 70:
         if len(line) <= 40 and HEADING.match(line) and not line[0].islower() and not line.split()[0][1:2].isupper():
             return "heading"
-        if sum(map(ne, line, line.lower())) < 4:  # capitals, counted without a loop
+        if len((ALL_CAPITALS if ASTRAL.search(line) else CAPITALS).sub("", line)) > len(line) - 4:  # fewer than four capitals
             return "text"
         bare = NUMBERISH.sub(" ", line, count=2)  # a title has a page number, not a row of them
         upper, lower = sum(c.isupper() for c in bare), sum(c.islower() for c in bare)

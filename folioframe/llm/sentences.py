@@ -10,7 +10,7 @@ text (it is the Greek question mark); an ellipsis ends nothing by itself.  Greek
 sentence starts is recognised per text.
 
 Defined results: null and empty texts have no units; a text of only white space has none; texts of any length are split
-whole; repeated rows give their units again.
+whole, in time in proportion to their length; rows with a null key or delivered again give no units of their own.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..runtime import spread
 from .canonical import ZERO_WIDTH, canonical
@@ -45,22 +47,27 @@ BRACKETS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "［": "
 ELLIPSES = "…⋯"
 GAP = " \u00a0\u2000-\u200a\u202f\u205f\u3000"
 CLOSERS = frozenset("".join(QUOTES.values()) + "".join(BRACKETS.values()) + "\"")
+#: What an event is: a gap behind Thai text, an opening quotation, a straight one, brackets, other closing marks, an
+#: ellipsis, a semicolon, a sentence terminator, a full stop.
+SPACE, OPEN, STRAIGHT, BRACKET, UNBRACKET, CLOSE, DOTS, SEMICOLON, TERMINATOR, STOP = range(10)
 
 
 @lru_cache(1)
 def marks() -> dict[str, object]:
-    """Character classes from the sentence-break property, and the event pattern."""
-    bmp = [chr(c) for c in range(0x20, 0x3100)] + [chr(c) for c in range(0xA000, 0x10000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x10A00, 0x11FFF)]
-    prop = lambda p: {c for c in bmp if p.match(c)}
-    sterm = prop(regex.compile(r"\p{Sentence_Break=STerm}"))
-    aterm = prop(regex.compile(r"\p{Sentence_Break=ATerm}"))
-    close = prop(regex.compile(r"\p{Sentence_Break=Close}")) | {'"'}
-    cont = prop(regex.compile(r"\p{Sentence_Break=SContinue}")) | set(",;:،؛、，：；–—-")
+    """Character classes from the sentence-break property over all planes, and the event pattern."""
+    every = "".join(chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000)
+    prop = lambda p: set(regex.findall(rf"\p{{Sentence_Break={p}}}", every))
+    sterm, aterm = prop("STerm"), prop("ATerm")
+    close = prop("Close") | {'"'}
+    cont = prop("SContinue") | set(",;:،؛、，：；–—-")
     esc = lambda s: "".join(map(re.escape, sorted(s)))
-    quotes = set(QUOTES) | set("".join(QUOTES.values())) | {'"'}
-    brackets = set(BRACKETS) | set(BRACKETS.values())
-    event = re.compile(f"[{esc(sterm | aterm | quotes | brackets | set(ELLIPSES))};;]|(?<=[{THAI}{ZERO_WIDTH})”»\"\\]])[{GAP}]+(?=[^\\W\\d_]|[{THAI}{ZERO_WIDTH}])")
-    return {"sterm": sterm | {";"}, "aterm": aterm, "close": close - set(BRACKETS) - set(QUOTES), "continue": cont, "event": event, "tail": re.compile(f"[{esc(sterm | aterm)};;{ELLIPSES}]*[{esc((close | set(chr(39))) - set(BRACKETS) - (set(QUOTES) - set('“‘')))}]*")}
+    kinds = dict.fromkeys(aterm, STOP) | dict.fromkeys(sterm, TERMINATOR) | dict.fromkeys(";;", SEMICOLON) | dict.fromkeys(ELLIPSES, DOTS)
+    kinds |= dict.fromkeys("".join(QUOTES.values()), CLOSE) | dict.fromkeys(BRACKETS.values(), UNBRACKET) | dict.fromkeys(BRACKETS, BRACKET) | {'"': STRAIGHT} | dict.fromkeys(QUOTES, OPEN)
+    only = lambda top: re.compile(f"[{esc(k for k in kinds if ord(k) < top)}]")  # noqa: E731  # a smaller class is searched faster
+    gapped = re.compile(f"[{esc(kinds)}]|(?<=[{THAI}{ZERO_WIDTH})”»\"\\]])[{GAP}]+(?=[^\\W\\d_]|[{THAI}{ZERO_WIDTH}])")
+    tail = re.compile(f"[{esc(sterm | aterm)};;{ELLIPSES}]*[{esc((close | set(chr(39))) - set(BRACKETS) - (set(QUOTES) - set('“‘')))}]*")
+    shut = re.compile(f"[{esc(close - set(BRACKETS) - set(QUOTES))}]*")
+    return {"sterm": sterm | {";"}, "aterm": aterm, "continue": cont, "ascii": only(0x80), "bmp": only(0x10000), "event": only(0x110000), "gapped": gapped, "kinds": kinds, "tail": tail, "shut": shut}
 
 
 @lru_cache(1)
@@ -70,13 +77,19 @@ def abbreviations() -> tuple[frozenset, frozenset]:
 
 LINE = re.compile(r"[^\n\r\x85  ]+")
 GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
-QUOTED = re.compile(r"«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]")
+QUOTED = re.compile(r"«[^«»\n]*»|“[^“”\n]*”|„[^„“”\n]*[“”]")
 LOWER_START = re.compile(r"(?:^|[\n;!])[ \t]*([Ͱ-Ͽἀ-῿])", re.M)
-LOWER_NEXT = re.compile(r"[^\s.]{4,}\.\s([Ͱ-Ͽἀ-῿])")
+LOWER_NEXT = re.compile(r"(?<=[^\s.]{4})\.\s([Ͱ-Ͽἀ-῿])")
 GERMAN = re.compile(r"\b(?:der|die|das|den|dem|des|und|ein|eine|im|am|ist|von|mit|auf|zum|zur)\b")
 DIGITS = re.compile(r"\d+$")
 UPPER = re.compile(r"[A-Z0-9]+(?:$|[\s.,;:)])")
-BEFORE = frozenset("(（[«“„\"'’‘")
+BEFORE = re.compile("[(（[«“„\"'’‘\\s]")
+AHEAD = re.compile(f"[\\s{ZERO_WIDTH}]*")
+LEAD = re.compile("[ –—•*-]*")
+THAI_LETTER = re.compile(f"[{THAI}]")
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+BLANKS = " \t\u00a0\u3000"
+FIRST = re.compile(r"\s*(\S?)")
 SPACELESS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿가-힣]")
 
 
@@ -89,116 +102,135 @@ def starts_low(text: str) -> bool:
     return 2 * sum(c.islower() for c in seen) >= len(seen) if seen else False
 
 
-def line_units(line: str, at: int, low: bool, out: list[tuple[int, int]]) -> None:
-    """Append the units of one line that begins at position `at` of its text."""
+def line_units(line: str, at: int, low: bool, event: re.Pattern, out: list[tuple[int, int]]) -> None:
+    """Append the units of one line that begins at position `at` of its text; every place is looked at a bounded number of times."""
     p = marks()
-    event, sterm, aterm, cont, tail = p["event"], p["sterm"], p["aterm"], p["continue"], p["tail"]
+    kinds, sterm, aterm, cont, tail, ahead = p["kinds"], p["sterm"], p["aterm"], p["continue"], p["tail"], AHEAD.match
     abbr, ending = abbreviations()
     n = len(line)
     begin, pos, stack, depth = 0, 0, [], 0  # begin of the unit; open quotations as (closing marks, where); open brackets
+    thai, german = -1, None  # the first Thai letter from `begin` on; whether the line looks German
+    last: dict[str, int] = {}
 
     def emit(end: int) -> None:
         nonlocal begin, depth
         piece = line[begin:end]
-        left = len(piece) - len(piece.lstrip())
-        piece = piece.strip()
-        if piece:
-            out.append((at + begin + left, at + begin + left + len(piece)))
+        bare = piece.lstrip()
+        left = at + begin + len(piece) - len(bare)
+        bare = bare.rstrip()
+        if bare:
+            out.append((left, left + len(bare)))
         begin, depth = end, 0
 
-    def ahead(i: int) -> tuple[int, str]:
-        while i < n and (line[i].isspace() or line[i] in ZERO_WIDTH):
-            i += 1
-        return i, line[i] if i < n else ""
+    def comes(mark: str, i: int) -> bool:
+        """Whether the mark stands somewhere behind place i."""
+        if mark not in last:
+            last[mark] = line.rfind(mark)
+        return last[mark] > i
 
+    def before(i: int, skip: str) -> str:
+        """The unit's last character before place i that is not to be skipped."""
+        i -= 1
+        while i >= begin and line[i] in skip:
+            i -= 1
+        return line[i] if i >= begin else ""
+
+    if line.isascii():
+        event = p["ascii"]
     for m in event.finditer(line):
         i = m.start()
         if i < pos:
             continue
         ch = line[i]
-        if ch.isspace():  # behind Thai text, or behind a bracket or quotation in it
+        kind = kinds.get(ch, SPACE)
+        if kind == SPACE:  # behind Thai text, or behind a bracket or quotation in it
+            if stack or depth:
+                continue
             j = m.end()
             while j < n - 1 and line[j] in ZERO_WIDTH:
                 j += 1
+            if line[j] == "ๆ" or UPPER.match(line, j):
+                continue
             b = i - 1
             while b > begin and line[b] in ZERO_WIDTH:
                 b -= 1
-            before, after = line[b], line[j]
-            if stack or depth or after == "ๆ" or UPPER.match(line, j):
-                continue
-            thai = "฀" <= before <= "๿"
-            if not thai:
-                opened = line[begin:].lstrip()[:1]
-                if not any("฀" <= c <= "๿" for c in line[begin:i]) or (before in "”»\"" and opened in QUOTES):
+            if not "฀" <= line[b] <= "๿":
+                if thai < begin:
+                    hit = THAI_LETTER.search(line, begin)
+                    thai = hit.start() if hit else n
+                if thai >= i or (line[b] in "”»\"" and FIRST.match(line, begin).group(1) in QUOTES):
                     continue
             emit(i)
             continue
-        if stack and ch in stack[-1][0]:
-            closes, where = stack.pop()
-            if stack:
-                continue
-            inner = line[where + 1 : i].rstrip()
-            last = inner[-1:]
-            j = i + 1
-            while j < n and line[j] in p["close"]:
-                j += 1
-            k, nxt = ahead(j)
-            pos = j
-            if not nxt or not (last in sterm or last in aterm or last in ";…") or nxt in cont or nxt in sterm or nxt in aterm:
-                continue
-            lead = line[begin:where].rstrip()
-            if lead.strip(" –—-•*") == "":  # the quotation opens the sentence: what follows is its frame
-                if nxt.isupper() or nxt in QUOTES and k > j:
-                    emit(j)
-                continue
-            if SPACELESS.match(nxt) or k == j:
-                if lead[-1] in ":：" and (k > j or SPACELESS.match(nxt) or nxt in QUOTES):
-                    emit(j)
-                continue
-            if nxt.islower() and not (low and GREEK.match(nxt)):
-                continue
-            emit(j)
+        if stack:
+            if ch in stack[-1][0]:
+                where = stack.pop()[1]
+                if stack:
+                    continue
+                b = i - 1
+                while b > where and line[b].isspace():
+                    b -= 1
+                mark = line[b] if b > where else ""
+                j = p["shut"].match(line, i + 1).end()
+                k = ahead(line, j).end()
+                nxt = line[k : k + 1]
+                pos = j
+                if not nxt or not (mark in sterm or mark in aterm or mark in ";…") or nxt in cont or nxt in sterm or nxt in aterm:
+                    continue
+                if LEAD.match(line, begin).end() >= where:  # the quotation opens the sentence: what follows is its frame
+                    if nxt.isupper() or nxt in QUOTES and k > j:
+                        emit(j)
+                    continue
+                if SPACELESS.match(nxt) or k == j:
+                    if before(where, BLANKS) in (":", "：") and (k > j or SPACELESS.match(nxt) or nxt in QUOTES):
+                        emit(j)
+                    continue
+                if nxt.islower() and not (low and GREEK.match(nxt)):
+                    continue
+                emit(j)
+            elif kind == OPEN:
+                stack.append((QUOTES[ch], i))
+            elif kind == STRAIGHT:
+                if comes(ch, i):
+                    stack.append((ch, i))
+            elif kind == BRACKET:
+                depth += comes(BRACKETS[ch], i)
+            elif kind == UNBRACKET:
+                depth = max(0, depth - 1)
             continue
-        if ch in QUOTES:
+        if kind == OPEN:
             stack.append((QUOTES[ch], i))
             continue
-        if ch == '"':
-            if stack and stack[-1][0] == '"':
-                stack.pop()
-            elif '"' in line[i + 1 :]:
-                stack.append(('"', i))
+        if kind == STRAIGHT:
+            if comes(ch, i):
+                stack.append((ch, i))
             continue
-        if ch in BRACKETS:
-            if BRACKETS[ch] in line[i + 1 :]:
-                depth += 1
+        if kind == BRACKET:
+            depth += comes(BRACKETS[ch], i)
             continue
-        if ch in ")]}）】］〕":
+        if kind == UNBRACKET:
             depth = max(0, depth - 1)
             continue
-        if ch in "”»’‘›」』》〉〞" or stack or depth:
-            continue
-        if ch in ELLIPSES:
+        if depth or kind in (CLOSE, DOTS):
             continue
         j = tail.match(line, i).end()
-        run = line[i:j]
-        k, nxt = ahead(j)
+        k = ahead(line, j).end()
+        nxt = line[k : k + 1]
         if not nxt:
             break
-        if run.startswith("...") or (run.startswith("..") and len(run) > 2 and run[2] in ELLIPSES):
-            pos = j
-            continue
         pos = j
+        if line.startswith("..", i, j) and (line.startswith("...", i, j) or j - i > 2 and line[i + 2] in ELLIPSES):
+            continue
         if nxt in cont and nxt not in "–—-" or nxt in ")]）»”":
             continue
         spaced = k > j
-        if ch in ";;":
-            back = line[begin:i].rstrip(" »”)")[-1:]
-            if not GREEK.match(back) or not spaced:
+        if kind == SEMICOLON:
+            if spaced and GREEK.match(before(i, " »”)")):
+                emit(j)
+            else:
                 pos = i + 1
-                continue
-            emit(j)
             continue
-        if ch in sterm:
+        if kind == TERMINATOR:
             if spaced or SPACELESS.match(nxt) or nxt in QUOTES or ord(ch) > 0x2E80:
                 emit(j)
             continue
@@ -209,23 +241,22 @@ def line_units(line: str, at: int, low: bool, out: list[tuple[int, int]]) -> Non
             else:
                 pos = i + 1
             continue
-        if run.startswith(".."):  # an abbreviation's stop and the sentence's
+        if line.startswith("..", i, j):  # an abbreviation's stop and the sentence's
             emit(j)
             continue
+        lower = nxt.islower()
         if line[i - 1] in CLOSERS:  # behind a bracket or quotation no abbreviation
-            if not nxt.islower() or (low and GREEK.match(nxt)):
+            if not lower or (low and GREEK.match(nxt)):
                 emit(j)
             continue
-        k = i
-        while k > begin and line[k - 1] not in BEFORE and not line[k - 1].isspace():
-            k -= 1
-        tok = line[k:i].lower().lstrip(".")
+        k = max(begin, line.rfind(" ", begin, i) + 1)
+        raw = BEFORE.split(line[k:i])[-1]
+        tok = raw.lower().lstrip(".")
         if not tok.isascii():
             tok = canonical(tok)
-        greek_low = low and nxt.islower() and bool(GREEK.match(nxt))
+        greek_low = low and lower and bool(GREEK.match(nxt))
         if tok in ending:
-            comma = line[begin:i].rstrip()[: -len(tok)].rstrip()[-1:] in ",،"
-            if nxt.isupper() or nxt in QUOTES or (greek_low and comma) or not (nxt.islower() or nxt.isdigit()):
+            if nxt.isupper() or nxt in QUOTES or (greek_low and before(i - len(raw), BLANKS) in (",", "،", "")) or not (lower or nxt.isdigit()):
                 emit(j)
             continue
         if tok in abbr or (len(tok) == 1 and tok.isalpha() and (line[i - 1].isupper() or tok not in "aeiouyàèéêìòóùаеиоуыэюяαεηιουω")) or ("." in tok and not tok[-1:].isdigit()):
@@ -233,9 +264,12 @@ def line_units(line: str, at: int, low: bool, out: list[tuple[int, int]]) -> Non
                 continue
         if nxt.isdigit() and len(tok) <= 5 and not tok.isdigit():
             continue
-        if DIGITS.fullmatch(tok) and len(tok) <= 2 and (nxt.islower() or GERMAN.search(line)):
-            continue
-        if nxt.islower() and not greek_low:
+        if len(tok) <= 2 and DIGITS.fullmatch(tok):
+            if german is None:
+                german = bool(GERMAN.search(line))
+            if lower or german:
+                continue
+        if lower and not greek_low:
             continue
         emit(j)
     emit(n)
@@ -245,31 +279,32 @@ def units(text: str | None) -> list[tuple[int, int]]:
     """The sentence units of a text as (start, end)."""
     out: list[tuple[int, int]] = []
     if text:
-        low = starts_low(text)
+        low, event = starts_low(text), marks()["gapped" if THAI_LETTER.search(text) else "event" if ASTRAL.search(text) else "bmp"]
         for m in LINE.finditer(text):
-            line_units(m.group(), m.start(), low, out)
+            line_units(m.group(), m.start(), low, event, out)
     return out
 
 
-def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per sentence unit: (key, start_pos, end_pos), with the unit's text on request."""
+def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Distinct (key, start_pos, end_pos) of every sentence unit.
+
+    A text's units travel as one row, so what is shuffled to drop rows delivered again is a row a text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, starts, ends, texts = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                us = units(t)
-                keys += [k] * len(us)
-                starts += [a for a, _ in us]
-                ends += [z for _, z in us]
-                if with_text:
-                    texts += [t[a:z] for a, z in us]
-            cols = [pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())] + [pa.array(texts, pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays(cols, [key, "start_pos", "end_pos"] + ["unit"] * with_text)
+            got = list(map(units, b.column(1).to_pylist()))
+            flat = [x for us in got for x in us]
+            at = pa.array([0, *accumulate(map(len, got))], pa.int32())
+            rows = pa.StructArray.from_arrays([pa.array([a for a, _ in flat], pa.int32()), pa.array([z for _, z in flat], pa.int32())], ["start_pos", "end_pos"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, rows)], [key, "units"])
 
-    return spread(df.select(df[key].cast("long").alias(key), text)).mapInArrow(run, f"{key} long, start_pos int, end_pos int" + ", unit string" * with_text)
+    texts = df.where(F.length(text) > 0).select(df[key].cast("long").alias(key), text)
+    rows = spread(texts).mapInArrow(run, f"{key} long, units array<struct<start_pos:int,end_pos:int>>")
+    once = rows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("units"))).alias("units"))
+    return once.select(key, F.explode("units").alias("u")).select(key, "u.start_pos", "u.end_pos")
 
 
 def found(documents: DataFrame) -> DataFrame:
     """Every sentence unit of the documents whose layout is not scan (a missing layout counts as not scan)."""
-    return split_sentences(documents.where("coalesce(layout, '') <> 'scan' and doc_id is not null")).distinct()
+    return split_sentences(documents.where("coalesce(layout, '') <> 'scan' and doc_id is not null"))
