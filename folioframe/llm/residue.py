@@ -1,11 +1,13 @@
 """Template residue, filler and error pages told from real content.
 
-Trusted labels come from the text itself: unfilled template fields, filler sentences, and texts all of whose units are
-error messages, demands to enable scripts or site navigation.  Labels of whole texts are then carried on: every text gets
-a 256-bit SimHash of its five-word shingles (digits, paths and navigation masked), partitioned tables of SimHash bands
-propose near-duplicates of labelled texts, Hamming distance and shingle similarity verify them, and the label runs through
-the connected component until nothing new is reached.  Labels for a *part* of a text (a field, a filler sentence) are not
-carried to near-duplicates: a clean copy of the text is no residue.
+Trusted labels come from the text itself: unfilled template fields, filler sentences, and pages of messages (texts all of
+whose units are error messages, demands to enable scripts or site navigation) with at least one message that nothing else
+says (`STRICT`).  A page whose messages could be said of a book as well ("the volume has been moved") is doubtful: it gets
+its label only from trusted pages it is linked with.  Links are near-duplicates: every text gets a 256-bit SimHash of its
+five-word shingles (digits, paths and navigation masked), partitioned tables of SimHash bands propose near-duplicates of
+all pages of messages, Hamming distance and shingle similarity verify them, and so on from every text that is reached;
+pages are also linked by a message they share, masked alike.  Labels run through the connected components of these links.
+Labels for a *part* of a text (a field, a filler sentence) are not carried: a clean copy of the text is no residue.
 
 A field name in a syntax that editors also use (`{x}`, `{{x}}`, `[[x]]`) counts only if it is all capitals, has an
 underscore, or is used as a field name in a plain template syntax somewhere in the table.
@@ -18,10 +20,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from re import _constants as sre
 from re import _parser as parser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,10 @@ BANDS, BAND_BITS = 21, 12
 MAX_HAMMING = 64
 #: So many verified pairs (narrow rows) may be broadcast; more are joined by shuffling.
 BROADCAST_PAIRS = 20_000
+#: Probes of one bucket beyond this number are dealt out over this many parts of the bucket's rows each.
+HOT_PROBES, SALTS = 1000, 32
 
-NAME = r"[A-Za-z][A-Za-z0-9_.\-‐¬⸗= \n]{0,60}?"
+NAME = r"[A-Za-z][A-Za-z0-9_.\-‐¬⸗= \n]*?"
 # Template syntaxes nothing else is written in; the group is the field's name.
 FIELDS = [
     rf"\{{%[-\s]*(?:block|if|for|include|set|extends|end\w*)?\s*({NAME})\s*[-\s]*%\}}",
@@ -51,12 +56,14 @@ FIELDS = [
     rf"%\(\s*({NAME})\s*\)[sdif]",
     rf"\$\{{\s*({NAME})\s*\}}",
     rf"#\{{\s*({NAME})\s*\}}",
-    r"\[\s*INSERT\s+([^\[\]]{1,60}?)\s+HERE\s*\]",
-    r"\[\s*[Yy]our\s+([^\[\]]{1,60}?)\s+here\s*\]",
+    r"\[\s*INSERT\s+([^\[\]]+?)\s+HERE\s*\]",
+    r"\[\s*[Yy]our\s+([^\[\]]+?)\s+here\s*\]",
     r"(?<![A-Za-z0-9_])__([A-Z][A-Z_\s\-‐¬⸗=]*?)__(?![A-Za-z0-9_])",
     r"(?<![A-Za-z])XX_([A-Z][A-Z_\s\-‐¬⸗=]*?)_XX(?![A-Za-z])",
     rf"&lt;\s*({NAME})\s*&gt;",
 ]
+#: What a text must hold for each of these.
+FIELD_MARKS = ["{%", "<%", "GOES", "%%", "@@", "%(", "${", "#{", "INSERT", "our", "__", "XX_", "&lt;"]
 # Syntaxes that editors use for brackets of their own, too.
 AMBIGUOUS = [rf"(?<![#$])\{{\{{?\s*({NAME})\s*\}}?\}}", rf"\[\[\s*({NAME})\s*\]\]", rf"<\s*({NAME})\s*>"]
 # Words of the usual filler text.
@@ -103,6 +110,12 @@ ERRORS = [
     r".{0,10}(?:الصفحة|الخادم|الخدمة|المستند).{0,30}(?:غير موجود|غير متاح|تعذر|لم يتم العثور|حذف).{0,30}$|(?:تعذر|لم يتم العثور).{0,60}$",
     r"ไม่พบ(?:หน้า|เอกสาร|ไฟล์).{0,40}$|(?:หน้า|เซิร์ฟเวอร์|เอกสาร).{0,20}(?:ไม่พร้อม|ถูกลบ|ไม่สามารถ).{0,40}$",
 ]
+#: Messages that nothing but an error page says: a status, a trace, a session, the site's own words in other languages.
+STRICT = [
+    *(p for i, p in enumerate(ERRORS) if i not in (2, 3)),
+    r"(?:oops|whoops|sorry)?\W*(?:something went wrong|an (?:unexpected )?error (?:has )?occurred|you do not have permission|you are not authori[sz]ed|rate limit|conversion failed|traceback \(most recent|error:|fatal error|exception in|stack trace).{0,120}$",
+    r"(?:your|the) session has expired\W*$|this item is not available in your (?:region|country)\W*$|.{0,40}\bserver is down\b.{0,40}$|.{0,60}\bon this server\W*$",
+]
 SCRIPT = r"(?:java\s*script|scripts|scripting|script support|cookies)"
 # Demands to switch scripts on, from the unit's start (case-folded).
 DEMANDS = [
@@ -131,6 +144,7 @@ FURNITURE = [
 PARTS = re.compile(r"(?<=[.!?。！？])\s+")
 NAV = re.compile(r"^[^.!?。]{1,40}(?:\s+[|–—·•>/]\s+[^.!?。|–—·•>]{1,30}){1,}$")
 #: What every navigation line holds.
+BROKEN, JOINED = re.compile(rf"(?<=[^\W\d_])[{re.escape(HYPHENS)}][ \t]*\n[ \t]*"), re.compile(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)")
 NAV_MARK = re.compile(r"\s[|–—·•>/]\s")
 
 
@@ -176,33 +190,33 @@ def literals(pattern: str) -> list[list[frozenset[str]]]:
     return [needs(w) for w in ways]
 
 
-def may_match(hits: set[str], ways: list[list[frozenset[str]]]) -> bool:
-    """Whether some pattern's literals are all among the hits."""
-    return any(not any(map(hits.isdisjoint, way)) for way in ways)
-
-
 @lru_cache(1)
 def compiled() -> dict[str, object]:
     import ahocorasick
 
+    # a way's rarest literals lead to it; whether the text holds the others is asked then
+    ways: list[tuple[str, list[frozenset[str]]]] = [("fill", way) for p in FILLERS if p not in REPEATED for way in literals(p)] + [("fill", [frozenset(LOREM_MARKS)])]
+    ways += [("page", way) for p in ERRORS + DEMANDS for way in literals(p)] + [(p, way) for p in REPEATED for way in literals(p)]
+    leads: dict[str, list[int]] = {}
+    for i, (_, way) in enumerate(ways):
+        way.sort(key=lambda words: (-min(map(len, words)), len(words)))
+        for w in way[0]:
+            leads.setdefault(w, []).append(i)
     automaton = ahocorasick.Automaton()
-    fill = [way for p in FILLERS if p not in REPEATED for way in literals(p)] + [[frozenset(LOREM_MARKS)]]
-    page = [way for p in ERRORS + DEMANDS for way in literals(p)]
-    repeated = [(literals(p), re.compile(p.replace("$", ""), re.S)) for p in REPEATED]
-    for w in frozenset().union(*(words for way in fill + page + [way for ways, _ in repeated for way in ways] for words in way)):
-        automaton.add_word(w, w)
+    for w, ids in leads.items():
+        automaton.add_word(w, tuple(ids))
     automaton.make_automaton()
     join = lambda ps: re.compile("(?:" + "|".join(f"(?:{p})" for p in ps) + ")", re.S)
     return {
         "triggers": automaton,
-        "fill": fill,
-        "page": page,
-        "repeated": repeated,
+        "ways": ways,
+        "repeated": {p: re.compile(p.replace("$", ""), re.S) for p in REPEATED},
         "sign": re.compile(r"[{}<%@$#&\[]|__|XX_"),
-        "fields": [re.compile(p) for p in FIELDS],
+        "fields": [(marks, re.compile(p)) for marks, p in zip(FIELD_MARKS, FIELDS, strict=True)],
         "ambiguous": [re.compile(p) for p in AMBIGUOUS],
         "filler": join(FILLERS),
-        "strong": join(ERRORS),
+        "strict": join(STRICT),
+        "error": join(ERRORS),
         "demand": join(DEMANDS),
         "furniture": join(FURNITURE),
         "word": re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_]+"),
@@ -211,6 +225,18 @@ def compiled() -> dict[str, object]:
     }
 
 
+def gates(low: str) -> set[str]:
+    """Which patterns the literals of a folded text admit: fill and page."""
+    c = compiled()
+    hits = {i for _, ids in c["triggers"].iter(low) for i in ids}
+    out: set[str] = set()
+    for i in hits:
+        gate, way = c["ways"][i]
+        if gate not in out and all(any(w in low for w in words) for words in way[1:]):
+            out.add(gate)
+    return {"fill" if g in c["repeated"] else g for g in out if g not in c["repeated"] or c["repeated"][g].search(low)}
+
+
 def field_name(raw: str) -> str:
     """A field's name whatever its case, joints and line breaks."""
     return re.sub(r"[\s_\-.‐¬⸗=]+", "", raw).lower()
@@ -221,7 +247,7 @@ def fields_in(text: str) -> tuple[list[str], list[str]]:
     c = compiled()
     if not c["sign"].search(text):
         return [], []
-    sure = [field_name(m.group(1)) for p in c["fields"] for m in p.finditer(text)]
+    sure = [field_name(m.group(1)) for mark, p in c["fields"] if mark in text for m in p.finditer(text)]
     doubtful = []
     for p in c["ambiguous"]:
         for m in p.finditer(text):
@@ -251,13 +277,19 @@ def unit_kind(unit: str) -> str:
     c, low = compiled(), unit.lower().strip("\"'“”«» ")
     if c["demand"].match(low):
         return "script"
-    if c["strong"].match(low):
+    if c["error"].match(low):
         return "error"
     if NAV.match(unit) or c["furniture"].match(low):
         return "furniture"
     return "content"
 
 
+def is_strict(unit: str) -> bool:
+    """Whether a message is said by nothing but such pages."""
+    low = unit.lower().strip("\"'“”«» ")
+    return bool(compiled()["strict"].match(low) or compiled()["demand"].match(low))
+
+
 def may_be_page(text: str) -> bool:
     """False where a text cannot be a page of messages: a quarter of it is one line of content."""
     longest = max(text.split("\n"), key=len)
@@ -266,45 +298,55 @@ def may_be_page(text: str) -> bool:
     return any(unit_kind(longest[a:z]) != "content" for a, z in units(longest))
 
 
-def page_kind(us: list[str]) -> str:
-    """error or script where the units are messages but for a quarter of their length or but for short lines, else ''."""
+def page_kind(us: list[str]) -> tuple[str, list[str]]:
+    """error or script, and its messages, where the units are messages but for a quarter of their length or for short lines."""
     left, short = 0.25 * sum(map(len, us)), True
-    kinds = set()
+    kinds, messages = set(), []
     for u in sorted(us, key=len, reverse=True):  # the longest first: content shows soon
         k = unit_kind(u)
         kinds.add(k)
-        if k == "content":
+        if k in ("error", "script"):
+            messages.append(u)
+        elif k == "content":
             left -= len(u)
             short = short and len(u.split()) <= 4 and not u.rstrip().endswith((".", "。", "·"))
             if left < 0 and not short:
-                return ""
-    return "script" if "script" in kinds else "error" if "error" in kinds else ""
+                return "", []
+    return ("script" if "script" in kinds else "error" if "error" in kinds else ""), messages
+
+
+class Label(NamedTuple):
+    """What a text alone tells: the kind of its residue, whether all of it is, whether that is certain, field names, messages."""
+
+    kind: str = ""
+    whole: bool = False
+    trusted: bool = True
+    names: list[str] = []
+    doubtful: list[str] = []
+    messages: list[str] = []
 
 
-def label(text: str, scan: bool = False) -> tuple[str, bool, list[str], list[str]]:
-    """(kind, whether the whole text is of that kind, sure field names, doubtful field names)."""
+def label(text: str, scan: bool = False, forms: list[str] | None = None) -> Label:
+    """The label of a text; `forms` are those of its lines, where they are known."""
     sure, doubtful = fields_in(text)
     if sure:
-        return "placeholder", False, sure, doubtful
-    c = compiled()
+        return Label("placeholder", False, True, sure, doubtful)
     flat = text
     if scan:  # running titles and page numbers stand between the lines of a sentence
-        body = "\n".join(x for x in text.split("\n") if form(x.strip()) not in ("caps", "capsnum", "number"))
-        flat = re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", re.sub(rf"(?<=[^\W\d_])[{re.escape(HYPHENS)}][ \t]*\n[ \t]*", "", body))
-    low = flat.lower()
-    hits = {v for _, v in c["triggers"].iter(low)}
-    fill = may_match(hits, c["fill"]) or any(may_match(hits, ways) and p.search(low) for ways, p in c["repeated"])
-    page = may_match(hits, c["page"]) and may_be_page(flat)
+        lines = text.split("\n")
+        forms = forms or [form(x.strip()) for x in lines]
+        body = "\n".join(x for x, f in zip(lines, forms, strict=True) if f not in ("caps", "capsnum", "number"))
+        flat = JOINED.sub(" ", BROKEN.sub("", body))
+    open_ = gates(flat.lower())
+    fill, page = "fill" in open_, "page" in open_ and may_be_page(flat)
     if not fill and not page:
-        return "", False, sure, doubtful
+        return Label(doubtful=doubtful)
     us = [flat[a:z] for a, z in units(flat)]
     filler = [is_filler(u) for u in us] if fill else []
     if any(filler):
-        return "filler", all(filler), sure, doubtful
-    if not page:
-        return "", False, sure, doubtful
-    kind = page_kind(us)
-    return kind, bool(kind), sure, doubtful
+        return Label("filler", all(filler), True, sure, doubtful)
+    kind, messages = page_kind(us) if page else ("", [])
+    return Label(kind, bool(kind), any(map(is_strict, messages)), sure, doubtful, messages)
 
 
 def tokens(text: str) -> list[str]:
@@ -342,40 +384,62 @@ def hashes(words: list[str]) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(27)))
 
 
+@lru_cache(1)
+def lanes() -> np.ndarray:
+    """A byte's bits as eight bytes of a word, so that up to 255 of them are added at once."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def simhash(shingles: np.ndarray) -> list[int]:
     """256 bits as four signed longs."""
     total = np.zeros(256, dtype=np.int64)
-    for at in range(0, len(shingles), 65_536):
-        part = shingles[at : at + 65_536]
+    for at in range(0, len(shingles), 255):
+        part = shingles[at : at + 255]
         wide = np.stack([(part ^ (part >> np.uint64(31))) * o for o in _ODD[:4]], axis=1)
         wide ^= wide >> np.uint64(29)
-        total += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        total += lanes()[wide.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
     return np.packbits(2 * total > len(shingles)).view(np.int64).tolist()
 
 
-SEEDS = "doc_id long, kind string, whole boolean, names array<string>, doubtful array<string>, digest long, n_shingles int, bits array<long>"
+SEEDS = "doc_id long, kind string, whole boolean, trusted boolean, names array<string>, doubtful array<string>, messages array<long>, digest long, n_shingles int, bits array<long>"
+SEED_TYPES = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+
+
+def digest(shingles: np.ndarray) -> int:
+    """One number for a set of shingles."""
+    return int(np.bitwise_xor.reduce(shingles).view(np.int64)) if len(shingles) else 0
+
 
+def seeds(documents: DataFrame, more: Callable[[str, bool, list[str] | None], object] | None = None, sql: str = "", kind: pa.DataType | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One narrow row per text: what it alone tells, its field names, the digests of its messages, and its SimHash.
 
-def seeds(documents: DataFrame) -> DataFrame:
-    """One narrow row per text: its trusted label, its field names, and its SimHash."""
+    Another reader of the same canonical text may take part as `more`, of type `sql`; columns in `keep` come along.
+    """
+    names = [c.split()[0] for c in SEEDS.split(", ")]
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
+    schema = ", ".join([SEEDS, *(f"`{k}` {kinds[k]}" for k in keep), *[f"more {sql}"] * bool(more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc, text, scan in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out: list[list] = [[] for _ in names]
+            extra: list = []
+            for doc, text, scan in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 text = canonical(text)
-                kind, whole, sure, doubtful = label(text, scan)
+                forms = [form(x.strip()) for x in text.split("\n")] if scan else None
+                got = label(text, scan, forms)
                 sh = hashes(tokens(text))
-                digest = int(np.bitwise_xor.reduce(sh).view(np.int64)) if len(sh) else 0
-                row = (doc, kind, whole, sorted(set(sure)), sorted(set(doubtful)), digest, len(sh), simhash(sh) if len(sh) else [0, 0, 0, 0])
+                said = sorted({digest(hashes(tokens(m))) for m in got.messages})
+                row = (doc, got.kind, got.whole, got.trusted, sorted(set(got.names)), sorted(set(got.doubtful)), said, digest(sh), len(sh), simhash(sh) if len(sh) else [0, 0, 0, 0])
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
-            kinds = [pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [c.split()[0] for c in SEEDS.split(", ")])
+                if more:
+                    extra.append(more(text, scan, forms))
+            cols = [pa.array(c, k) for c, k in zip(out, SEED_TYPES, strict=True)] + [b.column(3 + i) for i in range(len(keep))] + [pa.array(extra, kind)] * bool(more)
+            yield pa.RecordBatch.from_arrays(cols, [*names, *keep, *["more"] * bool(more)])
 
     layout = F.coalesce(F.col("layout") == "scan", F.lit(False)) if "layout" in documents.columns else F.lit(False)
-    rows = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", layout.alias("scan"))
-    return spread(rows).mapInArrow(run, SEEDS)
+    rows = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", layout.alias("scan"), *keep)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def _bands(df: DataFrame, probe: bool) -> DataFrame:
@@ -405,58 +469,106 @@ def _similar(pairs: DataFrame) -> DataFrame:
                 p, q = hashes(tokens(canonical(x))), hashes(tokens(canonical(y)))
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(common >= SIMILARITY * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["digest", "kind"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["digest", "from"]).filter(pa.array(keep))
 
-    return pairs.select("digest", "kind", "text", "other").mapInArrow(run, "digest long, kind string")
+    return pairs.select("digest", "from", "text", "other").mapInArrow(run, "digest long, from long")
 
 
-def _verified(cand: DataFrame, texts: DataFrame) -> DataFrame:
-    """(digest, kind) of the candidates that Hamming distance and shingle similarity confirm."""
+def _verified(cand: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidate pairs (digest, from) that Hamming distance and shingle similarity confirm."""
+    a = reps.select("digest", "rep", "bits")
+    b = reps.select(F.col("digest").alias("from"), F.col("rep").alias("from_rep"), F.col("bits").alias("from_bits"))
     apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("from_bits")[i])) for i in range(4)), F.lit(0))
-    near = cut(cand.where(apart <= MAX_HAMMING).select("digest", "kind", "rep", "from_rep"))
+    near = cut(cand.join(a, "digest").join(b, "from").where(apart <= MAX_HAMMING).select("digest", "from", "rep", "from_rep"))
     few = near.count() <= BROADCAST_PAIRS  # few pairs fetch their texts without moving the others
     near = F.broadcast(near) if few else near
     others = near.select("from_rep").distinct()
     other = texts.select(F.col("rep").alias("from_rep"), F.col("text").alias("other")).join(F.broadcast(others) if few else others, "from_rep")
-    return _similar(texts.join(near, "rep").join(other, "from_rep")).groupBy("digest").agg(F.max("kind").alias("kind"))
+    return _similar(texts.join(near, "rep").join(other, "from_rep")).distinct()
+
+
+def _matched(table: DataFrame, probes: DataFrame) -> DataFrame:
+    """Candidate pairs (digest, from) of the buckets' rows and probes; the rows of a bucket with many probes are dealt out."""
+    hot = probes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PROBES).select("key", F.lit(SALTS).alias("salts"))
+    a = table.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("digest"), F.coalesce("salts", F.lit(1))))
+    b = probes.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)))
+    return a.select("digest", "key", "salt").join(b.select("from", "key", "salt"), ["key", "salt"]).select("digest", "from").distinct()
 
 
-def labelled(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind) of all residue texts."""
-    rows = cut(seeds(documents))
+def near_links(reps: DataFrame, sure: DataFrame, doubtful: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (digest, from) from trusted and doubtful pages to their near-duplicates, from these to theirs, and so on.
+
+    A round looks at each bucket's first probe, which reaches most of a large group of alike texts, and then matches what is
+    left of the bucket with all its probes, so that no text that is near a probe is missed.  Doubtful pages are matched with
+    every page.
+    """
+    links, settled, frontier = None, sure, sure.unionByName(doubtful)
+    table = _bands(reps.join(sure, "digest", "left_anti"), probe=False)
+    while not frontier.isEmpty():
+        probes = cut(_bands(reps.join(frontier, "digest", "left_semi"), probe=True).select(F.col("digest").alias("from"), "key"))
+        # the rows of buckets that hold a probe: the tables are read once a round
+        hits = cut(table.join(probes.groupBy("key").agg(F.min("from").alias("first")), "key"))
+        grown = None
+        for one in (True, False):
+            left = hits.join(settled, "digest", "left_anti")
+            cand = left.select("digest", F.col("first").alias("from")).distinct() if one else _matched(left, probes)
+            new = cut(_verified(cand.where("digest <> from"), reps, texts))
+            links = new if links is None else links.unionByName(new)
+            got = new.select("digest").distinct().join(doubtful, "digest", "left_anti")
+            grown = got if grown is None else grown.unionByName(got)
+            settled = cut(settled.unionByName(got).distinct())
+        frontier = cut(grown)
+    return links if links is not None else sure.select("digest", F.col("digest").alias("from")).limit(0)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of the connected components of links (a, b): the smallest node of each, in a logarithmic number of rounds.
+
+    Each round hooks every node to the smallest node of its neighbourhood and of theirs and replaces links by those between
+    roots (pointer jumping); sums are partial before they are shuffled, so a node with very many links is no hot spot.
+    """
+    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = cut(edges.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    while True:
+        up = roots.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+        jumped = roots.join(up, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+        beside = edges.join(jumped.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("beside"))
+        # a node takes over its neighbours' smallest root, and so does the root it had
+        new = jumped.join(beside, jumped["node"] == beside["a"]).select("node", "root", F.least("root", "beside").alias("new"))
+        hooked = new.select("node", "new").unionByName(new.select(F.col("root").alias("node"), "new")).groupBy("node").agg(F.min("new").alias("root"))
+        after = cut(hooked)
+        if after.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty():
+            return after
+        roots = after
+
+
+def labelled(documents: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kind, how) of all residue texts, from the checkpointed rows of `seeds` where there are some.
+
+    `how` is text for a text's own trusted label, name for a field name used as one elsewhere, and link for a label that came
+    through a component.
+    """
+    rows = cut(seeds(documents)) if rows is None else rows
     known = rows.select(F.explode("names").alias("name")).distinct()
     # field names in ambiguous syntax count where the table uses them as fields
     doubtful = rows.where("kind = '' and size(doubtful) > 0").select("doc_id", F.explode("doubtful").alias("name")).join(known, "name", "left_semi").select("doc_id").distinct()
-    rows_ids = doubtful.withColumn("kind", F.lit("placeholder"))
-    direct = rows.where("kind <> ''").select("doc_id", "kind")
+    named = doubtful.select("doc_id", F.lit("placeholder").alias("kind"), F.lit("name").alias("how"))
+    direct = rows.where("kind <> '' and trusted").select("doc_id", "kind", F.lit("text").alias("how"))
     # representatives of texts alike but for digits and paths
-    reps = rows.where("n_shingles > 0").groupBy("digest").agg(F.max(F.when(F.col("whole"), F.col("kind"))).alias("label"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("bits").alias("bits"))
-    reps = cut(reps)
-    reached = reps.where("label is not null").select("digest", F.col("label").alias("kind"), "rep", "n_shingles", "bits")
-    carried, frontier = None, reached
-    table = _bands(reps.where("label is null"), probe=False)
+    reps = cut(rows.where("n_shingles > 0").groupBy("digest").agg(F.max(F.when(F.col("whole"), F.col("kind"))).alias("page"), F.max(F.when(F.col("whole") & F.col("trusted"), F.col("kind"))).alias("label"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("bits").alias("bits")))
+    pages = reps.where("page is not null").select("digest", "label")
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    a = reps.select("digest", "rep", "bits")
-    while frontier is not None:
-        probes = _bands(frontier, probe=True).select(F.col("digest").alias("from"), "key")
-        b = frontier.select(F.col("digest").alias("from"), F.col("rep").alias("from_rep"), F.col("bits").alias("from_bits"), "kind")
-        grown = None
-        # the rows of buckets that hold a labelled text: the tables are read once
-        hits = cut(table.join(probes.groupBy("key").agg(F.min("from").alias("first")), "key"))
-        # first one labelled text a bucket, which reaches most of a large group of alike texts; then all, for the rest
-        for cand in (hits.select("digest", F.col("first").alias("from")).distinct(), hits.select("digest", "key").join(probes, "key").select("digest", "from").distinct()):
-            if carried is not None:
-                cand = cand.join(carried, "digest", "left_anti")
-            new = cut(_verified(cand.join(a, "digest").join(b, "from"), texts))
-            if new.isEmpty():
-                continue
-            carried = new.select("digest") if carried is None else cut(carried.unionByName(new.select("digest")))
-            reached = reached.select("digest", "kind").unionByName(new)
-            grown = new if grown is None else grown.unionByName(new)
-        frontier = None if grown is None else grown.join(reps.select("digest", "rep", "n_shingles", "bits"), "digest")
+    links = near_links(reps, pages.where("label is not null").select("digest"), pages.where("label is null").select("digest"), texts).select(F.col("digest").alias("a"), F.col("from").alias("b"))
+    # a message is a node of its own, told from texts by its negated digest
+    said = rows.where("whole and size(messages) > 0").select(F.col("digest").alias("a"), F.explode("messages").alias("m")).select("a", F.bitwise_not("m").alias("b"))
+    alone = pages.select(F.col("digest").alias("a"), F.col("digest").alias("b"))
+    groups = components(links.unionByName(said).unionByName(alone)).withColumnRenamed("node", "digest")
+    sure = groups.join(reps.where("label is not null").select("digest", "label"), "digest").groupBy("root").agg(F.max("label").alias("kind"))
+    reached = groups.join(sure, "root").select("digest", "kind")
     # every text of a reached class; texts with a label of their own keep it
-    spread = rows.where("kind = ''").select("doc_id", "digest").join(reached.select("digest", "kind"), "digest").select("doc_id", "kind")
-    return direct.unionByName(rows_ids).unionByName(spread).groupBy("doc_id").agg(F.max("kind").alias("kind"))
+    linked = rows.where("kind = '' or not trusted").select("doc_id", "digest").join(reached, "digest").select("doc_id", "kind", F.lit("link").alias("how"))
+    every = direct.unionByName(named).unionByName(linked)
+    return every.groupBy("doc_id").agg(F.max("kind").alias("kind"), F.max("how").alias("how"))
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -103,7 +103,8 @@ def test_scan_tables(spark, tables):
 
 
 def test_labels():
-    yes = ["A {{ page_count }} b", "x ${title} y", "the %(body_text)s", "[[PUBLICATION_YEAR]]", "<CHAPTER\nGOES HERE> z", "see [your name here]", "&lt;author&gt;", "Real text. Lorem ipsum dolor sit amet elit. More.", "TBD TBD TBD.",
+    long_field = "{{ " + "_".join(["part"] * 40) + " }}"
+    yes = [f"A {long_field} b", "A {{ page_count }} b", "x ${title} y", "the %(body_text)s", "[[PUBLICATION_YEAR]]", "<CHAPTER\nGOES HERE> z", "see [your name here]", "&lt;author&gt;", "Real text. Lorem ipsum dolor sit amet elit. More.", "TBD TBD TBD.",
            "Error 404: Not Found\nThe page at /a/b could not be found.\nHome | Search | Help", "Please enable JavaScript to view this edition.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Too Many Requests (429)", "ページが見つかりません\n番号12のページは削除されました。"]
     no = ["Editor verba {et} delenda esse putat.", "Post [[litteras]] nonnulla desunt.", "{καὶ} ὁ [9] {…}", "The paper explains why the viewer asked readers to enable JavaScript, and what replaced it.", "Item 404 of the inventory is a small quire.",
           "The note reads: page not found in the second copy.", "A cursive script is required reading.", "The specimen sheet set the words lorem ipsum in four sizes.", "Der Fehler 404 im Verzeichnis betrifft die zweite Spalte.", "Error 404 in the list of corrections concerns the breath mark."]
@@ -141,19 +142,61 @@ def test_labels_run_through_near_duplicates(spark):
 
 def test_carried_label(spark, monkeypatch):
     """An unlabelled text near a labelled whole page gets its label, one near a text with a field does not."""
-    body = " ".join(f"term{c}{d}" for c in "abcdefgh" for d in "abcdef")
-    monkeypatch.setattr(residue, "label", lambda t, scan=False: ("error", True, [], []) if "SEED" in t else ("placeholder", False, ["title"], []) if "FIELD" in t else ("", False, [], []))
-    other = " ".join(f"other{c}{d}" for c in "abcdefgh" for d in "abcdef")
+    body, other = (" ".join(f"{w}{c}{d}" for c in "abcdefgh" for d in "abcdef") for w in ("term", "other"))
+    mark = lambda t, *_: residue.Label("error", True) if "SEED" in t else residue.Label("placeholder", names=["title"]) if "FIELD" in t else residue.Label()
     df = docs(spark, [(1, None, "web", f"{body} SEED"), (2, None, "web", f"{body} end"), (3, None, "web", f"{other} FIELD"), (4, None, "web", f"{other} end"), (5, None, "web", f"{body} end more")])
-    seeds = [(i, *residue.label(t), 0, 0, [0]) for i, t in ((1, "SEED"),)]
-    assert seeds and Counter(k for _, k, *_ in seeds) == {"error": 1}
     rows = []
     for r in df.collect():
         h = residue.hashes(residue.tokens(r.text))
-        kind, whole, names, doubtful = residue.label(r.text)
-        rows.append((r.doc_id, kind, whole, names, doubtful, r.doc_id * 1000, len(h), residue.simhash(h)))
-    monkeypatch.setattr(residue, "seeds", lambda d: spark.createDataFrame(rows, residue.SEEDS))
-    assert {(r.doc_id, r.kind) for r in residue.labelled(df).collect()} == {(1, "error"), (2, "error"), (3, "placeholder"), (5, "error")}
+        got = mark(r.text)
+        rows.append((r.doc_id, got.kind, got.whole, got.trusted, got.names, got.doubtful, [], residue.digest(h), len(h), residue.simhash(h)))
+    got = residue.labelled(df, spark.createDataFrame(rows, residue.SEEDS)).collect()
+    assert {(r.doc_id, r.kind, r.how) for r in got} == {(1, "error", "text"), (2, "error", "link"), (3, "placeholder", "text"), (5, "error", "link")}
+
+
+def test_doubtful_pages_need_a_link(spark):
+    """A page of messages that a book could hold as well is a case only beside a trusted page with the same message."""
+    closed, moved = "The scan at /items/{}/page is closed for maintenance.", "The volume has been moved or withdrawn."
+    rows = [(1, f"Error 404: Not Found\n{closed.format(12)}"), (2, f"{closed.format(7)} Please try again later."), (3, moved), (4, f"We hit a problem\n{closed.format(9)}"), (5, "The scribe restores the old reading of the letter.")]
+    got = residue.labelled(docs(spark, [(i, None, "web", t) for i, t in rows])).collect()
+    assert {(r.doc_id, r.how) for r in got} == {(1, "text"), (2, "link"), (4, "link")}
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 6000 + i) for i in range(200)] + [(7, 7)]
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in residue.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(up)}
+    assert residue.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_buckets_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(residue, "HOT_PROBES", 3)
+    monkeypatch.setattr(residue, "SALTS", 4)
+    table = spark.createDataFrame([(i, i % 2) for i in range(20)], "digest long, key long")
+    probes = spark.createDataFrame([(100 + i, i % 7 // 6) for i in range(20)], '`from` long, key long')
+    got = {tuple(r) for r in residue._matched(table, probes).collect()}
+    assert got == {(i, 100 + j) for i in range(20) for j in range(20) if i % 2 == j % 7 // 6}
+
+
+def test_simhash_counts_bits():
+    import numpy as np
+
+    h = residue.hashes([f"w{i}" for i in range(700)])
+    wide = np.stack([(h ^ (h >> np.uint64(31))) * o for o in residue._ODD[:4]], axis=1)
+    wide ^= wide >> np.uint64(29)
+    bits = np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0)
+    assert residue.simhash(h) == np.packbits(2 * bits > len(h)).view(np.int64).tolist()
 
 
 def test_labels_at_every_length():
