@@ -363,7 +363,7 @@ def found(documents: DataFrame, envelopes: DataFrame, lang_codes: DataFrame, pro
     """Segments of the documents with a missing or wrong label or several languages, residue left out, and all files."""
     model = profiles or fit(documents, lang_codes)
     rows = cut(document_rows(documents, model))
-    cases = rows.where("size(more) > 1 or lang is null or lang <> more[0].lang").select("doc_id", "more")
+    cases = rows.where("size(more) > 1 or lang is null or lang <> get(more, 0).lang").select("doc_id", "more")
     cases = cases.join(labelled(documents, rows).select("doc_id"), "doc_id", "left_anti")
     cols = ["src", "id", "part_no", "lang"]
     return _parts(cases).select(*cols).unionByName(envelope_files(envelopes, model).select(*cols)).distinct()

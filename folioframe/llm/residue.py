@@ -19,7 +19,6 @@ empty tables give empty results.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from re import _constants as sre
@@ -28,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +144,6 @@ FURNITURE = [
 PARTS = re.compile(r"(?<=[.!?。！？])\s+")
 NAV = re.compile(r"^[^.!?。]{1,40}(?:\s+[|–—·•>/]\s+[^.!?。|–—·•>]{1,30}){1,}$")
 #: What every navigation line holds.
-BROKEN, JOINED = re.compile(rf"(?<=[^\W\d_])[{re.escape(HYPHENS)}][ \t]*\n[ \t]*"), re.compile(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)")
 NAV_MARK = re.compile(r"\s[|–—·•>/]\s")
 
 
@@ -219,9 +218,7 @@ def compiled() -> dict[str, object]:
         "error": join(ERRORS),
         "demand": join(DEMANDS),
         "furniture": join(FURNITURE),
-        "word": re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_]+"),
         "path": re.compile(r"(?<!\S)(?:https?:/)?/[\w/.\-]+"),
-        "digits": re.compile(r"\d+"),
     }
 
 
@@ -315,6 +312,24 @@ def page_kind(us: list[str]) -> tuple[str, list[str]]:
     return ("script" if "script" in kinds else "error" if "error" in kinds else ""), messages
 
 
+def joined(lines: Iterable[str]) -> str:
+    """Lines as running text: broken words rejoined, blank lines kept."""
+    parts: list[str] = []
+    before = ""
+    for line in lines:
+        s = line.strip(" \t")
+        if before and s:
+            if before[-1] in HYPHENS and before[-2:-1].isalpha():
+                parts[-1] = before[:-1]
+            else:
+                parts.append(" ")
+        elif parts:
+            parts.append("\n")
+        parts.append(s)
+        before = s
+    return "".join(parts)
+
+
 class Label(NamedTuple):
     """What a text alone tells: the kind of its residue, whether all of it is, whether that is certain, field names, messages."""
 
@@ -335,8 +350,7 @@ def label(text: str, scan: bool = False, forms: list[str] | None = None) -> Labe
     if scan:  # running titles and page numbers stand between the lines of a sentence
         lines = text.split("\n")
         forms = forms or [form(x.strip()) for x in lines]
-        body = "\n".join(x for x, f in zip(lines, forms, strict=True) if f not in ("caps", "capsnum", "number"))
-        flat = JOINED.sub(" ", BROKEN.sub("", body))
+        flat = joined(x for x, f in zip(lines, forms, strict=True) if f not in ("caps", "capsnum", "number"))
     open_ = gates(flat.lower())
     fill, page = "fill" in open_, "page" in open_ and may_be_page(flat)
     if not fill and not page:
@@ -349,39 +363,79 @@ def label(text: str, scan: bool = False, forms: list[str] | None = None) -> Labe
     return Label(kind, bool(kind), any(map(is_strict, messages)), sure, doubtful, messages)
 
 
-def tokens(text: str) -> list[str]:
-    """Words for shingles: navigation lines dropped, paths masked; a character each in spaceless scripts. Digits count as 0."""
-    c = compiled()
-    kept = [ln for ln in text.split("\n") if not NAV.match(ln.strip())] if NAV_MARK.search(text) else [text]
-    flat = "\n".join(kept).lower()
-    if "/" in flat:
-        flat = c["path"].sub(" path ", flat)
-    return c["word"].findall(flat)
+def masked(text: str) -> str:
+    """The text that shingles are taken of: navigation lines dropped, folded, paths masked."""
+    kept = "\n".join(ln for ln in text.split("\n") if not NAV.match(ln.strip())) if NAV_MARK.search(text) else text
+    flat = kept.lower()
+    return compiled()["path"].sub(" path ", flat) if "/" in flat else flat
 
 
-_CRC: dict[str, int] = {}
+#: What a character is to a token: nothing, a letter, a digit, a token of its own (scripts written without spaces).
+NOTHING, LETTER, DIGIT, ALONE = range(4)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    """Distinct 64-bit hashes of the five-word shingles; a shorter text is one shingle."""
-    if len(_CRC) > 500_000:
-        _CRC.clear()
-    for w in set(words).difference(_CRC):
-        b = compiled()["digits"].sub("0", w).encode()
-        _CRC[w] = zlib.crc32(b) | (zlib.adler32(b) << 32)
-    a = np.fromiter(map(_CRC.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(a) == 0:
-        return a
-    if len(a) < SHINGLE:
-        a = np.concatenate([a, np.zeros(SHINGLE - len(a), dtype=np.uint64)])
-    n = len(a) - SHINGLE + 1
+@lru_cache(1)
+def characters() -> np.ndarray:
+    """The kind of every character up to the last plane with letters."""
+    out = np.array([DIGIT if c.isdecimal() else LETTER if c.isalnum() else NOTHING for c in map(chr, range(0x33500))], dtype=np.uint8)
+    for a, z in ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xE00, 0xE7F)):
+        out[a : z + 1] = ALONE
+    return out
+
+
+@lru_cache(4)
+def powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, _ODD[1] | np.uint64(1), dtype=np.uint64))
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the masked texts' words in order, and the text of each, all at once; a run of digits counts as one 0."""
+    flat = list(map(masked, texts))
+    cp = np.frombuffer("\n".join(flat).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = characters()[np.minimum(cp, 0x334FF)]
+    before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+    inside = (kind == LETTER) | (kind == DIGIT)
+    start = (kind == ALONE) | (inside & ((before == NOTHING) | (before == ALONE)))
+    keep = ((kind != NOTHING) & ~((kind == DIGIT) & (before == DIGIT))).nonzero()[0]
+    at = start[keep].nonzero()[0]
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(at, len(keep)))
+    place = np.arange(len(keep)) - np.repeat(at, size)
+    code = np.where(kind[keep] == DIGIT, np.uint32(48), cp[keep]).astype(np.uint64)
+    h = np.add.reduceat(code * powers(1 << max(6, int(size.max()).bit_length()))[place], at)
+    begins = np.cumsum([0, *(len(t) + 1 for t in flat[:-1])])
+    return (h ^ (h >> np.uint64(29))) * _ODD[0], np.searchsorted(begins, keep[at], side="right") - 1
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of five words each."""
+    n = len(words) - SHINGLE + 1
     out = np.zeros(n, dtype=np.uint64)
     for i in range(SHINGLE):
-        out ^= (a[i : i + n] + np.uint64(i + 1)) * _ODD[i]
+        out ^= (words[i : i + n] + np.uint64(i + 1)) * _ODD[i]
         out = (out << np.uint64(23)) | (out >> np.uint64(41))
     out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(27)))
+    return out ^ (out >> np.uint64(27))
+
+
+def hashes(texts: list[str]) -> list[np.ndarray]:
+    """The distinct hashes of each text's five-word shingles in order; a shorter text is one shingle."""
+    words, text = tokens(texts)
+    n = np.bincount(text, minlength=len(texts))
+    first = np.cumsum(n) - n
+    every = shingles(words) if len(words) >= SHINGLE else words[:0]
+    out = []
+    for a, k in zip(first.tolist(), n.tolist(), strict=True):
+        if 0 < k < SHINGLE:
+            h = shingles(np.concatenate([words[a : a + k], np.zeros(SHINGLE - k, dtype=np.uint64)]))
+        else:
+            h = np.sort(every[a : a + max(0, k - SHINGLE + 1)])
+            if len(h) > 1:
+                h = h[np.concatenate(([True], h[1:] != h[:-1]))]
+        out.append(h)
+    return out
 
 
 @lru_cache(1)
@@ -390,15 +444,24 @@ def lanes() -> np.ndarray:
     return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def simhash(shingles: np.ndarray) -> list[int]:
-    """256 bits as four signed longs."""
-    total = np.zeros(256, dtype=np.int64)
-    for at in range(0, len(shingles), 255):
-        part = shingles[at : at + 255]
-        wide = np.stack([(part ^ (part >> np.uint64(31))) * o for o in _ODD[:4]], axis=1)
+def simhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """256 bits as four signed longs for each set of shingles; zeros for an empty one."""
+    total = np.zeros((len(sets), 256), dtype=np.int64)
+    every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    # stretches of one set of at most 255 shingles, as many at once as fit a few megabytes
+    cuts = [(a, k) for k, (z, n) in enumerate(zip(np.cumsum(size).tolist(), size.tolist(), strict=True)) for a in range(z - n, z, 255)]
+    begins, owner = np.array([a for a, _ in cuts], dtype=np.int64), np.array([k for _, k in cuts], dtype=np.int64)
+    i = 0
+    while i < len(cuts):
+        j = max(i + 1, int(np.searchsorted(begins, begins[i] + 16_384)))
+        part = every[begins[i] : begins[j] if j < len(cuts) else len(every)]
+        wide = (part ^ (part >> np.uint64(31)))[:, None] * _ODD[None, :4]
         wide ^= wide >> np.uint64(29)
-        total += lanes()[wide.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
-    return np.packbits(2 * total > len(shingles)).view(np.int64).tolist()
+        sums = np.add.reduceat(lanes()[wide.view(np.uint8)], begins[i:j] - begins[i], axis=0)
+        np.add.at(total, owner[i:j], sums.view(np.uint8))
+        i = j
+    return np.packbits(2 * total > size[:, None], axis=1).view(np.int64)
 
 
 SEEDS = "doc_id long, kind string, whole boolean, trusted boolean, names array<string>, doubtful array<string>, messages array<long>, digest long, n_shingles int, bits array<long>"
@@ -420,22 +483,28 @@ def seeds(documents: DataFrame, more: Callable[[str, bool, list[str] | None], ob
     schema = ", ".join([SEEDS, *(f"`{k}` {kinds[k]}" for k in keep), *[f"more {sql}"] * bool(more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[] for _ in names]
-            extra: list = []
-            for doc, text, scan in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                text = canonical(text)
-                forms = [form(x.strip()) for x in text.split("\n")] if scan else None
-                got = label(text, scan, forms)
-                sh = hashes(tokens(text))
-                said = sorted({digest(hashes(tokens(m))) for m in got.messages})
-                row = (doc, got.kind, got.whole, got.trusted, sorted(set(got.names)), sorted(set(got.doubtful)), said, digest(sh), len(sh), simhash(sh) if len(sh) else [0, 0, 0, 0])
-                for col, v in zip(out, row, strict=True):
-                    col.append(v)
+        for whole in batches:
+            size = pa.compute.utf8_length(whole.column(1)).to_pylist()
+            a = 0
+            while a < len(size):  # texts of about a million characters at once
+                z, n = a, 0
+                while z < len(size) and (z == a or n + size[z] <= 1_000_000):
+                    n, z = n + size[z], z + 1
+                b = whole.slice(a, z - a)
+                a = z
+                texts = list(map(canonical, b.column(1).to_pylist()))
+                forms = [[form(x.strip()) for x in t.split("\n")] if scan else None for t, scan in zip(texts, b.column(2).to_pylist(), strict=True)]
+                got = [label(t, f is not None, f) for t, f in zip(texts, forms, strict=True)]
+                said = [m for g in got for m in g.messages]
+                sets = hashes(texts + said)
+                digests = iter(map(digest, sets[len(texts) :]))
+                sets = sets[: len(texts)]
+                rows = [b.column(0), [g.kind for g in got], [g.whole for g in got], [g.trusted for g in got], [sorted(set(g.names)) for g in got], [sorted(set(g.doubtful)) for g in got], [sorted({next(digests) for _ in g.messages}) for g in got]]
+                rows += [list(map(digest, sets)), list(map(len, sets)), simhashes(sets).tolist()]
+                cols = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(rows, SEED_TYPES, strict=True)] + [b.column(3 + i) for i in range(len(keep))]
                 if more:
-                    extra.append(more(text, scan, forms))
-            cols = [pa.array(c, k) for c, k in zip(out, SEED_TYPES, strict=True)] + [b.column(3 + i) for i in range(len(keep))] + [pa.array(extra, kind)] * bool(more)
-            yield pa.RecordBatch.from_arrays(cols, [*names, *keep, *["more"] * bool(more)])
+                    cols.append(pa.array([more(t, f is not None, f) for t, f in zip(texts, forms, strict=True)], kind))
+                yield pa.RecordBatch.from_arrays(cols, [*names, *keep, *["more"] * bool(more)])
 
     layout = F.coalesce(F.col("layout") == "scan", F.lit(False)) if "layout" in documents.columns else F.lit(False)
     rows = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", layout.alias("scan"), *keep)
@@ -466,7 +535,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = hashes(tokens(canonical(x))), hashes(tokens(canonical(y)))
+                p, q = hashes([canonical(x), canonical(y)])
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(common >= SIMILARITY * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["digest", "from"]).filter(pa.array(keep))

@@ -120,8 +120,8 @@ def test_simhash_and_bands_find_what_brute_force_finds(spark):
         w = b.split()
         w[30] = "changed"
         near.append(" ".join(w))
-    hs = [residue.hashes(residue.tokens(t)) for t in base + near]
-    rows = [(i, len(h), residue.simhash(h)) for i, h in enumerate(hs)]
+    hs = residue.hashes(base + near)
+    rows = [(i, len(h), bits) for i, (h, bits) in enumerate(zip(hs, residue.simhashes(hs).tolist(), strict=True))]
     df = spark.createDataFrame(rows, "digest long, n_shingles int, bits array<long>")
     a, b = residue._bands(df.where("digest < 40"), True), residue._bands(df.where("digest >= 40"), False)
     pairs = {(r[0], r[1]) for r in a.withColumnRenamed("digest", "x").join(b, "key").select("x", "digest").distinct().collect()}
@@ -147,9 +147,9 @@ def test_carried_label(spark, monkeypatch):
     df = docs(spark, [(1, None, "web", f"{body} SEED"), (2, None, "web", f"{body} end"), (3, None, "web", f"{other} FIELD"), (4, None, "web", f"{other} end"), (5, None, "web", f"{body} end more")])
     rows = []
     for r in df.collect():
-        h = residue.hashes(residue.tokens(r.text))
+        h = residue.hashes([r.text])[0]
         got = mark(r.text)
-        rows.append((r.doc_id, got.kind, got.whole, got.trusted, got.names, got.doubtful, [], residue.digest(h), len(h), residue.simhash(h)))
+        rows.append((r.doc_id, got.kind, got.whole, got.trusted, got.names, got.doubtful, [], residue.digest(h), len(h), residue.simhashes([h]).tolist()[0]))
     got = residue.labelled(df, spark.createDataFrame(rows, residue.SEEDS)).collect()
     assert {(r.doc_id, r.kind, r.how) for r in got} == {(1, "error", "text"), (2, "error", "link"), (3, "placeholder", "text"), (5, "error", "link")}
 
@@ -192,11 +192,14 @@ def test_hot_buckets_lose_no_pair(spark, monkeypatch):
 def test_simhash_counts_bits():
     import numpy as np
 
-    h = residue.hashes([f"w{i}" for i in range(700)])
-    wide = np.stack([(h ^ (h >> np.uint64(31))) * o for o in residue._ODD[:4]], axis=1)
-    wide ^= wide >> np.uint64(29)
-    bits = np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0)
-    assert residue.simhash(h) == np.packbits(2 * bits > len(h)).view(np.int64).tolist()
+    text = " ".join(f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrs" for c in "tuvwxyz")
+    sets = residue.hashes([text, "", "one", "a b c d e f", text[:2000], *[text[i:] for i in range(0, 2400, 30)]])
+    for h, bits in zip(sets, residue.simhashes(sets).tolist(), strict=True):
+        wide = np.stack([(h ^ (h >> np.uint64(31))) * o for o in residue._ODD[:4]], axis=1)
+        wide ^= wide >> np.uint64(29)
+        ones = np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0) if len(h) else np.zeros(256)
+        assert bits == np.packbits(2 * ones > len(h)).view(np.int64).tolist()
+    assert residue.simhashes([]).tolist() == []
 
 
 def test_labels_at_every_length():
@@ -206,7 +209,21 @@ def test_labels_at_every_length():
     content = "The scribe restores the old reading of the letter and sends the copy to the council.\n" * 200
     assert residue.label("Error 502: Bad Gateway\n" + content)[0] == ""
     nav = "Home | Search | Help\n"
-    assert residue.tokens(nav + content) == residue.tokens(content) and residue.tokens(nav + content[:90]) == residue.tokens(content[:90])
+    assert all(words(nav + t) == words(t) for t in (content, content[:90]))
+
+
+def words(text):
+    return residue.tokens([text])[0].tolist()
+
+
+def test_tokens():
+    assert len(words("One, two_three 4a5 漢字 ab漢")) == 8 and words("") == words(" .\n") == []
+    assert words("Page 12 of 9") == words("page 7 OF 12345") and words("at /vol/1/page now") == words("at /items/88.html now")
+    assert words("ab c") != words("a bc") and words("ab") != words("ba")
+    assert len(set(words(" ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh")))) == 512
+    assert len(words("x" * 3_000_000)) == 1
+    h, of = residue.tokens(["a b", "", "c", "b"])
+    assert of.tolist() == [0, 0, 2, 3] and h[1] == h[3]
 
 
 def test_no_pattern_is_gated_away():
