@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_LIMIT, PAGE_OVERLAP = 1500, 150
@@ -36,10 +36,10 @@ BOUNDARIES = [
 ]
 
 
-def cut_at(text: str, lo: int, hi: int, room: int) -> int:
+def cut_at(text: str, lo: int, hi: int) -> int:
     """The strongest boundary near the midpoint of text[lo:hi], the closest among equals.
 
-    Near means within a quarter of the stretch; `room` keeps a cut from leaving a part of nothing.
+    Near means within a quarter of the stretch, so that both parts hold something.
     """
     mid, reach = (lo + hi) // 2, max(1, (hi - lo) // 4)
     a, z = max(lo + 1, mid - reach), min(hi - 1, mid + reach)
@@ -65,7 +65,7 @@ def bisect_text(text: str, limit: int = PAGE_LIMIT, overlap: int = PAGE_OVERLAP)
         if hi - lo <= size:
             cores.append((lo, hi))
         else:
-            c = cut_at(text, lo, hi, size)
+            c = cut_at(text, lo, hi)
             todo += [(c, hi), (lo, c)]
     return [(max(0, lo - overlap) if lo else 0, lo, hi) for lo, hi in cores]
 
@@ -127,6 +127,19 @@ def pieces(envelopes: DataFrame, page_limit: int = PAGE_LIMIT, page_overlap: int
     return items.mapInArrow(run, PIECES)
 
 
+def cover(envelopes: DataFrame, page_limit: int = PAGE_LIMIT, page_overlap: int = PAGE_OVERLAP, file_limit: int = FILE_LIMIT, file_overlap: int = FILE_OVERLAP) -> DataFrame:
+    """Per item that was cut what its pieces cover, and how many leave a gap, exceed the limit or overlap otherwise than told."""
+    page = F.col("page_idx") >= 0
+    limit, overlap = F.when(page, page_limit).otherwise(file_limit), F.when(page, page_overlap).otherwise(file_overlap)
+    before = F.coalesce(F.lag("end_pos").over(Window.partitionBy("env_id", "file_idx", "page_idx").orderBy("piece_no")), F.lit(0))
+    p = pieces(envelopes, page_limit, page_overlap, file_limit, file_overlap).withColumn("before", before)
+    wrong = lambda c: F.count_if(c).alias
+    return p.groupBy("env_id", "file_idx", "page_idx").agg(
+        F.max("end_pos").alias("covered"), wrong(F.col("core_start") != F.col("before"))("gaps"), wrong(F.col("end_pos") - F.col("start_pos") > limit)("over"),
+        wrong(F.col("start_pos") != F.greatest(F.lit(0), F.col("core_start") - F.when(F.col("piece_no") > 0, overlap).otherwise(0)))("overlaps"), wrong(page & (F.length("piece") != F.col("end_pos") - F.col("start_pos")))("texts"),
+    )
+
+
 def found(envelopes: DataFrame) -> DataFrame:
     """The items that had to be cut: distinct (env_id, file_idx, page_idx)."""
     return pieces(envelopes).where("piece_no > 0 and env_id is not null").select("env_id", "file_idx", "page_idx").distinct()

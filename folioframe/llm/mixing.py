@@ -5,14 +5,14 @@ Weights are the sources' natural token shares p tilted towards the targets q by
 repeated more than `max_repeats` times; with a budget the largest τ in [0, 1] that keeps within the repetitions is found by
 bisection (τ = 0 is the natural mixture).
 
-A source's quota of tokens is realised as whole passes over its documents and one partial pass: the documents of the pass
-fall into blocks by a hash of seed, pass and key, the blocks are permuted, and blocks are taken while the quota lasts;
-only the block at the edge is cut, between documents.  Block sums are pre-aggregated, so no source, however large, is
-ordered as a whole.
+A source's quota of tokens is realised as whole passes over its documents and one partial pass: a hash of seed, pass and
+key deals the documents of the pass into `BLOCKS` blocks, the blocks are permuted, and blocks are taken while the quota
+lasts; the block at the edge is dealt into blocks again, and of the last one only are the documents put in order.  Block
+sums are pre-aggregated, so no source, however large, is ordered as a whole.
 
 Defined results: documents with a null key, a source without a target or a null source, and texts without tokens are left
 out; a target whose source has no tokens is reported with share 0 and the other targets are scaled up; a null
-`max_repeats` counts as 1; repeated rows count as rows of their own; empty tables give empty mixtures.
+`max_repeats` counts as 1 and one of 0 leaves its source out like one without tokens; repeated rows count as rows of their own; empty tables give empty mixtures.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 from .tokens import VOCABULARY, with_counts
 
-BLOCK_TOKENS = 1_000_000
-MOST_BLOCKS = 10_000
+#: Blocks of a pass, and how often the block at the edge of a quota is dealt out.
+BLOCKS, LEVELS = 1024, 2
 MAX_SOURCES = 100_000
 
 
@@ -52,7 +52,7 @@ class Quota:
 
 def solve(sources: list[tuple[str, float, int, int]], budget: float | None = None) -> tuple[list[Quota], float]:
     """Quotas of (source, target, max_repeats, tokens) and the exponent τ used."""
-    live = [s for s in sources if s[3] > 0 and s[1] > 0]
+    live = [s for s in sources if s[3] > 0 and s[1] > 0 and s[2] > 0]
     total, share = sum(s[3] for s in live), sum(s[1] for s in live)
     if not live:
         return [Quota(s, t, n, r, 0.0) for s, t, r, n in sources], 1.0
@@ -94,35 +94,49 @@ def quotas(items: DataFrame, targets: DataFrame, budget: float | None = None) ->
     return solve(sorted((r["source"], float(r["t"] or 0), max(0, int(r["r"])), int(tokens.get(r["source"], 0))) for r in rows), budget)
 
 
-def realise(items: DataFrame, plan: list[Quota], seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def realise(items: DataFrame, plan: list[Quota], seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, source, pass_no, n_tokens, mix_key): the rows of the mixture; sorting by mix_key interleaves the sources."""
     spark = items.sparkSession
-    head = "source string, passes int, rest double, blocks int"
-    table = spark.createDataFrame([(q.source, q.passes, float(q.rest), max(1, min(MOST_BLOCKS, math.ceil(q.tokens / block_tokens)))) for q in plan], head)
+    table = spark.createDataFrame([(q.source, q.passes, float(q.rest)) for q in plan], "source string, passes int, left double")
     rows = items.join(F.broadcast(table), "source")
     key = F.xxhash64(F.lit(seed), F.col("pass_no"), F.col("doc_id"))
-    whole = rows.where("passes > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass_no"), "n_tokens")
-    part = rows.where("rest >= 1").withColumn("pass_no", F.col("passes") + 1).withColumn("block_no", F.pmod(key, F.col("blocks")))
-    sums = part.groupBy("source", "pass_no", "block_no", "rest").agg(F.sum("n_tokens").alias("n"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "pass_no", "block_no"), "block_no")
-    sums = sums.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("left", F.col("rest") - F.coalesce("before", F.lit(0))).where("left > 0").select("source", "block_no", "n", "left")
-    part = part.select("doc_id", "source", "pass_no", "block_no", "n_tokens").join(F.broadcast(sums), ["source", "block_no"])
-    within = Window.partitionBy("source", "block_no").orderBy(key, "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = part.where("n > left").withColumn("upto", F.sum("n_tokens").over(within)).where("upto <= left")
     cols = ["doc_id", "source", "pass_no", "n_tokens"]
-    return whole.unionByName(part.where("n <= left").select(*cols)).unionByName(edge.select(*cols)).withColumn("mix_key", key)
+    out = rows.where("passes > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass_no"), "n_tokens")
+    part = rows.where("left >= 1").withColumn("pass_no", F.col("passes") + 1).withColumn("k", key).select(*cols, "k", "left")
+    for level in range(LEVELS):
+        part = part.withColumn("block_no", F.pmod(F.xxhash64(F.lit(level), "k"), F.lit(blocks)))
+        sums = part.groupBy("source", "left", "block_no").agg(F.sum("n_tokens").alias("n"))
+        order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), F.lit(level), "block_no"), "block_no")
+        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.withColumn("room", F.col("left") - before).where("room > 0").select("source", "block_no", "n", "room")
+        met = part.drop("left").join(sums, ["source", "block_no"])
+        out = out.unionByName(met.where("n <= room").select(*cols))
+        part = met.where("n > room").select(*cols, "k", F.col("room").alias("left"))  # the block at the edge, one a source
+    within = Window.partitionBy("source").orderBy("k", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    edge = part.withColumn("upto", F.sum("n_tokens").over(within)).where("upto <= left")
+    return out.unionByName(edge.select(*cols)).withColumn("mix_key", key)
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
+#: A budget of as many tokens as the sources with a target have.
+ALL = "all"
+
+
+def planned(items: DataFrame, targets: DataFrame, budget: float | str | None) -> tuple[list[Quota], float]:
+    if budget == ALL:
+        budget = float(items.agg(F.sum("n_tokens")).first()[0] or 0)
+    return quotas(items, targets, budget)
+
+
+def mix(documents: DataFrame, targets: DataFrame, budget: float | str | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
     """The mixture of `documents` to `targets` (source, target_share, max_repeats)."""
     items = counted(documents, targets, vocabulary)
-    return realise(items, quotas(items, targets, budget)[0], seed)
+    return realise(items, planned(items, targets, budget)[0], seed)
 
 
-def shares(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, budget: float | str | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per source its target, natural and actual share, tokens and the most times a document is repeated."""
     items = counted(documents, targets, vocabulary)
-    plan, tau = quotas(items, targets, budget)
+    plan, tau = planned(items, targets, budget)
     got = realise(items, plan, seed).groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.max("pass_no").alias("most_repeats"))
     table = items.sparkSession.createDataFrame([(q.source, q.target, q.tokens, q.repeats, tau) for q in plan], "source string, target_share double, source_tokens long, max_repeats int, tau double")
     every = Window.partitionBy()

@@ -89,3 +89,14 @@ def windows(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return assigned.groupBy("group_no", "window_no").agg(F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n_tokens")).withColumn("unused", F.lit(capacity) - F.col("n_tokens"))
 
 
+def checked(assigned: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
+    """One row: documents placed, and how many windows are too full and documents are not whole or cut without need."""
+    w = windows(assigned, capacity).agg(F.count_if(F.col("unused") < 0).alias("over_full"))
+    d = assigned.groupBy(key).agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    d = d.agg(F.count("*").alias("n_documents"), F.count_if(F.col("n") != F.col("end")).alias("not_whole"), F.count_if((F.col("parts") > 1) & (F.col("n") <= capacity)).alias("cut_without_need"))
+    return _side_by_side(d, w)
+
+
+def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of one row as one row."""
+    return a.withColumn("one", F.lit(1)).join(b.withColumn("one", F.lit(1)), "one").drop("one")

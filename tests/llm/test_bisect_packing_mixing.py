@@ -117,6 +117,8 @@ def test_quotas():
     plan, tau = mixing.solve([("a", 0.5, 1, 1000), ("b", 0.5, 3, 100)], budget=1000)
     assert 0 < tau < 1 and math.isclose(sum(p.quota for p in plan), 1000, rel_tol=1e-6) and all(p.quota <= p.repeats * p.tokens * (1 + 1e-9) for p in plan)
     assert mixing.solve([("a", 0.5, 1, 1000), ("b", 0.5, 3, 100)], budget=100)[1] == 1.0
+    q = {p.source: p.quota for p in mixing.solve([("a", 0.5, 1, 1000), ("b", 0.25, 3, 100), ("c", 0.25, 0, 500)])[0]}
+    assert q["c"] == 0 and math.isclose(q["a"], 600) and math.isclose(q["b"], 300)  # one source without repeats empties no other
 
 
 def test_mixture_keeps_targets_and_repeats(spark):
@@ -126,16 +128,26 @@ def test_mixture_keeps_targets_and_repeats(spark):
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 4), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
     items = mixing.counted(df, targets)
     plan, _ = mixing.quotas(items, targets)
-    got = mixing.realise(items, plan, block_tokens=500).toPandas()
+    got = mixing.realise(items, plan, blocks=8).toPandas()
     assert not got.duplicated(["doc_id", "pass_no"]).any()
     assert got[got.source == "small"].pass_no.max() <= 4 and got[got.source == "big"].pass_no.max() == 1
     share = got.groupby("source").n_tokens.sum() / got.n_tokens.sum()
     assert abs(share["big"] - 2 / 3) < 0.02 and set(share.index) == {"big", "small"}
     report = {r.source: r for r in mixing.shares(df, targets).collect()}
     assert report["gone"].mixed_tokens == 0 and report["small"].most_repeats == 4
+    full = {r.source: r for r in mixing.shares(df, targets, budget=mixing.ALL).collect()}
+    assert 0 <= full["big"].tau < 1 and full["big"].most_repeats == 1 and full["small"].most_repeats <= 4
+    assert sum(r.mixed_tokens for r in full.values()) > sum(r.mixed_tokens for r in report.values())
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
+def test_quota_of_a_pass_is_met_between_documents(spark):
+    items = spark.createDataFrame([(i, "a", 3 + i % 5) for i in range(4000)], "doc_id long, source string, n_tokens int")
+    for left in (1.0, 2.9, 3.0, 77.0, 9001.0, 19_999.0):
+        got = mixing.realise(items, [mixing.Quota("a", 1.0, 20_000, 1, left)], blocks=8).toPandas()
+        assert got.n_tokens.sum() <= left and (left < 3 or got.n_tokens.sum() > left - 8) and not got.doc_id.duplicated().any()
+
+
 @pytest.mark.parametrize("text,n", [("", 0), (None, 0)])
 def test_counts_of_nothing(spark, text, n):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
