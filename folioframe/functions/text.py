@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 CM_PER_PIXEL = 2.54 / 96
 
@@ -21,6 +21,15 @@ def nfc(c: str | Column) -> Column:
     return F.pandas_udf(_nfc, StringType())(c)
 
 
+def _nfc_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda ts: None if ts is None else [t if not t or t.isascii() else unicodedata.normalize("NFC", t) for t in ts])
+
+
+def nfc_each(c: str | Column) -> Column:
+    """Unicode NFC of every text of an array."""
+    return F.pandas_udf(_nfc_each, ArrayType(StringType()))(c)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -59,6 +68,11 @@ def band(y: Column, height: int = 5) -> Column:
     return (F.bround(y / height) * height).cast("int")
 
 
+def scale_factor(width_cm: Column, width_px: Column) -> Column:
+    """How much smaller a page is drawn than its pixels at 96 to the inch; null for a page without width."""
+    return F.try_divide(width_cm, width_px * CM_PER_PIXEL)
+
+
 def pixels_to_cm(px: Column) -> Column:
     return px * CM_PER_PIXEL * 0.5
 

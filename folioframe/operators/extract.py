@@ -23,11 +23,12 @@ def page_parts(p: Column) -> Column:
 
 def pages_text(pages: Column) -> Column:
     """Pages in order of their number, each under its marker; pages of one number are joined, empty ones left out."""
-    rows = F.transform(F.coalesce(pages, F.array()), lambda p, i: F.struct(F.coalesce(p["page_number"], F.lit(1)).alias("n"), i.alias("i"), page_parts(p).alias("parts")))
-    numbers = F.array_sort(F.array_distinct(F.transform(rows, lambda r: r["n"])))
-    of = lambda n: F.flatten(F.transform(F.filter(rows, lambda r: r["n"] == n), lambda r: r["parts"]))
-    kept = F.filter(numbers, lambda n: F.size(of(n)) > 0)
-    return F.array_join(F.transform(kept, lambda n: F.concat(F.lit("\n\n----- Page "), n.cast("string"), F.lit(" -----\n\n"), F.array_join(of(n), "\n\n"))), "\n")
+    rows = F.transform(F.coalesce(pages, F.array()), lambda p, i: F.struct(F.coalesce(p["page_number"], F.lit(1)).alias("n"), i.alias("i"), F.array_join(page_parts(p), "\n\n").alias("t"), F.size(page_parts(p)).alias("k")))
+    rows = F.array_sort(F.filter(rows, lambda r: r["k"] > 0))
+    before = F.concat(F.array(F.lit(-1)), F.transform(rows, lambda r: r["n"]))  # the number of the page before
+    head = lambda r, n: F.concat(F.when(n["i"] > 0, F.lit("\n")).otherwise(""), F.lit("\n\n----- Page "), r["n"].cast("string"), F.lit(" -----\n\n"))
+    last = F.transform(F.slice(before, 1, F.greatest(F.size(before) - 1, F.lit(0))), lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    return F.array_join(F.zip_with(rows, last, lambda r, n: F.concat(F.when((n["i"] > 0) & (n["n"] == r["n"]), F.lit("\n\n")).otherwise(head(r, n)), r["t"])), "")
 
 
 def document_text(envelopes: DataFrame) -> DataFrame:
@@ -51,8 +52,8 @@ def layout_text(pages: Column) -> Column:
 
 
 def page_content(p: Column) -> Column:
-    """A page's content for headings: block texts, or paragraph texts where it has no blocks at all."""
-    texts = lambda arr: F.array_join(F.filter(F.transform(arr, lambda e: e["text"]), lambda t: t.isNotNull() & (t != "")), "\n\n")
+    """A page's content for headings: block texts, or paragraph texts where it has no blocks at all; null without any."""
+    texts = lambda arr: F.nullif(F.array_join(F.filter(F.transform(arr, lambda e: e["text"]), lambda t: T.strip(t) != ""), "\n\n"), F.lit(""))
     return F.when(p["blocks"].isNotNull(), texts(p["blocks"])).otherwise(texts(p["paragraphs"]))
 
 
@@ -60,3 +61,15 @@ def anchored(text: Column, segments: Column, sep: str = "") -> Column:
     """The parts of a text that anchor segments [begin, stop) name, empty and reversed segments left out."""
     live = F.filter(segments, lambda s: s["begin"] < s["stop"])
     return F.array_join(F.transform(live, lambda s: F.substring(text, s["begin"] + 1, s["stop"] - s["begin"])), sep)
+
+
+def anchored_nfc(text: Column, segments: Column) -> Column:
+    """The segments' parts joined by one space, each part and the whole in NFC."""
+    live = F.filter(segments, lambda s: s["begin"] < s["stop"])
+    return T.nfc(F.array_join(T.nfc_each(F.transform(live, lambda s: F.substring(text, s["begin"] + 1, s["stop"] - s["begin"]))), " "))
+
+
+def first_segment(text: Column, segments: Column) -> Column:
+    """The part that the first anchor segment alone names; null without a segment or for an empty one."""
+    s = F.get(segments, F.lit(0))
+    return F.nullif(F.when(s["begin"] < s["stop"], F.substring(text, s["begin"] + 1, s["stop"] - s["begin"])), F.lit(""))

@@ -29,9 +29,30 @@ def backoff(attempt: Column, initial: float = 1.0, factor: float = 2.0, most: fl
     return F.least(F.lit(initial) * F.pow(F.lit(factor), attempt), F.lit(most))
 
 
-def recoverable(message: Column) -> Column:
-    """Whether an error's message suggests that trying again helps."""
-    return F.coalesce(F.lower(message).rlike("timeout|temporary|connection|network|unavailable|retry|rate limit"), F.lit(False))
+# What an error's message holds where trying again helps.
+RECOVERABLE = ("timeout", "temporary", "rate limit", "too many requests", "retry", "try again", "server busy")
+
+
+def recoverable(message: Column, kind: Column | None = None) -> Column:
+    """Whether an error's message, or its kind (a connection or timeout error), suggests that trying again helps."""
+    said = F.coalesce(F.lower(message).rlike("|".join(RECOVERABLE)), F.lit(False))
+    return said if kind is None else said | F.coalesce(kind.isin("ConnectionError", "TimeoutError"), F.lit(False))
+
+
+def conversion_method(n_bytes: Column) -> Column:
+    """How a record of this size is converted: regular up to 5 MiB, else large_file."""
+    return F.when(n_bytes <= 5 * MIB, "regular").otherwise("large_file")
+
+
+def stale(name: Column, modified: Column, now: Column, hours: float = 24) -> Column:
+    """Whether a file is a temporary PDF that was last changed over `hours` ago."""
+    old = now.cast("double") - modified.cast("double") > hours * 3600
+    return F.coalesce(F.regexp_like(name, F.lit(r"^tmp.*pdf$")) & old, F.lit(False))
+
+
+def job_status(error_kind: Column) -> Column:
+    """What a failed request means by the kind of its error: the request itself, a missing processor, or the service."""
+    return F.when(error_kind.isNull(), "ok").when(error_kind == "InvalidArgument", "invalid_argument").when(error_kind == "NotFound", "processor_not_found").otherwise("failed")
 
 
 def read_mode(n_bytes: Column) -> Column:

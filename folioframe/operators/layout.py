@@ -1,4 +1,8 @@
-"""Positioned elements of pages: reading order, bands, extents, classification and indentation."""
+"""Positioned elements of pages: reading order, bands, extents, classification and indentation.
+
+A page's lines lie in the page's own row, so order, extents, footnote start, page number and indent clusters are computed
+there, in array expressions; the one shuffle drops pages that were delivered again.
+"""
 
 from __future__ import annotations
 
@@ -14,37 +18,63 @@ INDENT_GAP = 50
 WIDE = "０１２３４５６７８９"
 
 
+def page_lines(envelopes: DataFrame) -> DataFrame:
+    """(page keys, has_dim, width, height, lines): each page once, with its lines that have text and a polygon in reading order.
+
+    `page` holds what follows from all lines of the page: its lowest vertex, the last vertex's extents, the rank of the
+    first footnote, the number read from it, and the indent clusters.
+    """
+    p = nested.with_files(envelopes).select("env_id", "file_idx", F.posexplode("pages").alias("page_idx", "p")).where("p is not null")
+    raw = F.transform("p.lines", lambda e, i: F.struct(i.cast("int").alias("elem_idx"), e["text"].alias("text"), F.coalesce(e["layout"]["confidence"], F.lit(0.0)).alias("confidence"), e["layout"]["bounding_poly"]["vertices"].alias("vertices")))
+    kept = F.coalesce(F.filter(raw, lambda r: (F.size(r["vertices"]) > 0) & (T.strip(r["text"]) != "")), F.array())
+    once = p.select(*PAGE, F.col("p.dimension").isNotNull().alias("has_dim"), F.col("p.dimension.width").alias("dim_width"), F.col("p.dimension.height").alias("dim_height"), kept.alias("raw")).distinct()
+    v = lambda r, i, k: F.try_element_at(r["vertices"], F.lit(i))[k]
+
+    def line(r: Column, t: Column) -> Column:
+        x, y = F.coalesce(v(r, 1, "x"), F.lit(0.0)), F.coalesce(v(r, 1, "y"), F.lit(0.0))
+        wide = F.when(F.size(r["vertices"]) > 1, F.coalesce(v(r, 2, "x"), x) - x).otherwise(0.0)
+        high = F.when(F.size(r["vertices"]) > 2, F.coalesce(v(r, 3, "y"), y) - y).otherwise(0.0)
+        return F.struct(y.alias("y"), x.alias("x"), r["elem_idx"].alias("elem_idx"), t.alias("text"), r["confidence"].alias("confidence"), r["vertices"].alias("vertices"), wide.alias("width"), high.alias("height"))
+
+    texts = T.nfc_each(F.transform("raw", lambda r: r["text"]))
+    rows = once.withColumn("texts", texts).select(*PAGE, "has_dim", "dim_width", "dim_height", F.array_sort(F.zip_with("raw", "texts", line)).alias("lines"))
+    last = lambda r, k: F.coalesce(F.element_at(r["vertices"], -1)[k], F.lit(0.0))
+    lowest = F.greatest(F.lit(0.0), F.array_max(F.flatten(F.transform("lines", lambda r: F.transform(r["vertices"], lambda q: F.coalesce(q["y"], F.lit(0.0)))))))
+    rows = rows.withColumn("lowest", lowest)
+
+    def note(r: Column, i: Column) -> Column:
+        gap = F.coalesce(F.element_at(r["vertices"], 1)["y"], F.lit(0.0)) - last(F.get("lines", i - 1), "y")
+        return F.when((i > 0) & (r["y"] > F.col("lowest") * 0.75) & (gap > 20) & T.is_footnote_marker(r["text"]), i)
+
+    numbers = F.filter(F.transform(F.slice("lines", 1, 10), lambda r: _number(r["text"])), lambda n: n.isNotNull())
+    facts = F.struct(
+        "lowest", F.array_max(F.transform("lines", lambda r: last(r, "x"))).alias("far_x"), F.array_max(F.transform("lines", lambda r: last(r, "y"))).alias("far_y"),
+        F.array_min(F.transform("lines", note)).cast("int").alias("footnote_start"), F.get(numbers, F.lit(0)).alias("page_number"), clusters(F.transform("lines", lambda r: r["x"])).alias("centres"),
+    )
+    return rows.select(*PAGE, "has_dim", "dim_width", "dim_height", "lines", facts.alias("page"))
+
+
 def positioned(envelopes: DataFrame) -> DataFrame:
-    """Lines with text and a polygon, with position, size and reading rank (by y, x, place in the page)."""
-    v = lambda i: F.try_element_at("vertices", F.lit(i))
-    lines = nested.elements(envelopes).where("elem_level = 'line' and size(vertices) > 0").where(T.strip(F.col("text")) != "")
-    x, y = F.coalesce(v(1)["x"], F.lit(0.0)), F.coalesce(v(1)["y"], F.lit(0.0))
-    out = lines.select(
-        *PAGE,
-        "elem_idx",
-        T.nfc("text").alias("text"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        "vertices",
-        x.alias("x"),
-        y.alias("y"),
-        F.when(F.size("vertices") > 1, F.coalesce(v(2)["x"], x) - x).otherwise(0.0).alias("width"),
-        F.when(F.size("vertices") > 2, F.coalesce(v(3)["y"], y) - y).otherwise(0.0).alias("height"),
-    )
-    order = Window.partitionBy(*PAGE).orderBy("y", "x", "elem_idx")
-    return out.withColumn("reading_rank", (F.row_number().over(order) - 1).cast("int"))
+    """Lines with text and a polygon, with position, size, reading rank (by y, x, place in the page) and their page's facts."""
+    rows = page_lines(envelopes).select(*PAGE, "page", F.posexplode("lines").alias("reading_rank", "r"))
+    return rows.select(*PAGE, *(f"r.{c}" for c in ("elem_idx", "text", "confidence", "vertices", "x", "y", "width", "height")), "reading_rank", "page")
 
 
-def page_extents(envelopes: DataFrame, lines: DataFrame | None = None, default_cm: tuple[float, float] | None = None) -> DataFrame:
+def page_extents(envelopes: DataFrame, default_cm: tuple[float, float] | None = None) -> DataFrame:
     """Pixel and centimetre sizes: the declared dimension, else the largest last vertex, else 1000 × 1400 (or `default_cm`)."""
-    lines = positioned(envelopes) if lines is None else lines
-    far = lines.groupBy(*PAGE).agg(F.max(F.coalesce(F.element_at("vertices", -1)["x"], F.lit(0.0))).alias("far_x"), F.max(F.coalesce(F.element_at("vertices", -1)["y"], F.lit(0.0))).alias("far_y"))
-    p = nested.pages(envelopes).join(far, PAGE, "left")
-    declared = F.instr("variant", "dim") == 1
-    w = F.when(declared, F.coalesce("width", F.lit(1000.0)).cast("int").cast("double")).otherwise(F.coalesce("far_x", F.lit(1000.0)))
-    h = F.when(declared, F.coalesce("height", F.lit(1400.0)).cast("int").cast("double")).otherwise(F.coalesce("far_y", F.lit(1400.0)))
-    out = p.select(*PAGE, w.alias("width_px"), h.alias("height_px"), (declared | F.col("far_x").isNotNull()).alias("known"))
-    cm = lambda c, i: T.pixels_to_cm(F.col(c)) if default_cm is None else F.when(F.col("known"), T.pixels_to_cm(F.col(c))).otherwise(F.lit(default_cm[i]))
-    return out.select(*PAGE, "width_px", "height_px", cm("width_px", 0).alias("width_cm"), cm("height_px", 1).alias("height_cm"))
+    return page_lines(envelopes).select(*PAGE, *extents(default_cm))
+
+
+def extents(default_cm: tuple[float, float] | None = None) -> list[Column]:
+    """The sizes of a row of `page_lines`."""
+    known = F.col("has_dim") | F.col("page.far_x").isNotNull()
+
+    def px(declared: str, far: str, least: float) -> Column:
+        return F.when(F.col("has_dim"), F.coalesce(declared, F.lit(least)).cast("int").cast("double")).otherwise(F.coalesce(far, F.lit(least)))
+
+    w, h = px("dim_width", "page.far_x", 1000.0), px("dim_height", "page.far_y", 1400.0)
+    cm = lambda c, i: T.pixels_to_cm(c) if default_cm is None else F.when(known, T.pixels_to_cm(c)).otherwise(F.lit(default_cm[i]))
+    return [w.alias("width_px"), h.alias("height_px"), cm(w, 0).alias("width_cm"), cm(h, 1).alias("height_cm")]
 
 
 def bands(lines: DataFrame) -> DataFrame:
@@ -55,24 +85,24 @@ def bands(lines: DataFrame) -> DataFrame:
 
 def footnote_starts(lines: DataFrame) -> DataFrame:
     """Per page with footnotes: rank of the first line in the lowest quarter, below a gap of over 20, with a footnote marker."""
-    page = Window.partitionBy(*PAGE)
-    order = page.orderBy("reading_rank")
-    h = F.greatest(F.lit(0.0), F.max(F.array_max(F.transform("vertices", lambda v: F.coalesce(v["y"], F.lit(0.0))))).over(page))
-    gap = F.coalesce(F.element_at("vertices", 1)["y"], F.lit(0.0)) - F.lag(F.coalesce(F.element_at("vertices", -1)["y"], F.lit(0.0))).over(order)
-    return lines.withColumn("page_height", h).withColumn("gap", gap).where((F.col("y") > F.col("page_height") * 0.75) & (F.col("gap") > 20) & T.is_footnote_marker(F.col("text"))).groupBy(*PAGE).agg(F.min("reading_rank").alias("footnote_start"))
+    return lines.where("reading_rank = page.footnote_start").select(*PAGE, F.col("page.footnote_start").alias("footnote_start"))
 
 
-def classified(lines: DataFrame) -> DataFrame:
-    """Each line's type: page_number, header, reference, footnote or line, the first that holds."""
-    t = T.strip(F.col("text"))
-    kind = (
-        F.when((F.col("reading_rank") == 0) & T.is_digits(t), "page_number")
+def line_type(text: Column, rank: Column, footnote_start: Column) -> Column:
+    """A line's type: page_number, header, reference, footnote or line, the first that holds."""
+    t = T.strip(text)
+    return (
+        F.when((rank == 0) & T.is_digits(t), "page_number")
         .when(T.is_upper(t) & (F.length(t) > 3), "header")
         .when(T.is_reference(t), "reference")
-        .when(F.col("reading_rank") >= F.col("footnote_start"), "footnote")
+        .when(rank >= footnote_start, "footnote")
         .otherwise("line")
     )
-    return lines.join(footnote_starts(lines), PAGE, "left").withColumn("elem_type", kind).drop("footnote_start")
+
+
+def classified(lines: DataFrame) -> DataFrame:
+    """Each line's type."""
+    return lines.withColumn("elem_type", line_type(F.col("text"), F.col("reading_rank"), F.col("page.footnote_start")))
 
 
 def plain_type(line: Column) -> Column:
@@ -81,15 +111,19 @@ def plain_type(line: Column) -> Column:
     return F.when(T.is_upper(t) & (F.length(line) > 3), "header").when(T.is_digits(t) & (F.length(line) <= 2), "page_number").otherwise("line")
 
 
+def _number(text: Column) -> Column:
+    """The first number of one or two digits in a line, null without one."""
+    nums = F.filter(F.regexp_extract_all(T.strip(text), F.lit(r"(?U)\b\d+\b"), F.lit(0)), lambda n: (F.length(n) <= 2) & (F.translate(n, WIDE, "0123456789").try_cast("int") > 0))
+    return F.translate(F.get(nums, F.lit(0)), WIDE, "0123456789").try_cast("int")
+
+
 def detected_page_numbers(lines: DataFrame) -> DataFrame:
     """The page number read from a page: the first number of one or two digits in its first ten lines, else none."""
-    nums = F.filter(F.regexp_extract_all(T.strip(F.col("text")), F.lit(r"(?U)\b\d+\b"), F.lit(0)), lambda n: (F.length(n) <= 2) & (F.translate(n, WIDE, "0123456789").try_cast("int") > 0))
-    first = lines.where("reading_rank < 10").withColumn("number", F.translate(F.get(nums, F.lit(0)), WIDE, "0123456789").try_cast("int"))
-    return first.groupBy(*PAGE).agg(F.min_by("number", F.when(F.col("number").isNotNull(), F.col("reading_rank"))).alias("page_number"))
+    return lines.where("reading_rank = 0").select(*PAGE, "page.page_number")
 
 
-def indent_centres(lines: DataFrame, gap: float = INDENT_GAP) -> DataFrame:
-    """Indent clusters of a page: distinct positions in order join a cluster while nearer than `gap` to its running mean."""
+def clusters(values: Column, gap: float = INDENT_GAP) -> Column:
+    """Clusters of positions: distinct ones in order join a cluster while nearer than `gap` to its running mean."""
     start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(0.0).alias("s"), F.lit(0).alias("n"))
 
     def step(a: Column, x: Column) -> Column:
@@ -98,14 +132,23 @@ def indent_centres(lines: DataFrame, gap: float = INDENT_GAP) -> DataFrame:
         closed = F.struct(F.when(a["n"] > 0, F.array_append(a["done"], a["s"] / a["n"])).otherwise(a["done"]).alias("done"), x.alias("s"), F.lit(1).alias("n"))
         return F.when(joins, grown).otherwise(closed)
 
-    centres = F.aggregate(F.array_sort(F.collect_set("x")), start, step, lambda a: F.array_append(a["done"], a["s"] / a["n"]))
-    return lines.groupBy(*PAGE).agg(centres.alias("centres"))
+    return F.aggregate(F.array_sort(F.array_distinct(values)), start, step, lambda a: F.when(a["n"] > 0, F.array_append(a["done"], a["s"] / a["n"])).otherwise(a["done"]))
+
+
+def indent_centres(lines: DataFrame) -> DataFrame:
+    """The indent clusters of each page."""
+    return lines.where("reading_rank = 0").select(*PAGE, "page.centres")
+
+
+def nearest(x: Column, centres: Column) -> Column:
+    """The place of the nearest centre, the first on a tie."""
+    away = F.transform(centres, lambda c: F.abs(x - c))
+    return (F.array_position(away, F.array_min(away)) - 1).cast("int")
 
 
-def indented(lines: DataFrame, gap: float = INDENT_GAP) -> DataFrame:
+def indented(lines: DataFrame) -> DataFrame:
     """Lines with the level of the nearest indent cluster, the first on a tie."""
-    away = F.transform("centres", lambda c: F.abs(F.col("x") - c))
-    return lines.join(indent_centres(lines, gap), PAGE).withColumn("indent_level", (F.array_position(away, F.array_min(away)) - 1).cast("int")).drop("centres")
+    return lines.withColumn("indent_level", nearest(F.col("x"), F.col("page.centres")))
 
 
 def bounding_box(vertices: Column) -> Column:

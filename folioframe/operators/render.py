@@ -31,35 +31,43 @@ HEAD = "\n".join(
 )
 
 
-def hundredths(px: str) -> Column:
+def hundredths(px: str | Column) -> Column:
     """Pixels as centimetres with two decimals, half up, in exact arithmetic: a pixel has 127 / 96 hundredths."""
-    return F.format_string("%.2f", F.floor((F.col(px) * 254 + 96) / 192) / 100)
+    c = F.col(px) if isinstance(px, str) else px
+    return F.format_string("%.2f", F.floor((c * 254 + 96) / 192) / 100)
 
 
 def academic_pages(envelopes: DataFrame) -> DataFrame:
-    """(env_id, file_idx, page_idx, markdown): headings by detected page number, bands, indents, typed lines, footnotes last."""
-    lines = layout.positioned(envelopes)
-    typed = layout.bands(layout.classified(layout.indented(lines)))
-    t = T.strip(F.col("text"))
-    pad = F.repeat(F.lit(" "), F.col("indent_level") * 2)
-    shown = (
-        F.when(F.col("elem_type") == "page_number", F.concat(pad, F.lit("**"), t, F.lit("**")))
-        .when(F.col("elem_type") == "header", F.concat(F.lit("\n## "), t, F.lit("\n")))
-        .when(F.col("elem_type") == "reference", F.concat(pad, F.lit("> "), t))
-        .when(F.col("elem_type") == "footnote", F.concat(F.lit("   "), t))
-        .otherwise(F.concat(pad, t))
-    )
-    note = F.col("elem_type") == "footnote"
-    item = F.struct("band_rank", shown.alias("s"))
-    rows = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, item))), lambda x: x["s"])
-    per_band = typed.groupBy(*layout.PAGE, "band").agg(rows(~note).alias("main"), rows(note).alias("notes"))
-    ordered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("band", F.col(c).alias("v")))), lambda x: x["v"]))
-    body = per_band.withColumn("main", F.concat("main", F.array(F.lit("")))).groupBy(*layout.PAGE).agg(F.array_join(ordered("main"), "\n").alias("main"), ordered("notes").alias("notes"))
-    p = layout.page_extents(envelopes, lines).join(body, layout.PAGE, "left").join(layout.detected_page_numbers(lines), layout.PAGE, "left")
+    """(env_id, file_idx, page_idx, markdown): headings by detected page number, bands, indents, typed lines, footnotes last.
+
+    All of it is told from the page's own row.
+    """
+    pages = layout.page_lines(envelopes)
+
+    def line(r: Column, i: Column) -> Column:
+        t, kind = T.strip(r["text"]), layout.line_type(r["text"], i, F.col("page.footnote_start"))
+        pad = F.repeat(F.lit(" "), layout.nearest(r["x"], F.col("page.centres")) * 2)
+        shown = (
+            F.when(kind == "page_number", F.concat(pad, F.lit("**"), t, F.lit("**")))
+            .when(kind == "header", F.concat(F.lit("\n## "), t, F.lit("\n")))
+            .when(kind == "reference", F.concat(pad, F.lit("> "), t))
+            .when(kind == "footnote", F.concat(F.lit("   "), t))
+            .otherwise(F.concat(pad, t))
+        )
+        return F.struct(T.band(r["y"]).alias("band"), r["x"].alias("x"), i.alias("i"), (kind == "footnote").alias("note"), shown.alias("s"))
+
+    rows = pages.withColumn("items", F.array_sort(F.transform("lines", line)))
+    # a band ends with an empty line
+    body = F.flatten(F.transform("items", lambda r, i: F.concat(
+        F.when(r["note"], F.array().cast("array<string>")).otherwise(F.array(r["s"])),
+        F.when(F.coalesce(F.get("items", i + 1)["band"] == r["band"], F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit(""))),
+    )))
+    notes = F.transform(F.filter("items", lambda r: r["note"]), lambda r: r["s"])
+    rows = rows.select(*layout.PAGE, *layout.extents(), F.col("page.page_number").alias("page_number"), F.array_join(body, "\n").alias("main"), notes.alias("notes"))
     number = F.coalesce(F.nullif("page_number", F.lit(0)), F.col("page_idx") + 1).cast("string")
     size = F.concat(F.lit("<!-- Page dimensions: "), hundredths("width_px"), F.lit("cm x "), hundredths("height_px"), F.lit("cm -->\n"))
-    notes = F.when(F.size("notes") > 0, F.concat(F.lit("\n---\n\n*Footnotes:*\n\n"), F.array_join("notes", "\n")))
-    return p.select(*layout.PAGE, F.concat_ws("\n", F.concat(F.lit("# Page "), number, F.lit("\n")), size, F.coalesce("main", F.lit("")), notes, F.lit("\n\n---\n")).alias("markdown"))
+    foot = F.when(F.size("notes") > 0, F.concat(F.lit("\n---\n\n*Footnotes:*\n\n"), F.array_join("notes", "\n")))
+    return rows.select(*layout.PAGE, F.concat_ws("\n", F.concat(F.lit("# Page "), number, F.lit("\n")), size, "main", foot, F.lit("\n\n---\n")).alias("markdown"))
 
 
 def academic_markdown(envelopes: DataFrame) -> DataFrame:
@@ -76,9 +84,8 @@ def plain_markdown(lines: Column) -> Column:
 
 def positioned_html(envelopes: DataFrame) -> DataFrame:
     """(env_id, file_idx, page_idx, html): lines as absolutely positioned boxes in centimetres (opt-in rendering)."""
-    lines = layout.positioned(envelopes)
-    box = F.concat(F.lit('<div style="position:absolute;left:'), hundredths("x"), F.lit("cm;top:"), hundredths("y"), F.lit('cm">'), T.html_escape_quotes(T.strip(F.col("text"))), F.lit("</div>"))
-    return lines.groupBy(*layout.PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_rank", box.alias("h")))), lambda x: x["h"]), "\n").alias("html"))
+    box = lambda r: F.concat(F.lit('<div style="position:absolute;left:'), hundredths(r["x"]), F.lit("cm;top:"), hundredths(r["y"]), F.lit('cm">'), T.html_escape_quotes(T.strip(r["text"])), F.lit("</div>"))
+    return layout.page_lines(envelopes).where("size(lines) > 0").select(*layout.PAGE, F.array_join(F.transform("lines", box), "\n").alias("html"))
 
 
 def markdown_to_html(markdown: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +31,11 @@ def robust_medians(df: DataFrame, keys: list[str], value: str, threshold: float
     return kept.groupBy(*keys).agg(F.first("n").cast("int").alias("n"), F.median("kept").cast("int").alias("median"), F.first("n_far").cast("int").alias("n_outliers"))
 
 
-def consistency(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def consistency(df: DataFrame, keys: list[str], columns: list[str], *more: Column) -> DataFrame:
     """1 minus the mean coefficient of variation of the columns, within 0 and 1; 0.5 for fewer than three rows."""
     cv = [F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c)).otherwise(1.0) for c in columns]
     mean = sum(cv[1:], cv[0]) / len(cv)
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), mean.alias("mean_cv")).withColumn("confidence", F.when(F.col("n") < 3, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("mean_cv")))))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), mean.alias("mean_cv"), *more).withColumn("confidence", F.when(F.col("n") < 3, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("mean_cv")))))
 
 
 def low_runs(profile: DataFrame, keys: list[str], at: str, value: str, most: float, least: int) -> DataFrame:
@@ -57,3 +59,57 @@ def smoothed(profile: DataFrame, keys: list[str], at: str, value: str, kernel: t
     half = len(kernel) // 2
     terms = [w * F.coalesce(F.lag(value, half - i).over(order) if i != half else F.col(value), F.col(value)) for i, w in enumerate(kernel)]
     return profile.withColumn("smooth", sum(terms[1:], terms[0]))
+
+
+def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
+    """Weights of a Gaussian cut at `truncate` deviations, summing to one."""
+    r = int(truncate * sigma + 0.5)
+    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
+    return [x / sum(w) for x in w]
+
+
+def gaussian(profile: DataFrame, keys: list[str], at: str, value: str, sigma: float) -> DataFrame:
+    """(keys, at, smooth): a profile under a Gaussian; past its ends it is mirrored, the end value repeated.
+
+    A profile is as long as a page has strips, so one profile is one row.
+    """
+    w = gaussian_kernel(sigma)
+    r, n = len(w) // 2, F.size("v")
+    rows = profile.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).cast("double").alias("v")))).alias("p"))
+    rows = rows.select(*keys, F.transform("p", lambda x: x["at"]).alias("at"), F.transform("p", lambda x: x["v"]).alias("v"))
+
+    def mirrored(j: Column) -> Column:
+        m = F.pmod(j, 2 * n)
+        return F.get("v", F.least(m, 2 * n - 1 - m).cast("int"))
+
+    smooth = F.transform("at", lambda a, i: F.struct(a.alias("at"), sum((mirrored(i + (k - r)) * x for k, x in enumerate(w)), F.lit(0.0)).alias("smooth")))
+    return rows.select(*keys, F.explode(smooth).alias("s")).select(*keys, F.col("s.at").alias(at), "s.smooth")
+
+
+def gradient(profile: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """(keys, at, gradient): half the difference of the neighbours, at the ends the difference to the only one."""
+    order = Window.partitionBy(*keys).orderBy(at)
+    before, after, v = F.lag(value).over(order), F.lead(value).over(order), F.col(value)
+    g = F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2)
+    return profile.select(*keys, at, g.alias("gradient"))
+
+
+def transitions(slopes: DataFrame, keys: list[str], at: str, threshold: float) -> DataFrame:
+    """(keys, at): where a gradient passes the threshold from below."""
+    was = F.lag("gradient").over(Window.partitionBy(*keys).orderBy(at))
+    return slopes.withColumn("was", was).where((F.col("gradient") > threshold) & F.coalesce(F.col("was") <= threshold, F.lit(True))).select(*keys, at)
+
+
+def extract_template(measures: DataFrame, keys: list[str], columns: list[str], confidence: list[str], threshold: float = 2.0) -> DataFrame:
+    """One row per document: the robust median of every measured column, pages analysed and confidence of consistency."""
+    long = measures.select(*keys, F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))).alias("zone", "v"))
+    medians = robust_medians(long, [*keys, "zone"], "v", threshold)
+    wide = medians.groupBy(*keys).pivot("zone", columns).agg(F.first("median"))
+    sure = consistency(measures, keys, confidence).select(*keys, F.col("n").alias("pages_analysed"), "confidence")
+    return sure.join(wide, keys, "left")
+
+
+def cache_key(sizes: Column, n: Column, dpi: int = 300) -> Column:
+    """The key of a document's template: a digest of its page count and the sizes of its first ten pages."""
+    page = lambda p: F.concat(F.lit(f'{{"dpi": {dpi}, "height": '), F.coalesce(p["height"].cast("int").cast("string"), F.lit("null")), F.lit(', "width": '), F.coalesce(p["width"].cast("int").cast("string"), F.lit("null")), F.lit("}"))
+    return F.sha2(F.concat(F.lit('{"count": '), n.cast("string"), F.lit(', "pages": ['), F.array_join(F.transform(F.slice(sizes, 1, 10), page), ", "), F.lit("]}")), 256)

@@ -31,12 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    The folder named by the session is used; only where none is named (local tests) one is set.
+    The folder named by the session is used; where none is named one is set in local mode only (tests).  On a cluster a
+    machine's own folder would be lost with the machine, so there the missing setting is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "folioframe-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "folioframe-checkpoints"))
     return df.checkpoint(eager=True)
 
 

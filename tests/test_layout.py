@@ -104,3 +104,39 @@ def test_jobs(spark):
     assert one(spark, jobs.endpoint(F.col("a"), "host"), a=" EU ") == "eu-host"
     runs = spark.createDataFrame([(1, i, "ok") for i in range(4)] * 2, "job_id long, run_id long, status string")
     assert [r.percent for r in jobs.progress(runs).orderBy("run_id").collect()] == [25, 50, 75, 100]
+    e = spark.createDataFrame([("Connection reset",), ("Server BUSY",), ("try again later",), ("HTTP 500",), (None,)], "e string")
+    assert [r.x for r in e.select(jobs.recoverable(F.col("e")).alias("x")).collect()] == [False, True, True, False, False]
+    assert spark.range(1).select(jobs.recoverable(F.lit("x"), F.lit("TimeoutError")).alias("x")).first().x
+    assert [one(spark, jobs.conversion_method(F.lit(n))) for n in (5 * 2**20, 5 * 2**20 + 1)] == ["regular", "large_file"]
+    assert [one(spark, jobs.read_mode(F.lit(n * 2**20))) for n in (4, 5, 50)] == ["standard", "chunked", "streaming"] and [one(spark, jobs.chunk_pages(F.lit(n * 2**20))) for n in (50, 51, 101)] == [10, 7, 5]
+    ago = lambda h: F.expr(f"timestamp'2024-01-03 00:00:00' - interval {h} hours")
+    assert [one(spark, jobs.stale(F.lit(n), ago(h), ago(0))) for n, h in (("tmpab.pdf", 25), ("tmpab.pdf", 24), ("book.pdf", 99))] == [True, False, False]
+    assert [one(spark, jobs.job_status(F.lit(k).cast("string"))) for k in (None, "InvalidArgument", "NotFound", "Other")] == ["ok", "invalid_argument", "processor_not_found", "failed"]
+
+
+def test_profiles(spark):
+    prof = spark.createDataFrame([(1, i, v) for i, v in enumerate((0.0, 0.0, 10.0, 0.0, 4.0))] + [(2, 7, 3.0)], "k long, i int, v double")
+    w, v = template.gaussian_kernel(1.0), (0.0, 0.0, 10.0, 0.0, 4.0)
+    assert len(w) == 9 and abs(sum(w) - 1) < 1e-12
+    wide = [*v[::-1], *v, *v[::-1]]
+    want = [sum(x * wide[5 + i + k - 4] for k, x in enumerate(w)) for i in range(5)]
+    got = {(r.k, r.i): r.smooth for r in template.gaussian(prof, ["k"], "i", "v", 1.0).collect()}
+    assert all(abs(got[1, i] - x) < 1e-9 for i, x in enumerate(want)) and abs(got[2, 7] - 3) < 1e-9
+    g = template.gradient(prof, ["k"], "i", "v")
+    assert {(r.k, r.i): r.gradient for r in g.collect()} == {(1, 0): 0.0, (1, 1): 5.0, (1, 2): 0.0, (1, 3): -3.0, (1, 4): 4.0, (2, 7): 0.0}
+    assert {(r.k, r.i) for r in template.transitions(g, ["k"], "i", 3.0).collect()} == {(1, 1), (1, 4)}
+
+
+def test_positions_of_markers(spark):
+    text = "ab----- Page 1 -----x\u00e9y----- Page 22 -----"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k long, text string")
+    got = [(r.ord, r.begin, r.stop, r.body_end) for r in markers.spans(df, "k", markers.PAGE).orderBy("ord").collect()]
+    assert got == [(0, 2, 20, 23), (1, 23, 42, 42)] and len(text) == 42
+    nest = spark.createDataFrame([(1, "----- Page 9 -----\n--- Document 1: a (2 pages) ---\n--- Chunk 3 (Pages 1-2) ---\n----- Page 1 -----\n--- Document 2: b (1 pages) ---\n----- Page 2 -----")], "k long, text string")
+    assert [(r.document_no, r.chunk_no, r.page_number) for r in markers.nested_pages(nest, "k").orderBy("ord").collect()] == [(None, None, 9), (1, 3, 1), (2, None, 2)]
+
+
+def test_anchor_segments(spark):
+    df = spark.createDataFrame([("ae\u0301b", [(1, 3), (2, 2), (3, 1), (0, 1)]), ("x", []), ("xy", [(1, 1)])], "t string, s array<struct<begin:int,stop:int>>")
+    got = df.select(extract.anchored(F.col("t"), F.col("s")).alias("a"), extract.anchored_nfc(F.col("t"), F.col("s")).alias("b"), extract.first_segment(F.col("t"), F.col("s")).alias("c")).collect()
+    assert [tuple(r) for r in got] == [("e\u0301a", "\u00e9 a", "e\u0301"), ("", "", None), ("", "", None)]

@@ -1,7 +1,12 @@
 import json
+import time
+import zlib
 
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from folioframe import runtime
 from folioframe.operators import layout
 from folioframe.sources import records
 from folioframe.streaming import batch
@@ -76,3 +81,97 @@ def test_isolated_rows(spark):
     rows = spark.createDataFrame([(1,), (0,)], "n long")
     got = {r.n: r.status for r in batch.isolated(rows, lambda r: {"n": 1 // r["n"]}, "n long").collect()}
     assert got == {1: "ok", 0: "error: ZeroDivisionError: integer division or modulo by zero"}
+
+
+def test_where_json_breaks_and_envelopes(spark):
+    raw = spark.createDataFrame([("a", '{"x": 1,\n "y": }'), ("b", "{}"), ("c", "[1]"), ("d", None), ("e", "")], "name string, payload string")
+    assert {(r.name, r.line, r.column) for r in records.broken_at(raw).collect()} == {("a", 2, 7), ("e", 1, 1)}
+    one = spark.range(1).select(records.envelope(F.lit("t"), F.struct(F.lit("f").alias("filename")), F.lit(None).cast("struct<text:string>"), F.lit("now")).alias("j")).first().j
+    assert json.loads(one) == {"text": "t", "timestamp": "now", "metadata": {"filename": "f"}}
+
+
+def test_pdf_pages(spark):
+    page = b"1 0 obj << /Type /Page >> endobj "
+    packed = b"9 0 obj << /Type /ObjStm /N 2 >> stream\n" + zlib.compress(b"<</Type/Page>> <</Type/Pages>> <</Type /Page /X 1>>") + b"\nendstream endobj "
+    df = spark.createDataFrame([("a", b"%PDF-1.4 " + page * 3 + b"<< /Type /Pages >>"), ("b", b"%PDF-1.5 " + page + packed), ("c", b"text"), ("d", None)], "path string, content binary")
+    assert {r.path: r.n_pages for r in records.page_counts(df).collect()} == {"a": 3, "b": 3, "c": None, "d": None}
+    assert {r.path: r.status for r in records.validated(df).collect()} == {"a": "ok", "b": "ok", "c": "not_pdf", "d": "empty"}
+
+
+def test_provider_errors_by_kind(spark):
+    files = spark.createDataFrame([("x/bad", b"1"), ("x/gone", b"2")], "path string, content binary")
+
+    class Strict(records.Provider):
+        def recognise(self, name, content):
+            raise records.InvalidArgument("pages") if name == "bad" else records.NotFound("processor")
+
+    assert {r.path: r.status for r in records.recognise(files, Strict()).collect()} == {"x/bad": "invalid_argument: pages", "x/gone": "processor_not_found: processor"}
+
+
+def test_settings_files(tmp_path):
+    assert records.detected(str(tmp_path)).endswith("config.yaml" if records.yaml else "config.json")
+    path = str(tmp_path / "config.json")
+    records.save_settings({"a": {"b": "\u00e9"}}, path)
+    assert records.load_settings(path) == {"a": {"b": "\u00e9"}} and records.detected(str(tmp_path)) == path
+    (tmp_path / "ENV").write_text("# c\nexport FOLIOFRAME_KEY='v 1'\nFOLIOFRAME_A=2\nOTHER=3\nbroken\n")
+    assert records.options(path, {"FOLIOFRAME_A": "5"}, env_path=str(tmp_path / "ENV")) == {"a": "5", "key": "v 1"}
+    (tmp_path / "list.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        records.load_settings(str(tmp_path / "list.json"))
+    if records.yaml:
+        records.save_settings({"a": [1, 2]}, str(tmp_path / "config.yaml"))
+        assert records.load_settings(str(tmp_path / "config.yaml")) == {"a": [1, 2]} and records.detected(str(tmp_path)).endswith(".yaml")
+
+
+def test_reconstruction_job(spark, tmp_path):
+    line = {"text": "Body", "layout": {"text": "Body", "bounding_poly": {"vertices": [{"x": 1, "y": 1}, {"x": 5, "y": 1}, {"x": 5, "y": 3}]}}}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"document_data": {"pages": [{"page_number": 1, "lines": [line]}]}}))
+    (tmp_path / "in" / "b.json").write_text(json.dumps({"files": [], "text": "plain"}))
+    (tmp_path / "in" / "c.json").write_text("{")
+    got = {r["name"]: r.status for r in records.reconstruct(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()}
+    assert got == {"a": "ok", "b": "fallback"} and "Body" in (tmp_path / "out" / "a.md").read_text() and (tmp_path / "out" / "b.md").read_text() == "plain"
+
+
+def test_page_stream_emits_and_signals(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"document_data": {"pages": [{"page_number": 1, "text": f"p{i}"}, {"page_number": 2}]}}))
+    told, seen = [], []
+    signals = batch.Signals(lambda *x: told.append(x))
+    spark.streams.addListener(signals)
+    pages = records.stream_pages(spark, str(tmp_path / "in")).select("path", F.col("page.text").alias("text")).where("text is not null")
+    q = batch.emit(pages, "path", "text", lambda df, n: seen.extend(r.text for r in df.collect()), str(tmp_path / "cp"))
+    q.awaitTermination()
+    time.sleep(1)
+    spark.streams.removeListener(signals)
+    assert sorted(seen) == ["p0", "p1", "p2"] and {"started", "progress", "ended"} <= {t[0] for t in told}
+
+
+def test_streams_matched(spark, tmp_path):
+    at = lambda m: (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)).to_pydatetime()
+    rows = [(1, 7, "a", at(0)), (2, 7, "b", at(30)), (3, 7, "b", at(31)), (4, 8, "b", at(5)), (5, 7, "b", at(-1)), (6, None, "a", at(0))]
+    spark.createDataFrame(rows, "event_id long, user_id long, kind string, ts timestamp").write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    pairs = lambda df, late=None: batch.matched(df.where("kind = 'a'"), df.where("kind = 'b'"), ["user_id"], "event_id", "ts", "30 minutes", late)
+    assert [tuple(r) for r in pairs(e).collect()] == [(7, 1, 2)]
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "e"))
+    q = pairs(stream, "1 hour").writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.sql("select * from pairs").collect()] == [(7, 1, 2)]
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Rows:
+        class sparkSession:  # noqa: N801
+            sparkContext = Context()
+            conf = {}
+
+    with pytest.raises(RuntimeError):
+        runtime.cut(Rows())
