@@ -95,11 +95,17 @@ def renumbered(chunk_idx: Column, page_idx: Column, limit: int = MAX_PAGES) -> C
 def adjust_markers(text: Column, pages: Column, chunk_idx: int | Column, limit: int = MAX_PAGES) -> Column:
     """A chunk's text with the page markers of the whole: page p becomes base + p, the chunk's own markers lead.
 
-    Equivalent to one replacement per page: new numbers are past all old ones, so they never meet an old marker again.
+    Markers of pages 2 to `pages` are renumbered, each once, in one pass.
     """
     chunk = F.lit(chunk_idx) if isinstance(chunk_idx, int) else chunk_idx
     base = chunk * limit
     mark = lambda p: F.concat(F.lit("----- Page "), p.cast("string"), F.lit(" -----"))
     head = F.concat(mark(base + 1), F.lit("\n\n--- Chunk "), (chunk + 1).cast("string"), F.lit(" (Pages "), (base + 1).cast("string"), F.lit("-"), (pages + base).cast("string"), F.lit(") ---\n\n"))
-    moved = F.aggregate(F.when(pages >= 2, F.sequence(F.lit(2), pages)).otherwise(F.array().cast("array<int>")), text, lambda t, p: F.replace(t, mark(p), mark(p + base)))
-    return F.when(chunk == 0, text).otherwise(F.concat(head, moved))
+    gaps, numbers = parts(text, PAGE), F.regexp_extract_all(text, F.lit(PAGE), F.lit(1))
+
+    def moved(n: Column, gap: Column) -> Column:
+        old = n.try_cast("int")
+        return F.concat(mark(F.when(~n.startswith("0") & old.between(F.lit(2), pages), (old + base).cast("string")).otherwise(n)), gap)
+
+    body = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(numbers, F.slice(gaps, 2, 1_000_000_000), moved), ""))
+    return F.when(chunk == 0, text).otherwise(F.concat(head, body))

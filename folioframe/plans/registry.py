@@ -154,6 +154,45 @@ PROJECTED = """t AS (SELECT doc_id, string_split(text, chr(10)) AS ls, doc_id %
 ), pg AS (SELECT doc_id, kind, n, p, array_to_string(ls[p * 8 + 1:p * 8 + 8], chr(10)) AS body, ls[p * 8 + 1:p * 8 + 8] AS ls FROM pj)"""
 
 
+def projected_layout(s: SparkSession, d: str) -> DataFrame:
+    """Records laid out from the documents: a line's place follows from its number; every eighth line is set apart as a note,
+    every first of an even page is a page number, every fourth a reference."""
+    t = docs(s, d).where("text is not null").select(F.col("doc_id").alias("env_id"), F.split("text", "\n").alias("ls"))
+
+    def element(p: Column, k: Column) -> Column:
+        i = p * 8 + k
+        raw, n = F.get("ls", i), (p + 1).cast("string")
+        text = F.when((k == 0) & (p % 2 == 0), n).when(k == 3, F.concat(n, F.lit(" Themistius Or. "), raw)).when(k == 7, F.concat(F.lit("* "), raw)).otherwise(raw)
+        x, y = (100 + 35 * ((F.col("env_id") + i * 7) % 6)).cast("double"), (60 + 40 * k + F.when(k == 7, 700).otherwise(0)).cast("double")
+        far, low = x + 10 * F.least(F.length(raw), F.lit(80)), y + 20
+        corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+        poly = F.struct(F.array(corner(x, y), corner(far, y), corner(far, low), corner(x, low)).alias("vertices"))
+        return F.struct(text.alias("text"), F.struct(text.alias("text"), (F.pmod(F.col("env_id") * 31 + i * 17, F.lit(100)) / 100.0).cast("double").alias("confidence"), poly.alias("bounding_poly")).alias("layout"))
+
+    def page(p: Column) -> Column:
+        lines = F.transform(F.sequence(F.lit(0), F.least(F.lit(8), F.size("ls") - p * 8) - 1), lambda k: element(p, k))
+        return F.struct((p + 1).alias("page_number"), lines.alias("lines"))
+
+    rows = t.select("env_id", F.transform(F.sequence(F.lit(0), F.ceil(F.size("ls") / 8).cast("int") - 1), page).alias("pages"))
+    none = F.when(F.lit(False), F.transform("pages", lambda p: p["lines"])[0])
+    whole = lambda p: F.struct(p["page_number"].alias("page_number"), F.lit(None).cast("struct<width:double,height:double>").alias("dimension"), F.lit(None).cast("string").alias("text"), none.alias("blocks"), none.alias("paragraphs"), p["lines"].alias("lines"), none.alias("tokens"))
+    rows = rows.select("env_id", F.struct(F.transform("pages", whole).alias("pages")).alias("document_data"))
+    return rows.withColumn("files", F.when(F.lit(False), F.array(F.struct("document_data"))))
+
+
+PROJECTED_LAYOUT = """jl AS (SELECT doc_id, i - 1 AS i, line AS raw, (i - 1) // 8 AS p, (i - 1) % 8 AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+), je AS (SELECT *, CASE WHEN k = 0 AND p % 2 = 0 THEN CAST(p + 1 AS VARCHAR) WHEN k = 3 THEN p + 1 || ' Themistius Or. ' || raw WHEN k = 7 THEN '* ' || raw ELSE raw END AS t,
+  CAST(100 + 35 * ((doc_id + i * 7) % 6) AS DOUBLE) AS x, CAST(60 + 40 * k + CASE WHEN k = 7 THEN 700 ELSE 0 END AS DOUBLE) AS y, ((doc_id * 31 + i * 17) % 100) / 100.0::DOUBLE AS c, CAST(10 * least(length(raw), 80) AS DOUBLE) AS w FROM jl
+), jp AS (SELECT doc_id, p, list({'text': t, 'layout': {'text': t, 'confidence': c, 'bounding_poly': {'vertices': [{'x': x, 'y': y}, {'x': x + w, 'y': y}, {'x': x + w, 'y': y + 20}, {'x': x, 'y': y + 20}]}}} ORDER BY k) AS lines FROM je GROUP BY ALL
+), jd AS (SELECT doc_id, list({'page_number': CAST(p + 1 AS INTEGER), 'dimension': CASE WHEN false THEN {'width': 1.0::DOUBLE, 'height': 1.0::DOUBLE} END, 'text': NULL::VARCHAR, 'blocks': CASE WHEN false THEN lines END, 'paragraphs': CASE WHEN false THEN lines END, 'lines': lines, 'tokens': CASE WHEN false THEN lines END} ORDER BY p) AS pages FROM jp GROUP BY doc_id
+), envelopes AS (SELECT doc_id AS env_id, {'pages': pages} AS document_data, CASE WHEN false THEN [{'document_data': {'pages': pages}}] END AS files FROM jd)"""
+
+
+def s_projected(sql: str) -> str:
+    """A query's SQL over the projected records."""
+    return f"WITH {PROJECTED_LAYOUT}, " + sql.removeprefix("WITH ")
+
+
 def elements_table(s: SparkSession, d: str) -> DataFrame:
     """The positioned elements, rows delivered again once."""
     return table(s, d, "positioned_elements").drop("loaded_at", "recognized_at").distinct()
@@ -408,12 +447,16 @@ SELECT t.env_id, coalesce(made, {simple}) AS html, CASE WHEN made IS NULL THEN '
     q["previews"] = (lambda s, d: assemble.previews(env(s, d), 2000).drop("html", "json_preview"), rf"""WITH md AS (SELECT * FROM ({every_md}))
 SELECT t.env_id, t.text, markdown AS full_markdown, coalesce(length(markdown) > 2000, false) AS was_truncated, CASE WHEN coalesce(markdown, '') = '' THEN 'Error: Markdown conversion failed to produce content.' WHEN length(markdown) > 2000 THEN left(markdown, 2000) || chr(10) || chr(10) || '...' || chr(10) || chr(10) || '[PREVIEW TRUNCATED: Showing 2,000 of ' || regexp_replace(CAST(length(markdown) AS VARCHAR), '^(\d+)(\d{{3}})$', '\1,\2') || ' characters]' || chr(10) || '[The complete content will be saved when using ''Save Markdown'']' ELSE markdown END AS markdown_preview FROM ({q['document_text'][1]}) t LEFT JOIN md USING (env_id)""")
     q["assembled_files"] = (lambda s, d: assemble.assembled(env(s, d)), f"WITH {FILES}{ELEMENTS}, u AS (SELECT DISTINCT {KEY}, elem_idx, {s_strip('e.text')} AS t FROM e WHERE elem_level = 'paragraph') SELECT env_id, file_idx, string_agg(t, chr(10) || chr(10) ORDER BY page_idx, elem_idx) AS text, count(DISTINCT page_idx) AS n_pages, CAST(count(*) AS INTEGER) AS n_paragraphs, CAST(length(string_agg(t, chr(10) || chr(10) ORDER BY page_idx, elem_idx)) AS INTEGER) AS n_chars FROM u WHERE t <> '' GROUP BY ALL")
-    q["line_clusters"] = (lambda s, d: assemble.line_clusters(env(s, d)).select(*PAGE, F.size("centres").alias("n_clusters"), F.array_join(F.transform("centres", lambda c: F.format_string("%.3f", c)), ",").alias("centres")), f"""WITH {POSITIONED}, ce AS (SELECT {KEY}, list_reduce(list_transform(list_sort(list(x)), lambda q: {{'c': [q], 's': q, 'n': 1}}), lambda a, b: CASE WHEN abs(b.s - a.s / a.n) <= 50 THEN {{'c': list_append(a.c[1:len(a.c) - 1], (a.s + b.s) / (a.n + 1)), 's': a.s + b.s, 'n': a.n + 1}} ELSE {{'c': list_append(a.c, b.s), 's': b.s, 'n': 1}} END).c AS c FROM l GROUP BY ALL)
-SELECT {KEY}, CAST(len(c) AS INTEGER) AS n_clusters, array_to_string(list_transform(c, lambda q: printf('%.3f', q)), ',') AS centres FROM ce""")
+    q["line_clusters"] = (lambda s, d: assemble.line_clusters(env(s, d)).select(*PAGE, F.size("centres").alias("n_clusters"), F.array_join(F.transform("centres", lambda c: F.format_string("%.6f", c)), ",").alias("centres")), f"""WITH {POSITIONED}, ce AS (SELECT {KEY}, list_reduce(list_transform(list_sort(list(x)), lambda q: {{'c': [q], 's': q, 'n': 1}}), lambda a, b: CASE WHEN abs(b.s - a.s / a.n) <= 50 THEN {{'c': list_append(a.c[1:len(a.c) - 1], (a.s + b.s) / (a.n + 1)), 's': a.s + b.s, 'n': a.n + 1}} ELSE {{'c': list_append(a.c, b.s), 's': b.s, 'n': 1}} END).c AS c FROM l GROUP BY ALL)
+SELECT {KEY}, CAST(len(c) AS INTEGER) AS n_clusters, array_to_string(list_transform(c, lambda q: printf('%.6f', q)), ',') AS centres FROM ce""")
     q["content_types"] = (lambda s, d: assemble.content_type(genre.lines(docs(s, d), "doc_id"), "doc_id"), f"SELECT doc_id, CASE WHEN count(*) >= 3 AND avg(length({s_strip('line')})) < 50 AND stddev_pop(length({s_strip('line')})) / avg(length({s_strip('line')})) < 0.3 THEN 'poetry' ELSE 'prose' END AS content_type FROM ({DOC_LINES}) GROUP BY ALL")
     q["page_chunks"] = (lambda s, d: nested.pages(env(s, d)).groupBy("env_id", "file_idx", F.floor(F.col("page_idx") / 10).cast("int").alias("chunk_no")).agg(F.count("*").alias("n_pages")), f"WITH {FILES} SELECT env_id, file_idx, CAST(floor(page_idx / 10) AS INTEGER) AS chunk_no, count(*) AS n_pages FROM (SELECT DISTINCT {KEY} FROM p) GROUP BY ALL")
     q["confidence_gates"] = (lambda s, d: elements_table(s, d).groupBy("elem_type").agg(F.count_if(F.col("confidence") >= 0.5).alias("kept"), F.count_if(F.coalesce(F.col("confidence") < 0.5, F.lit(True))).alias("dropped"), F.count_if(F.coalesce(F.col("confidence") < 0.3, F.lit(True))).alias("for_review")), "SELECT elem_type, count_if(confidence >= 0.5) AS kept, count_if(coalesce(confidence < 0.5, true)) AS dropped, count_if(coalesce(confidence < 0.3, true)) AS for_review FROM (SELECT DISTINCT * EXCLUDE (loaded_at, recognized_at) FROM positioned_elements) GROUP BY ALL")
     q["failed_pages_semi"] = (lambda s, d: table(s, d, "chunk_runs").select("run_id", "job_id", "page_from", "page_to", "status").distinct().join(table(s, d, "ocr_jobs").where("finished_at is null").select("job_id"), "job_id", "left_semi"), "SELECT DISTINCT run_id, job_id, page_from, page_to, status FROM chunk_runs WHERE job_id IN (SELECT job_id FROM ocr_jobs WHERE finished_at IS NULL)")
+    q["projected_footnotes"] = (lambda s, d: layout.footnote_starts(layout.positioned(projected_layout(s, d))), s_projected(q["footnote_sections"][1]))
+    q["projected_types"] = (lambda s, d: layout.classified(layout.positioned(projected_layout(s, d))).select(*PAGE, "elem_idx", "elem_type"), s_projected(q["element_types"][1]))
+    q["projected_indents"] = (lambda s, d: layout.indented(layout.positioned(projected_layout(s, d))).select(*PAGE, "elem_idx", "indent_level"), s_projected(q["indent_levels"][1]))
+    q["projected_markdown"] = (lambda s, d: render.academic_markdown(projected_layout(s, d)), s_projected(q["academic_markdown"][1]))
     q["document_templates"] = (templates, f"""WITH {POSITIONED}, {EXTENTS}, z AS (SELECT env_id, file_idx, page_idx, width_px, height_px, min(x) AS body_left, max(x + width) AS body_right, min(y) AS body_top FROM ext JOIN l USING (env_id, file_idx, page_idx) GROUP BY ALL
 ), x AS (SELECT env_id, file_idx, zone, v FROM (UNPIVOT z ON width_px, height_px, body_left, body_right, body_top INTO NAME zone VALUE v)), a AS (SELECT env_id, file_idx, zone, median(v) AS m, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT x.*, m, n, abs(v - m) AS dev FROM x JOIN a USING (env_id, file_idx, zone)), c AS (SELECT env_id, file_idx, zone, median(dev) AS mad FROM b GROUP BY ALL),
 k AS (SELECT b.*, n >= 3 AND mad >= 1 AND dev > 2.0 * mad AS far FROM b JOIN c USING (env_id, file_idx, zone)), o AS (SELECT *, sum(CAST(far AS INTEGER)) OVER (PARTITION BY env_id, file_idx, zone) AS nf FROM k), md AS (SELECT env_id, file_idx, zone, CAST(trunc(median(v) FILTER (WHERE NOT (far AND nf < n / 2))) AS INTEGER) AS v FROM o GROUP BY ALL)

@@ -77,6 +77,11 @@ POLYGONS = """, v AS (
 )"""
 META = "m IS NOT NULL AS has_metadata, " + ", ".join(f"CAST(m.{n} AS DOUBLE) AS {n}" if n in COUNTS else f"m.{n} AS {'metadata_timestamp' if n == 'timestamp' else n}" for n in nested.META)
 
+PAGE_STATE = "coalesce(nullif(concat_ws('+', CASE WHEN p.dimension IS NOT NULL THEN 'dim' END, CASE WHEN p.text <> '' THEN 'text' END, " + ", ".join(f"CASE WHEN len(p.{arr}) > 0 THEN '{level}' END" for level, arr in nested.LEVELS) + "), ''), 'hollow')"
+RING = "e.layout.bounding_poly.vertices"
+ELEMENT_STATE = f"""CASE WHEN e.text IS NULL THEN 'untexted' WHEN e.text = '' THEN 'blank' ELSE 'text' END || '-' || CASE WHEN e.layout IS NULL THEN 'bare' WHEN e.layout.confidence IS NULL THEN 'unscored' WHEN e.layout.confidence = 0 THEN 'zeroscored' ELSE 'scored' END || '-' ||
+  CASE WHEN {RING} IS NULL THEN 'none' WHEN len({RING}) = 0 THEN 'empty' WHEN len(list_filter({RING}, lambda q: q IS NULL OR q.x IS NULL OR q.y IS NULL)) > 0 THEN 'holed' WHEN len({RING}) >= 4 THEN 'ring' ELSE 'short' END"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -84,6 +89,11 @@ def oracle_sql() -> dict[str, str]:
 SELECT DISTINCT env_id, file_idx, page_idx, 'page' AS elem_level, CAST(-1 AS INTEGER) AS elem_idx, CAST(-1 AS INTEGER) AS vertex_idx FROM p
 UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, CAST(-1 AS INTEGER) FROM e
 UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, 'vertex', elem_idx, vertex_idx FROM v""",
+        "p7_variants": f"""WITH {FILES}{ELEMENTS}{POLYGONS}, n AS (
+  SELECT DISTINCT env_id, file_idx, page_idx, 'page' AS elem_level, -1 AS elem_idx, -1 AS vertex_idx, '' AS parent_level, {PAGE_STATE} AS variant FROM p
+  UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, -1, '', {ELEMENT_STATE} FROM e
+  UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, 'vertex', elem_idx, vertex_idx, elem_level, CASE WHEN v.x IS NOT NULL AND v.y IS NOT NULL THEN 'xy' WHEN v.x IS NOT NULL THEN 'x' WHEN v.y IS NOT NULL THEN 'y' ELSE 'none' END FROM v
+) SELECT elem_level, variant, count(*) AS n_nodes FROM n GROUP BY ALL""",
         "p7_pages": f"WITH {FILES} SELECT DISTINCT env_id, file_idx, page_idx, CAST(p.page_number AS DOUBLE) AS page_number, p.dimension.width AS width, p.dimension.height AS height, p.text AS text FROM p",
         "p7_elements": f"WITH {FILES}{ELEMENTS} SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, e.text AS text, e.layout.text AS layout_text, e.layout.confidence AS confidence FROM e",
         "p7_vertices": f"WITH {FILES}{ELEMENTS}{VERTICES} SELECT DISTINCT env_id, file_idx, page_idx, elem_idx, vertex_idx, v.x AS x, v.y AS y FROM v",
