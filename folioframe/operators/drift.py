@@ -51,17 +51,18 @@ def kind_of(v: object) -> str:
 
 
 def form_of(v: object) -> str:
-    """The form of a value: kind, and the character classes of a string or the size of a number."""
+    """The form of a value: kind, and the character classes of a string (running text is one form), the digits of a number,
+    the fields of an object, or the kinds of an array's entries; all of the value counts."""
     k = kind_of(v)
     if k == "string":
-        runs = re.sub(r"[^\W\d_]+", "a", v[:80])
-        return "s:" + re.sub(r"\s+", " ", re.sub(r"\d+", "9", runs))[:24]
+        runs = re.sub(r"\s+", " ", re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", v)))
+        return "s:text" if runs.count(" ") > 4 else "s:" + runs
     if k == "number":
         return f"n:{len(str(abs(int(v))))}" if abs(v) < 1e18 else "n:big"
     if k == "object":
-        return "o:" + ",".join(sorted(v)[:8])
+        return "o:" + ",".join(sorted(v))
     if k == "array":
-        return "a:" + (kind_of(v[0]) if v else "empty")
+        return "a:" + ("+".join(sorted(set(map(kind_of, v)))) or "empty")
     return k
 
 

@@ -36,33 +36,33 @@ def vertex_state(v: Column) -> Column:
 
 def polygon_state(poly: Column) -> Column:
     """Polygon state from its vertices' states: none, empty, ring (four or more complete), short, holed."""
-    vs = poly["vertices"]
+    states = F.transform(poly["vertices"], vertex_state)
     return (
-        F.when(poly.isNull() | vs.isNull(), "none")
-        .when(F.size(vs) == 0, "empty")
-        .when(F.exists(vs, lambda v: v.isNull() | v["x"].isNull() | v["y"].isNull()), "holed")
-        .when(F.size(vs) >= 4, "ring")
+        F.when(states.isNull(), "none")
+        .when(F.size(states) == 0, "empty")
+        .when(F.exists(states, lambda s: s.isNull() | (s != "xy")), "holed")
+        .when(F.size(states) >= 4, "ring")
         .otherwise("short")
     )
 
 
+def layout_state(lay: Column) -> Column:
+    """Layout state `<confidence>-<polygon>` from its confidence and its polygon's state; bare for an absent layout."""
+    score = F.when(lay["confidence"].isNull(), "unscored").when(lay["confidence"] == 0, "zeroscored").otherwise("scored")
+    return F.when(lay.isNull(), "bare-none").otherwise(F.concat_ws("-", score, polygon_state(lay["bounding_poly"])))
+
+
 def element_state(e: Column) -> Column:
-    """Element state `<text>-<layout>-<polygon>`; null for an absent element."""
-    lay = e["layout"]
+    """Element state `<text>-<layout>` from its text and its layout's state; null for an absent element."""
     text = F.when(e["text"].isNull(), "untexted").when(e["text"] == "", "blank").otherwise("text")
-    layout = (
-        F.when(lay.isNull(), "bare")
-        .when(lay["confidence"].isNull(), "unscored")
-        .when(lay["confidence"] == 0, "zeroscored")
-        .otherwise("scored")
-    )
-    return F.when(e.isNotNull(), F.concat_ws("-", text, layout, F.when(lay.isNull(), "none").otherwise(polygon_state(lay["bounding_poly"]))))
+    return F.when(e.isNotNull(), F.concat_ws("-", text, layout_state(e["layout"])))
 
 
-def page_state(p: Column) -> Column:
-    """Page state: which of dimension, text and the four element levels the page has."""
+def page_state(p: Column, states: dict[str, Column] | None = None) -> Column:
+    """Page state: dimension, text, and the levels of which a child has a state; `states` are the children's by level."""
+    of = states or {level: F.transform(p[arr], element_state) for level, arr in LEVELS}
     parts = [F.when(p["dimension"].isNotNull(), "dim"), F.when(p["text"].isNotNull() & (p["text"] != ""), "text")]
-    parts += [F.when(F.size(p[arr]) > 0, level) for level, arr in LEVELS]
+    parts += [F.when(F.exists(of[level], lambda s: s.isNotNull()), level) for level, _ in LEVELS]
     return F.when(p.isNotNull(), F.coalesce(F.nullif(F.concat_ws("+", *parts), F.lit("")), F.lit("hollow")))
 
 
@@ -77,19 +77,30 @@ def with_files(df: DataFrame) -> DataFrame:
 
 
 def shape_trees(df: DataFrame, polygons: tuple[str, ...] = ("blocks",)) -> DataFrame:
-    """Run the automaton: one distinct row per file with the states of its pages, elements and the vertices of `polygons`."""
+    """Run the automaton: the states of each file's pages, elements and the vertices of `polygons`.
+
+    One row for every different tree of a file, with `versions`, the number of these: more than one where a record came
+    again with other content.
+    """
 
     def page(p: Column) -> Column:
         levels = [F.transform(p[arr], element_state).alias(level) for level, arr in LEVELS]
         corners = [F.coalesce(F.transform(p[arr], lambda b: F.transform(b["layout"]["bounding_poly"]["vertices"], vertex_state)), F.array()) for arr in polygons]
-        vertices = F.concat(*corners).alias("vertex")
-        return F.struct(page_state(p).alias("page"), *levels, vertices)
+        parts = F.struct(p["dimension"].isNotNull().alias("dim"), (F.coalesce(p["text"], F.lit("")) != "").alias("text"))
+        return F.struct(p.isNotNull().alias("there"), parts.alias("own"), *levels, F.concat(*corners).alias("vertex"))
+
+    def stated(t: Column) -> Column:
+        parts = [F.when(t["own"]["dim"], "dim"), F.when(t["own"]["text"], "text")] + [F.when(F.exists(t[level], lambda s: s.isNotNull()), level) for level, _ in LEVELS]
+        state = F.when(t["there"], F.coalesce(F.nullif(F.concat_ws("+", *parts), F.lit("")), F.lit("hollow")))
+        return F.struct(state.alias("page"), *(t[level].alias(level) for level, _ in LEVELS), t["vertex"].alias("vertex"))
 
-    return with_files(df).select("env_id", "file_idx", F.transform("pages", page).alias("pages")).distinct()
+    trees = with_files(df).where("pages is not null").select("env_id", "file_idx", F.transform("pages", page).alias("pages"))
+    trees = trees.groupBy("env_id", "file_idx").agg(F.collect_set("pages").alias("trees"))
+    return trees.select("env_id", "file_idx", F.size("trees").alias("versions"), F.explode("trees").alias("t")).select("env_id", "file_idx", "versions", F.transform("t", stated).alias("pages"))
 
 
 def nodes(df: DataFrame, polygons: tuple[str, ...] = ("blocks",)) -> DataFrame:
-    """All nodes of all records: the six key columns and the node's `variant` (its automaton state).
+    """All nodes of all records: the six key columns, the node's `variant` (its automaton state) and its file's `versions`.
 
     With `polygons` of more than one level the vertices' `elem_idx` only tells them apart, it is no place: for counts.
     """
@@ -101,12 +112,19 @@ def nodes(df: DataFrame, polygons: tuple[str, ...] = ("blocks",)) -> DataFrame:
         return row(level, i, none, state)
 
     none = F.lit(-1)
-    pages = shape_trees(df, polygons).select("env_id", "file_idx", F.posexplode("pages").alias("page_idx", "s")).where("s.page is not null")
+    key = ["env_id", "file_idx", "versions"]
+    pages = shape_trees(df, polygons).select(*key, F.posexplode("pages").alias("page_idx", "s")).where("s.page is not null")
     rows = [F.array(row("page", none, none, F.col("s.page")))]
     rows += [F.coalesce(F.transform(F.col("s")[level], partial(element_row, level)), F.array()) for level, _ in LEVELS]
     corners = F.transform(F.col("s.vertex"), lambda vs, b: F.coalesce(F.transform(vs, lambda s, v: row("vertex", b, v, s)), F.array()))
     rows.append(F.coalesce(F.flatten(corners), F.array()))
-    return pages.select("env_id", "file_idx", "page_idx", F.explode(F.concat(*rows)).alias("n")).where("n.variant is not null").select("env_id", "file_idx", "page_idx", "n.*")
+    return pages.select(*key, "page_idx", F.explode(F.concat(*rows)).alias("n")).where("n.variant is not null").select(*key, "page_idx", "n.*")
+
+
+def keys(df: DataFrame) -> DataFrame:
+    """The six key columns of every node, each once; only nodes of files that came in several versions are compared."""
+    n = nodes(df)
+    return n.where("versions = 1").select(*KEYS).unionByName(n.where("versions > 1").select(*KEYS).distinct())
 
 
 def pages(df: DataFrame) -> DataFrame:

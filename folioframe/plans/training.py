@@ -41,7 +41,7 @@ def queries() -> dict[str, Query]:
         "p1_found": _changes,
         "p1_table": _conform,
         "p1_alternatives": _alternatives,
-        "p7_found": lambda s, d: nested.nodes(env(s, d)).select(*nested.KEYS),
+        "p7_found": lambda s, d: nested.keys(env(s, d)),
         "p7_variants": lambda s, d: nested.nodes(env(s, d), tuple(arr for _, arr in nested.LEVELS)).groupBy("elem_level", "variant").agg(F.count("*").alias("n_nodes")),
         "p7_pages": lambda s, d: nested.pages(env(s, d)).drop("variant").withColumn("page_number", F.col("page_number").cast("double")),
         "p7_elements": lambda s, d: nested.elements(env(s, d)).drop("vertices", "variant"),
@@ -77,7 +77,7 @@ POLYGONS = """, v AS (
 )"""
 META = "m IS NOT NULL AS has_metadata, " + ", ".join(f"CAST(m.{n} AS DOUBLE) AS {n}" if n in COUNTS else f"m.{n} AS {'metadata_timestamp' if n == 'timestamp' else n}" for n in nested.META)
 
-PAGE_STATE = "coalesce(nullif(concat_ws('+', CASE WHEN p.dimension IS NOT NULL THEN 'dim' END, CASE WHEN p.text <> '' THEN 'text' END, " + ", ".join(f"CASE WHEN len(p.{arr}) > 0 THEN '{level}' END" for level, arr in nested.LEVELS) + "), ''), 'hollow')"
+PAGE_STATE = "coalesce(nullif(concat_ws('+', CASE WHEN p.dimension IS NOT NULL THEN 'dim' END, CASE WHEN p.text <> '' THEN 'text' END, " + ", ".join(f"CASE WHEN len(list_filter(p.{arr}, lambda q: q IS NOT NULL)) > 0 THEN '{level}' END" for level, arr in nested.LEVELS) + "), ''), 'hollow')"
 RING = "e.layout.bounding_poly.vertices"
 ELEMENT_STATE = f"""CASE WHEN e.text IS NULL THEN 'untexted' WHEN e.text = '' THEN 'blank' ELSE 'text' END || '-' || CASE WHEN e.layout IS NULL THEN 'bare' WHEN e.layout.confidence IS NULL THEN 'unscored' WHEN e.layout.confidence = 0 THEN 'zeroscored' ELSE 'scored' END || '-' ||
   CASE WHEN {RING} IS NULL THEN 'none' WHEN len({RING}) = 0 THEN 'empty' WHEN len(list_filter({RING}, lambda q: q IS NULL OR q.x IS NULL OR q.y IS NULL)) > 0 THEN 'holed' WHEN len({RING}) >= 4 THEN 'ring' ELSE 'short' END"""
