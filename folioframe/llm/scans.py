@@ -1,25 +1,30 @@
 """Noise in text from scanned pages: line labels, broken and misrecognised words, and repaired paragraphs.
 
 A hidden Markov model over the lines of a text labels each as running title, page number, body or break (blank, marker,
-section heading).  Its observations are layout features of the line and its neighbourhood; its transitions and emissions
-are trained by Viterbi training on a bounded sample of texts (`TRAIN_TEXTS`).  Paragraphs are reassembled from the body
-lines.  Broken words are told by the mark at the line's end or, without a mark, by a lexicon; misrecognised words by a
-noisy channel: an unknown word that a learned character confusion turns into a word of the lexicon.
-
-The lexicon holds the words with a share of at least `LEXICON_SHARE` of all running words of clean text (hence at most
-1 / LEXICON_SHARE words), counted over all texts with partial sums where they lie.  Confusions are learned from all words
-that occur only in scans.
+section heading).  Its observations are layout features of the line and its neighbourhood: its form, whether it stands at
+the edge of a page, whether it comes again at the edges of other pages of the text (in any case and script), whether it is
+indented, and whether the text before it is unfinished.  Transitions and emissions are trained by Viterbi training on a
+bounded sample of texts (`TRAIN_TEXTS`), observed where they lie.  Paragraphs are reassembled from the body lines.  Broken
+words are told by the mark at the line's end or, without a mark, by a lexicon; misrecognised words by a noisy channel: an
+unknown word that a learned character confusion turns into a word of the lexicon.
+
+The lexicon are all words that occur twice or more in clean text, counted over all texts with partial sums where they lie.
+Words with a share of at least `LEXICON_SHARE` (hence at most 1 / LEXICON_SHARE of them) go to every task; of the rarer ones
+those that a scanned text asks for (its unknown words, words joined over lines, and what the confusions make of them) are
+found by a join and go along with them, or, where they are too many for that, with the text that asks.  Confusions are
+learned from all words that occur only in scans, by a join with the whole lexicon on keys with one or two open places.
 
 Defined results: null and empty texts give no rows and null or empty repaired text; repeated rows give their rows once;
-texts of any length are read whole; without clean text the lexicon is taken from all text.
+texts of any length are read whole; where there is no clean text at all the lexicon is taken from the scans.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,13 +77,26 @@ def form(line: str) -> str:
     return "text"
 
 
-def observe(lines: list[str]) -> list[str]:
-    """The observation of each line: its form, whether it lies at a page's edge, whether the text before is unfinished."""
+#: A line that stands at so many page edges of a text is a running title's.
+RECURRENCES = 3
+KEY = re.compile(r"[\W\d_]+")
+
+
+def observe(lines: list[str], raw: list[str] | None = None) -> list[str]:
+    """The observation of each line: its form, whether it lies at a page's edge, whether the text before is unfinished, and
+    whether it is indented (told from the lines as they are in `raw`)."""
     forms = [form(x) for x in lines]
     n, out, unfinished = len(lines), [], False
+    edges = [i == 0 or i == n - 1 or forms[i - 1] in ("blank", "marker", "number") or forms[i + 1] in ("blank", "marker", "number") for i in range(n)]
+    # titles come again at page edges, whatever stands beside them
+    keys = {i: KEY.sub("", lines[i]).casefold() for i in range(n) if edges[i] and forms[i] == "text" and len(lines[i]) <= 70 and not ENDS.search(lines[i])}
+    seen = Counter(keys.values())
     for i, f in enumerate(forms):
-        edge = i == 0 or i == n - 1 or forms[i - 1] in ("blank", "marker", "number") or forms[i + 1] in ("blank", "marker", "number")
-        out.append(f"{f}{int(edge)}{int(unfinished)}")
+        if f == "text":
+            k = keys.get(i)
+            if k is not None and len(k) >= 2 and seen[k] >= RECURRENCES:
+                f = "again"
+        out.append(f"{f}{int(edges[i])}{int(unfinished)}{int(bool(raw) and raw[i][:2] == '  ')}")
         if f == "text":
             unfinished = not ENDS.search(lines[i])
     return out
@@ -88,7 +106,7 @@ class LineModel:
     """A discrete hidden Markov model over line observations."""
 
     #: Where training starts: the state each form suggests.
-    FIRST = {"blank": "break", "marker": "break", "heading": "break", "number": "page_number", "caps": "header", "capsnum": "header", "text": "body"}
+    FIRST = {"blank": "break", "marker": "break", "heading": "break", "number": "page_number", "caps": "header", "capsnum": "header", "again": "header", "text": "body"}
 
     def __init__(self, start: list[float], trans: list[list[float]], emit: dict[str, list[float]]):
         self.start, self.trans, self.emit = start, trans, emit
@@ -96,7 +114,7 @@ class LineModel:
     @classmethod
     def fit(cls, texts: list[list[str]], rounds: int = 3) -> LineModel:
         """Viterbi training on observation sequences, from the states that the forms suggest."""
-        guess = [[STATES.index(cls.FIRST[o[:-2]]) for o in obs] for obs in texts]
+        guess = [[STATES.index(cls.FIRST[o[:-3]]) for o in obs] for obs in texts]
         model = cls.count(texts, guess)
         for _ in range(rounds):
             guess = [model.decode(obs) for obs in texts]
@@ -107,7 +125,7 @@ class LineModel:
     def count(cls, texts: list[list[str]], states: list[list[int]]) -> LineModel:
         k = len(STATES)
         start, trans = [1.0] * k, [[1.0] * k for _ in range(k)]
-        emit: dict[str, list[float]] = {f"{f}{a}{b}": [5.0 if STATES[s] == st else 0.01 for s in range(k)] for f, st in cls.FIRST.items() for a in "01" for b in "01"}
+        emit: dict[str, list[float]] = {f"{f}{a}{b}{c}": [5.0 if STATES[s] == st else 0.01 for s in range(k)] for f, st in cls.FIRST.items() for a in "01" for b in "01" for c in "01"}
         for obs, ss in zip(texts, states, strict=True):
             for i, (o, s) in enumerate(zip(obs, ss, strict=True)):
                 emit[o][s] += 1
@@ -116,7 +134,7 @@ class LineModel:
                 else:
                     start[s] += 1
         for o, e in emit.items():  # blanks, markers and headings are breaks whatever stands around them
-            if o[:-2] in ("blank", "marker", "heading"):
+            if o[:-3] in ("blank", "marker", "heading"):
                 e[:] = [x if STATES[s] == "break" else 1e-9 for s, x in enumerate(e)]
         total = [sum(e[s] for e in emit.values()) for s in range(k)]
         return cls(
@@ -157,19 +175,13 @@ class LineModel:
 
 
 class Lexicon:
-    """Known words with their counts, and wildcard indexes for corrections."""
+    """Known words with their counts, and the corrections that confusions (what is meant, what was read) make."""
 
     def __init__(self, counts: dict[str, int], confusions: set[tuple[str, str]] | None = None):
         self.counts = counts
-        self.confusions = confusions
-        self.one: dict[str, list[str]] = defaultdict(list)
-        self.two: dict[str, list[str]] = defaultdict(list)
-        for w in counts:
-            if len(w) >= 3 and not SPACELESS.match(w):
-                for i in range(len(w)):
-                    self.one[f"{w[:i]}\0{w[i + 1 :]}"].append(w)
-                for i in range(len(w) - 1):
-                    self.two[f"{w[:i]}\0\0{w[i + 2 :]}"].append(w)
+        self.read: dict[str, list[str]] = defaultdict(list)
+        for meant, read in sorted(confusions or ()):
+            self.read[read].append(meant)
         self.memo: dict[str, tuple | None] = {}
 
     def known(self, w: str) -> int:
@@ -177,29 +189,26 @@ class Lexicon:
         c = self.counts
         return c.get(w, 0) or c.get(w[:1].lower() + w[1:], 0) or c.get(w[:1].upper() + w[1:], 0)
 
-    def candidates(self, w: str) -> Iterator[tuple[str, str, str, int]]:
-        """(word, what is meant, what was read, where): one character for one, two for one, one for two."""
+    def candidates(self, w: str) -> Iterator[tuple[str, int, int]]:
+        """(word meant, where and how long the misread part is): one character for one, two for one, one for two."""
         for v in dict.fromkeys((w, w[:1].lower() + w[1:])):
-            n = len(v)
-            for i in range(n):
-                for f in self.one.get(f"{v[:i]}\0{v[i + 1 :]}", ()):
-                    if f[i] != v[i]:
-                        yield f, f[i], v[i], i
-                for f in self.two.get(f"{v[:i]}\0\0{v[i + 1 :]}", ()):
-                    yield f, f[i : i + 2], v[i], i
-                if i < n - 1:
-                    for f in self.one.get(f"{v[:i]}\0{v[i + 2 :]}", ()):
-                        yield f, f[i], v[i : i + 2], i
+            for i in range(len(v)):
+                for k in (1, 2):
+                    for meant in self.read.get(v[i : i + k], ()) if i + k <= len(v) else ():
+                        f = v[:i] + meant + v[i + k :]
+                        if len(f) >= 3 and not SPACELESS.match(f):
+                            yield f, i, k
 
     def correct(self, w: str, seen: int = 1) -> tuple[str, int, int] | None:
         """(the word meant, where and how long the misread part is), if a learned confusion explains the word."""
         if w in self.memo:
             return self.memo[w]
-        best = None
-        if len(w) >= 3 and self.confusions and not self.known(w):
-            for f, meant, read, i in self.candidates(w):
-                if (meant, read) in self.confusions and self.counts[f] >= CORRECTION_RATIO * seen and (best is None or self.counts[f] > self.counts[best[0]]):
-                    best = (f, i, len(read))
+        best, most = None, CORRECTION_RATIO * seen - 1
+        if len(w) >= 3 and self.read and not self.known(w):
+            for f, i, k in self.candidates(w):
+                n = self.counts.get(f, 0)
+                if n > most:
+                    best, most = (f, i, k), n
         if len(self.memo) > 300_000:
             self.memo.clear()
         self.memo[w] = best
@@ -212,17 +221,41 @@ def scanned_texts(documents: DataFrame, envelopes: DataFrame) -> DataFrame:
     return docs.unionByName(envelopes.select(F.lit("envelopes").alias("src"), F.col("env_id").cast("long").alias("id"), "text")).where("id is not null and text is not null and text <> ''")
 
 
+def asked(lines: list[str]) -> set[str]:
+    """The words that telling broken words may need: those at the edges of lines, joined, and with a last letter misread."""
+    forms = [form(x) for x in lines]
+    live = [i for i, f in enumerate(forms) if f not in ("blank", "marker", "heading")]
+    out: set[str] = set()
+    for n, i in enumerate(live):
+        out.update(MISREAD_END.findall(lines[i]))
+        out.update(WORD.findall(lines[i])[:: max(1, len(WORD.findall(lines[i])) - 1)])
+        m = tail_of(lines[i])
+        for j in live[n + 1 :] if m else ():
+            h = HEAD.match(lines[j])
+            if h and not SPACELESS.search(m.group(1)[-1]) and not SPACELESS.match(h.group(1)):
+                a, b = m.group(1), h.group(1)
+                out.update((a, b, a + b))
+                if m.group(2) in HYPHENS and m.group(2):
+                    out.update((f"{LAST.search(lines[i][: m.start()]).group()}{a}-{b}", f"{a}-{b}"))
+            if forms[j] == "text":
+                break
+    return out
+
+
 def vocabulary(documents: DataFrame, envelopes: DataFrame) -> DataFrame:
-    """(word, n_clean, n_scan) over all texts; words at line edges of scans may be broken and are left out."""
+    """(word, n_clean, n_scan) over all texts; words at line edges of scans may be broken: they, and what they make joined,
+    are listed without being counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+        edges: set[str] = set()
 
         def flush() -> pa.RecordBatch:
-            words = list(counts[0].keys() | counts[1].keys())
+            words = list(counts[0].keys() | counts[1].keys() | edges)
             out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[0][w] for w in words], pa.int64()), pa.array([counts[1][w] for w in words], pa.int64())], ["word", "n_clean", "n_scan"])
             counts[0].clear()
             counts[1].clear()
+            edges.clear()
             return out
 
         for b in batches:
@@ -231,58 +264,118 @@ def vocabulary(documents: DataFrame, envelopes: DataFrame) -> DataFrame:
                 if not scan:
                     counts[0].update(WORD.findall(text))
                     continue
-                for line in text.split("\n"):
+                lines = [x.strip() for x in text.split("\n")]
+                edges.update(asked(lines))
+                for line in lines:
                     counts[1].update(WORD.findall(line)[1:-1])
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) + len(edges) > 400_000:
                 yield flush()
         yield flush()
 
     clean = documents.where("coalesce(layout, '') <> 'scan' and text is not null").select("text", F.lit(False).alias("scan"))
     both = clean.unionByName(scanned_texts(documents, envelopes).select("text", F.lit(True).alias("scan")))
-    return spread(both).mapInArrow(run, "word string, n_clean long, n_scan long").where(F.col("word").rlike(r"\p{L}") & (F.length("word") <= 60)).groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+    return spread(both).mapInArrow(run, "word string, n_clean long, n_scan long").where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+
+
+LOWER_FIRST = "concat(lower(substr(word, 1, 1)), substr(word, 2))"
+
+
+def learn_confusions(vocab: DataFrame, lexicon: DataFrame) -> set[tuple[str, str]]:
+    """(meant, read) of the words that occur only in scans, each told by the most frequent word it can stand for."""
+    lower = F.expr(LOWER_FIRST)
+    odd = vocab.where("n_clean = 0 and n_scan > 0 and length(word) >= 4").select("word", lower.alias("first")).join(lexicon.select(F.expr(LOWER_FIRST).alias("first")).distinct(), "first", "left_anti")
+    odd = odd.select("word", F.explode(F.array_distinct(F.array("word", "first"))).alias("v"))
+    hole = lambda c, n, open_: f"transform(sequence(1, greatest(1, length({c}) - {n - 1})), i -> named_struct('key', concat(substr({c}, 1, i - 1), '{open_}', substr({c}, i + {n})), 'i', i))"
+    part = lambda c, n, k, open_: f"transform({hole(c, n, open_)}, x -> named_struct('key', x.key, 'i', x.i, 'n', {n}, 'k', {k}))"
+    # a key with one open place stands for one character meant, with two for two
+    asks = odd.select("word", "v", F.explode(F.expr(f"concat({part('v', 1, 1, '\\u0000')}, {part('v', 1, 2, '\\u0000\\u0000')}, {part('v', 2, 1, '\\u0000')})")).alias("x"))
+    gives = lexicon.where(F.length("word") >= 3).where(~F.col("word").rlike(f"^{SPACELESS.pattern}")).select(F.col("word").alias("f"), "n", F.explode(F.expr(f"concat({part('word', 1, 1, '\\u0000')}, {part('word', 2, 2, '\\u0000\\u0000')})")).alias("y"))
+    met = asks.join(gives.select("f", "n", F.col("y.key").alias("key")), asks["x.key"] == F.col("key"))
+    met = met.select("word", "n", F.expr("substr(f, x.i, x.k)").alias("meant"), F.expr("substr(v, x.i, x.n)").alias("read")).where("meant <> read")
+    best = met.groupBy("word").agg(F.max(F.struct("n", "meant", "read")).alias("b"))
+    pairs = cut(best.groupBy("b.meant", "b.read").agg(F.count("*").alias("n")))
+    explained = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return {(r["meant"], r["read"]) for r in bounded_collect(pairs.where(F.col("n") >= max(CONFUSION_WORDS, CONFUSION_SHARE * explained)))}
+
+
+class Learned(NamedTuple):
+    """What reading scans needs: words for every task, rarer words that are asked for (where they don't fit), confusions, model."""
+
+    counts: dict[str, int]
+    rare: DataFrame | None
+    confusions: set[tuple[str, str]]
+    model: LineModel
 
 
-def learn(documents: DataFrame, envelopes: DataFrame) -> tuple[dict[str, int], set[tuple[str, str]], LineModel]:
-    """Lexicon, confusions and line model; what reaches the driver is bounded by LEXICON_SHARE, the alphabet and TRAIN_TEXTS."""
+#: Rarer words beyond this number go with the texts that ask for them.
+RARE_ROWS = 300_000
+
+
+def learn(documents: DataFrame, envelopes: DataFrame) -> Learned:
+    """Lexicon, confusions and line model; what reaches the driver is bounded by LEXICON_SHARE, RARE_ROWS, the alphabet and TRAIN_TEXTS."""
     vocab = cut(vocabulary(documents, envelopes))
     total = vocab.agg(F.sum("n_clean").alias("c"), F.sum("n_scan").alias("s")).first()
     clean, scan = total["c"] or 0, total["s"] or 0
-    n, column = (clean, "n_clean") if clean >= 0.05 * scan else (clean + scan, "n_all")
-    rows = vocab.withColumn("n_all", F.col("n_clean") + F.col("n_scan")).where(F.col(column) >= max(2, math.ceil(LEXICON_SHARE * n)))
-    counts = {r["word"]: int(r["n"]) for r in bounded_collect(rows.select("word", F.col(column).alias("n")))}
-    shared = documents.sparkSession.sparkContext.broadcast(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(shared.value)
-        tally: Counter = Counter()
+    n, column = (clean, "n_clean") if clean else (scan, "n_scan")
+    lexicon = vocab.where(F.col(column) >= 2).select("word", F.col(column).alias("n"))
+    least = max(2, math.ceil(LEXICON_SHARE * n))
+    counts = {r["word"]: int(r["n"]) for r in bounded_collect(lexicon.where(F.col("n") >= least))}
+    confusions = learn_confusions(vocab, lexicon)
+    shared = documents.sparkSession.sparkContext.broadcast((counts, confusions))
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexicon(*shared.value)
         for b in batches:
+            out: set[str] = set()
             for w in b.column(0).to_pylist():
-                if len(w) >= 4 and not lex.known(w):
-                    best = max(lex.candidates(w), key=lambda c: lex.counts[c[0]], default=None)
-                    if best:
-                        tally[best[1], best[2]] += 1
-        pairs = list(tally)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([tally[p] for p in pairs], pa.int64())], ["meant", "read", "n"])
-
-    odd = vocab.where("n_clean = 0 and n_scan > 0 and length(word) >= 4").select("word").mapInArrow(run, "meant string, read string, n long")
-    pairs = cut(odd.groupBy("meant", "read").agg(F.sum("n").alias("n")))
-    explained = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
-    pairs = pairs.where(F.col("n") >= max(CONFUSION_WORDS, CONFUSION_SHARE * explained))
-    confusions = {(r["meant"], r["read"]) for r in bounded_collect(pairs)}
+                out.update(wanted(w, lex))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.string())], ["word"])
+
+    rarer = lexicon.where(F.col("n") < least)
+    if rarer.isEmpty():
+        rare = None
+    else:
+        unknown = vocab.where((F.col(column) < least) & ((F.col("n_scan") > 0) | (F.col("n_clean") + F.col("n_scan") == 0))).select("word")
+        rare = cut(rarer.join(spread(unknown).mapInArrow(needs, "word string").distinct(), "word", "left_semi"))
+        if rare.count() <= RARE_ROWS:
+            counts |= {r["word"]: int(r["n"]) for r in bounded_collect(rare)}
+            rare = None
+
+    def watch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([observed(t)[1] for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["obs"])
+
     texts = scanned_texts(documents, envelopes)
     size = max(1, texts.count())
-    sample = texts.where(F.pmod(F.xxhash64("src", "id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, 1.5 * TRAIN_TEXTS / size))).select("text").limit(TRAIN_TEXTS).collect()
-    model = LineModel.fit([observe([x.strip() for x in canonical(r["text"]).split("\n")]) for r in sample])
-    return counts, confusions, model
+    drawn = texts.where(F.pmod(F.xxhash64("src", "id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, 1.5 * TRAIN_TEXTS / size))).select("text").limit(TRAIN_TEXTS)
+    # a text is so many different runs of observations: equal ones are counted, not repeated
+    seen = drawn.mapInArrow(watch, "obs array<string>").collect()
+    return Learned(counts, rare, confusions, LineModel.fit([r["obs"] for r in seen]))
+
+
+def wanted(w: str, lex: Lexicon) -> Iterator[str]:
+    """The words whose counts telling a word needs beside those at hand."""
+    yield from (w, w[:1].lower() + w[1:], w[:1].upper() + w[1:])
+    if len(w) >= 3 and not lex.known(w):
+        yield from (f for f, _, _ in lex.candidates(w) if f not in lex.counts)
+
+
+def observed(text: str) -> tuple[list[str], list[str]]:
+    """The canonical stripped lines of a text and their observations."""
+    raw = canonical(text).split("\n")
+    lines = [x.strip() for x in raw]
+    return lines, observe(lines, raw)
 
 
 def read_lines(text: str, model: LineModel) -> tuple[list[str], list[str]]:
     """The canonical lines of a text and the state of each."""
-    lines = [x.strip() for x in canonical(text).split("\n")] if "\n" in text else [canonical(text).strip()]
-    return lines, [STATES[s] for s in model.decode(observe(lines))]
+    lines, obs = observed(text)
+    return lines, [STATES[s] for s in model.decode(obs)]
 
 
 TAIL = re.compile(rf"([^\W\d_]+(?:['’!|0-9][^\W_]+)*)\s*([{re.escape(HYPHENS)}]?)\s*$")
+LAST = re.compile(r"[^\s]*$")
+MISREAD_END = re.compile(rf"(?:{WORD.pattern})[!|]")
 HEAD = re.compile(r"^([^\W_]+(?:['’!|\-‐][^\W_]+)*)")
 
 
@@ -304,7 +397,7 @@ def goes_on(line: str, nxt: str, lex: Lexicon) -> tuple[str, str] | None:
         if m.group(2) in "-‐":
             if b[0].isupper() and not a.isupper():
                 return None
-            stem = re.search(r"[^\s]*$", before).group() + a  # the word may hold an earlier hyphen
+            stem = LAST.search(before).group() + a  # the word may hold an earlier hyphen
             parted = max(lex.known(f"{stem}-{b}"), lex.known(f"{a}-{b}"))
             if parted > lex.known(a + b):
                 return None
@@ -363,21 +456,49 @@ def analyse(text: str, model: LineModel, lex: Lexicon) -> tuple[list[str], list[
     return lines, states, cases, joined, fixes
 
 
-def line_cases(documents: DataFrame, envelopes: DataFrame, learned: tuple | None = None) -> DataFrame:
-    """Distinct (src, id, line_no, kind) with kind header, page_number, hyphen or misread."""
-    counts, confusions, model = learned or learn(documents, envelopes)
-    shared = documents.sparkSession.sparkContext.broadcast((counts, confusions, model.start, model.trans, model.emit))
+def _each(documents: DataFrame, envelopes: DataFrame, learned: Learned | None, work, kinds: dict[str, pa.DataType], schema: str) -> DataFrame:  # noqa: ANN001
+    """Rows that `work(src, id, text, model, lexicon)` makes of every scanned text, with the rarer words that the text asks for."""
+    got = learned or learn(documents, envelopes)
+    model = got.model
+    shared = documents.sparkSession.sparkContext.broadcast((got.counts, got.confusions, model.start, model.trans, model.emit))
+    texts = spread(scanned_texts(documents, envelopes))
+    if got.rare is not None:
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lex = Lexicon(*shared.value[:2])
+            for b in batches:
+                out: list[tuple[str, int, str]] = []
+                for src, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    lines = [x.strip() for x in canonical(text).split("\n")]
+                    words = asked(lines).union(*map(WORD.findall, lines))
+                    out += [(src, i, x) for x in {x for w in words if w not in lex.counts for x in wanted(w, lex)}]
+                cols = list(zip(*out, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], ["src", "id", "word"])
+
+        found = texts.mapInArrow(ask, "src string, id long, word string").join(got.rare, "word").groupBy("src", "id").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+        texts = texts.join(found, ["src", "id"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, conf, *hmm = shared.value
-        lex, m = Lexicon(c, conf), LineModel(*hmm)
+        counts, confusions, *hmm = shared.value
+        common, m = Lexicon(counts, confusions), LineModel(*hmm)
         for b in batches:
             out: list[tuple] = []
-            for src, i, text in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                out += [(src, i, no, kind) for no, kind in set(analyse(text, m, lex)[2])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.string())], ["src", "id", "line_no", "kind"])
+            for src, i, text, *rare in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lex = common
+                if rare and rare[0]:
+                    lex = Lexicon(ChainMap(dict(zip(*rare, strict=True)), counts), confusions)
+                out += work(src, i, text, m, lex)
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
 
-    return spread(scanned_texts(documents, envelopes)).mapInArrow(run, "src string, id long, line_no int, kind string").distinct()
+    return texts.mapInArrow(run, schema)
+
+
+def line_cases(documents: DataFrame, envelopes: DataFrame, learned: Learned | None = None) -> DataFrame:
+    """Distinct (src, id, line_no, kind) with kind header, page_number, hyphen or misread."""
+    kinds = {"src": pa.string(), "id": pa.int64(), "line_no": pa.int32(), "kind": pa.string()}
+    work = lambda src, i, text, m, lex: [(src, i, no, kind) for no, kind in set(analyse(text, m, lex)[2])]
+    return _each(documents, envelopes, learned, work, kinds, "src string, id long, line_no int, kind string").distinct()
 
 
 def rebuild(text: str, model: LineModel, lex: Lexicon) -> str:
@@ -419,16 +540,8 @@ def rebuild(text: str, model: LineModel, lex: Lexicon) -> str:
     return "\n\n".join(p.strip() for p in paragraphs if p.strip())
 
 
-def repaired(documents: DataFrame, envelopes: DataFrame, learned: tuple | None = None) -> DataFrame:
+def repaired(documents: DataFrame, envelopes: DataFrame, learned: Learned | None = None) -> DataFrame:
     """(src, id, text): every scanned text as paragraphs separated by blank lines."""
-    counts, confusions, model = learned or learn(documents, envelopes)
-    shared = documents.sparkSession.sparkContext.broadcast((counts, confusions, model.start, model.trans, model.emit))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, conf, *hmm = shared.value
-        lex, m = Lexicon(c, conf), LineModel(*hmm)
-        for b in batches:
-            new = [rebuild(t, m, lex) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], ["src", "id", "text"])
-
-    return spread(scanned_texts(documents, envelopes)).mapInArrow(run, "src string, id long, text string").distinct()
+    kinds = {"src": pa.string(), "id": pa.int64(), "text": pa.string()}
+    work = lambda src, i, text, m, lex: [(src, i, rebuild(text, m, lex))]
+    return _each(documents, envelopes, learned, work, kinds, "src string, id long, text string").distinct()

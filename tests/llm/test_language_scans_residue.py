@@ -91,9 +91,34 @@ def test_rebuilt_paragraphs():
     assert scans.rebuild("", model(), scans.Lexicon({}, set())) == ""
 
 
+def test_running_titles_in_any_case_and_script():
+    m = model()
+    for title in ("The Letters of Orduna", "จดหมายของออร์ดูนา", "書簡集"):
+        text = "\n".join(f"----- Page {i} -----\n\n{title}{f" {i}" if " " in title else ""}\nthe reader copies the letter number {'abcdefghijkl'[i]}\nto the council.\n" for i in range(11))
+        lines, states = scans.read_lines(text, m)
+        assert [s for x, s in zip(lines, states, strict=True) if x.startswith(title)] == ["header"] * 11, title
+        assert all(s == "body" for x, s in zip(lines, states, strict=True) if x.startswith(("the reader", "to the")))
+    assert scans.observe(["a", " b"], ["a", "  b"]) == ["text100", "text111"]
+
+
+def test_rarer_words_change_nothing(spark, monkeypatch):
+    """The lexicon is the same whether its words go to every task, are asked for, or go with the texts that ask."""
+    d = "/root/testdata/sf0.001"
+    docs_, envs = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/envelopes.parquet")
+    want = {tuple(r) for r in scans.line_cases(docs_, envs).collect()}
+    monkeypatch.setattr(scans, "LEXICON_SHARE", 2e-3)
+    learned = scans.learn(docs_, envs)
+    assert learned.rare is None and {tuple(r) for r in scans.line_cases(docs_, envs, learned).collect()} == want
+    monkeypatch.setattr(scans, "RARE_ROWS", 0)
+    learned = scans.learn(docs_, envs)
+    assert learned.rare.count() > 20 and len(learned.counts) < 200
+    assert {tuple(r) for r in scans.line_cases(docs_, envs, learned).collect()} == want
+    assert scans.repaired(docs_, envs, learned).count() > 0
+
+
 def test_scan_tables(spark, tables):
     learned = scans.learn(tables["documents"], tables["envelopes"])
-    assert ("e", "c") in learned[1]
+    assert ("e", "c") in learned.confusions
     got = scans.line_cases(tables["documents"], tables["envelopes"], learned).toPandas()
     assert set(got.kind) == {"header", "page_number", "hyphen", "misread"} and not got.duplicated().any()
     lines = {(r.src, r.id): r.text.split("\n") for r in scans.scanned_texts(tables["documents"], tables["envelopes"]).collect()}
