@@ -7,7 +7,8 @@ bisection (τ = 0 is the natural mixture).
 
 A source's quota of tokens is realised as whole passes over its documents and one partial pass: a hash of seed, pass and
 key deals the documents of the pass into `BLOCKS` blocks, the blocks are permuted, and blocks are taken while the quota
-lasts; the block at the edge is dealt into blocks again, and of the last one only are the documents put in order.  Block
+lasts; the block at the edge is dealt into blocks again, and of the last one only are the documents put in order.  A source
+comes within half its largest document of its quota.  Block
 sums are pre-aggregated, so no source, however large, is ordered as a whole.
 
 Defined results: documents with a null key, a source without a target or a null source, and texts without tokens are left
@@ -113,7 +114,8 @@ def realise(items: DataFrame, plan: list[Quota], seed: int = 0, blocks: int = BL
         out = out.unionByName(met.where("n <= room").select(*cols))
         part = met.where("n > room").select(*cols, "k", F.col("room").alias("left"))  # the block at the edge, one a source
     within = Window.partitionBy("source").orderBy("k", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = part.withColumn("upto", F.sum("n_tokens").over(within)).where("upto <= left")
+    # the document that crosses the quota is taken if that comes nearer to it
+    edge = part.withColumn("upto", F.sum("n_tokens").over(within)).where("upto <= left or (upto - n_tokens < left and upto - left < left - (upto - n_tokens))")
     return out.unionByName(edge.select(*cols)).withColumn("mix_key", key)
 
 
@@ -134,11 +136,12 @@ def mix(documents: DataFrame, targets: DataFrame, budget: float | str | None = N
 
 
 def shares(documents: DataFrame, targets: DataFrame, budget: float | str | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per source its target, natural and actual share, tokens and the most times a document is repeated."""
+    """Per source its target, natural and actual share, quota, tokens, largest document and the most times one is repeated."""
     items = counted(documents, targets, vocabulary)
     plan, tau = planned(items, targets, budget)
     got = realise(items, plan, seed).groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.max("pass_no").alias("most_repeats"))
-    table = items.sparkSession.createDataFrame([(q.source, q.target, q.tokens, q.repeats, tau) for q in plan], "source string, target_share double, source_tokens long, max_repeats int, tau double")
+    table = items.sparkSession.createDataFrame([(q.source, q.target, q.tokens, q.repeats, tau, float(q.quota)) for q in plan], "source string, target_share double, source_tokens long, max_repeats int, tau double, quota double")
+    table = table.join(items.groupBy("source").agg(F.max("n_tokens").alias("largest")), "source", "left")
     every = Window.partitionBy()
-    out = table.join(got, "source", "left").na.fill(0, ["mixed_tokens", "most_repeats"])
+    out = table.join(got, "source", "left").na.fill(0, ["mixed_tokens", "most_repeats", "largest"])
     return out.withColumn("natural_share", F.try_divide("source_tokens", F.sum("source_tokens").over(every))).withColumn("actual_share", F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(every)))

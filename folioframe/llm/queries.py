@@ -37,7 +37,7 @@ def queries() -> dict[str, Query]:
         "p8_checked": lambda s, d: packing.checked(packing.assign(t(s, d, "documents"))),
         "p9_mix": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixing.shares(t(s, d, "documents"), t(s, d, "mix_targets")),
-        "p9_met": lambda s, d: mixing.shares(t(s, d, "documents"), t(s, d, "mix_targets")).select("source", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.01).alias("met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats")),
+        "p9_met": lambda s, d: mixing.shares(t(s, d, "documents"), t(s, d, "mix_targets")).select("source", (F.abs(F.col("mixed_tokens") - F.col("quota")) <= F.col("largest") / 2 + 1).alias("met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats")),
         "p9_full": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets"), budget=mixing.ALL),
         "p9_full_shares": lambda s, d: mixing.shares(t(s, d, "documents"), t(s, d, "mix_targets"), budget=mixing.ALL),
         "p10_found": lambda s, d: residue.found(t(s, d, "documents")),
