@@ -227,8 +227,10 @@ def asked(lines: list[str]) -> set[str]:
     live = [i for i, f in enumerate(forms) if f not in ("blank", "marker", "heading")]
     out: set[str] = set()
     for n, i in enumerate(live):
+        words = WORD.findall(lines[i])
         out.update(MISREAD_END.findall(lines[i]))
-        out.update(WORD.findall(lines[i])[:: max(1, len(WORD.findall(lines[i])) - 1)])
+        out.update(words[:1] + words[-1:])
+        out.update(p for w in words if "-" in w or "‐" in w for p in re.split("[-‐]", w))
         m = tail_of(lines[i])
         for j in live[n + 1 :] if m else ():
             h = HEAD.match(lines[j])
@@ -243,8 +245,8 @@ def asked(lines: list[str]) -> set[str]:
 
 
 def vocabulary(documents: DataFrame, envelopes: DataFrame) -> DataFrame:
-    """(word, n_clean, n_scan) over all texts; words at line edges of scans may be broken: they, and what they make joined,
-    are listed without being counted."""
+    """(word, n_clean, n_scan, asked) over all texts; words at line edges of scans may be broken: they, and what they make
+    joined, are asked for without being counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -252,7 +254,7 @@ def vocabulary(documents: DataFrame, envelopes: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             words = list(counts[0].keys() | counts[1].keys() | edges)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[0][w] for w in words], pa.int64()), pa.array([counts[1][w] for w in words], pa.int64())], ["word", "n_clean", "n_scan"])
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[0][w] for w in words], pa.int64()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([w in edges for w in words], pa.bool_())], ["word", "n_clean", "n_scan", "asked"])
             counts[0].clear()
             counts[1].clear()
             edges.clear()
@@ -274,7 +276,7 @@ def vocabulary(documents: DataFrame, envelopes: DataFrame) -> DataFrame:
 
     clean = documents.where("coalesce(layout, '') <> 'scan' and text is not null").select("text", F.lit(False).alias("scan"))
     both = clean.unionByName(scanned_texts(documents, envelopes).select("text", F.lit(True).alias("scan")))
-    return spread(both).mapInArrow(run, "word string, n_clean long, n_scan long").where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+    return spread(both).mapInArrow(run, "word string, n_clean long, n_scan long, asked boolean").where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"), F.bool_or("asked").alias("asked"))
 
 
 LOWER_FIRST = "concat(lower(substr(word, 1, 1)), substr(word, 2))"
@@ -335,7 +337,7 @@ def learn(documents: DataFrame, envelopes: DataFrame) -> Learned:
     if rarer.isEmpty():
         rare = None
     else:
-        unknown = vocab.where((F.col(column) < least) & ((F.col("n_scan") > 0) | (F.col("n_clean") + F.col("n_scan") == 0))).select("word")
+        unknown = vocab.where((F.col(column) < least) & ((F.col("n_scan") > 0) | F.col("asked"))).select("word")
         rare = cut(rarer.join(spread(unknown).mapInArrow(needs, "word string").distinct(), "word", "left_semi"))
         if rare.count() <= RARE_ROWS:
             counts |= {r["word"]: int(r["n"]) for r in bounded_collect(rare)}
