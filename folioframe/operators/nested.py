@@ -58,11 +58,10 @@ def element_state(e: Column) -> Column:
     return F.when(e.isNotNull(), F.concat_ws("-", text, layout_state(e["layout"])))
 
 
-def page_state(p: Column, states: dict[str, Column] | None = None) -> Column:
-    """Page state: dimension, text, and the levels of which a child has a state; `states` are the children's by level."""
-    of = states or {level: F.transform(p[arr], element_state) for level, arr in LEVELS}
+def page_state(p: Column) -> Column:
+    """Page state: dimension, text, and the levels of which a child has a state, that is, of which an element is there."""
     parts = [F.when(p["dimension"].isNotNull(), "dim"), F.when(p["text"].isNotNull() & (p["text"] != ""), "text")]
-    parts += [F.when(F.exists(of[level], lambda s: s.isNotNull()), level) for level, _ in LEVELS]
+    parts += [F.when(F.exists(p[arr], lambda e: e.isNotNull()), level) for level, arr in LEVELS]
     return F.when(p.isNotNull(), F.coalesce(F.nullif(F.concat_ws("+", *parts), F.lit("")), F.lit("hollow")))
 
 
