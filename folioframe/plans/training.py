@@ -94,6 +94,10 @@ UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, 'vertex', elem_idx, vertex
   UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, -1, '', {ELEMENT_STATE} FROM e
   UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, 'vertex', elem_idx, vertex_idx, elem_level, CASE WHEN v.x IS NOT NULL AND v.y IS NOT NULL THEN 'xy' WHEN v.x IS NOT NULL THEN 'x' WHEN v.y IS NOT NULL THEN 'y' ELSE 'none' END FROM v
 ) SELECT elem_level, variant, count(*) AS n_nodes FROM n GROUP BY ALL""",
+        "p7_subtypes": f"""WITH {FILES}{ELEMENTS}{POLYGONS}
+SELECT DISTINCT env_id, file_idx, page_idx, 'page' AS elem_level, CAST(-1 AS INTEGER) AS elem_idx, CAST(-1 AS INTEGER) AS vertex_idx, 'file' AS parent_level, {PAGE_STATE} AS variant, CAST(p.page_number AS DOUBLE) AS page_number, p.dimension.width AS width, p.dimension.height AS height, nullif(p.text, '') AS text, NULL::VARCHAR AS layout_text, NULL::DOUBLE AS confidence, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM p
+UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, CAST(-1 AS INTEGER), 'page', {ELEMENT_STATE}, NULL, NULL, NULL, nullif(e.text, ''), e.layout.text, e.layout.confidence, NULL, NULL FROM e
+UNION ALL SELECT DISTINCT env_id, file_idx, page_idx, 'vertex', elem_idx, vertex_idx, elem_level, CASE WHEN v.x IS NOT NULL AND v.y IS NOT NULL THEN 'xy' WHEN v.x IS NOT NULL THEN 'x' WHEN v.y IS NOT NULL THEN 'y' ELSE 'none' END, NULL, NULL, NULL, NULL, NULL, NULL, v.x, v.y FROM v""",
         "p7_pages": f"WITH {FILES} SELECT DISTINCT env_id, file_idx, page_idx, CAST(p.page_number AS DOUBLE) AS page_number, p.dimension.width AS width, p.dimension.height AS height, p.text AS text FROM p",
         "p7_elements": f"WITH {FILES}{ELEMENTS} SELECT DISTINCT env_id, file_idx, page_idx, elem_level, elem_idx, e.text AS text, e.layout.text AS layout_text, e.layout.confidence AS confidence FROM e",
         "p7_vertices": f"WITH {FILES}{ELEMENTS}{VERTICES} SELECT DISTINCT env_id, file_idx, page_idx, elem_idx, vertex_idx, v.x AS x, v.y AS y FROM v",
